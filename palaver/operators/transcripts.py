@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palaver.functions import text
 from palaver.plans.rows import ordered_text
 from palaver.plans.scans import by_index, by_time, islands, ordered_pass, running_number, scan
+from palaver.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 SILENCE_GAP_S = 0.8
@@ -97,7 +98,7 @@ def words_to_turns(words: DataFrame) -> DataFrame:
     """Consecutive words of one speaker as one turn."""
     runs = islands(
         words, ["meeting_id"], ["word_idx"], by_time("start"), ["speaker"],
-        lambda prev: ~F.col("speaker").eqNullSafe(prev("speaker")), "turn",
+        lambda cur, prev: ~cur("speaker").eqNullSafe(prev("speaker")), "turn",
     )
     return runs.groupBy("meeting_id", "turn").agg(
         F.min("start").alias("start"),
@@ -121,9 +122,7 @@ def tokens_to_words(tokens: DataFrame) -> DataFrame:
     flags = tokens.withColumns({"_p": punct, "_b": blank, "_spoken": spoken.cast("int")})
     seen = scan(flags, key, order, by_index("tok_idx"), {"_before": ("sum_before", F.col("_spoken"))}, keep=True)
     opens = F.when(marked | (spoken & (F.col("_before") == 0)), 1).otherwise(0)
-    placed = scan(
-        seen.withColumn("_open", opens), key, order, None, {"w": ("sum", F.col("_open")), "last_ts": ("max", F.col("ts"))}
-    )
+    placed = cut_lineage(scan(seen.withColumn("_open", opens), key, order, None, {"w": ("sum", F.col("_open"))}))
     body = placed.filter(~F.col("_p") & ~F.col("_b")).withColumn(
         "piece", F.when(F.col("_open") == 1, F.ltrim(F.col("tok"), F.lit(WORD_MARKS))).otherwise(F.col("tok"))
     )
@@ -135,7 +134,7 @@ def tokens_to_words(tokens: DataFrame) -> DataFrame:
     marks = tail.groupBy("meeting_id", "w").agg(
         ordered_text("tok", "tok_idx", "").alias("marks"), F.max_by("ts", "tok_idx").alias("mark_ts")
     )
-    final_ts = tokens.groupBy("meeting_id").agg(F.max_by("ts", "tok_idx").alias("final_ts"))
+    final_ts = placed.groupBy("meeting_id").agg(F.max_by("ts", "tok_idx").alias("final_ts"))
     nxt = scan(base, key, ["w"], by_index("w"), {"next_start": ("lead", F.col("start"))})
     joined = nxt.join(marks, ["meeting_id", "w"], "left").join(final_ts, "meeting_id")
     end = F.coalesce(F.col("mark_ts") + F.lit(TOKEN_TAIL_S), F.col("next_start"), F.col("final_ts") + F.lit(TOKEN_TAIL_S))
@@ -151,8 +150,8 @@ def tokens_to_words(tokens: DataFrame) -> DataFrame:
 def hard_runs(words: DataFrame) -> DataFrame:
     """Runs between speaker changes and silences; a turn never crosses one."""
     return islands(
-        words, ["meeting_id"], ["word_idx"], by_time("start"), ["speaker", "end"],
-        lambda prev: ~F.col("speaker").eqNullSafe(prev("speaker")) | ((F.col("start") - prev("end")) > SILENCE_GAP_S),
+        words, ["meeting_id"], ["word_idx"], by_time("start"), ["speaker", "start", "end"],
+        lambda cur, prev: ~cur("speaker").eqNullSafe(prev("speaker")) | ((cur("start") - prev("end")) > SILENCE_GAP_S),
         "run",
     )
 

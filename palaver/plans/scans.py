@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palaver.session import cut_lineage
+
 BUCKET = "_slice"
 ROWS_PER_BUCKET = 4096
 
@@ -136,18 +138,42 @@ def islands(
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column,
-    previous: Sequence[str],
-    starts: Callable[[Callable[[str], Column]], Column],
+    columns: Sequence[str],
+    starts: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     name: str = "island",
 ) -> DataFrame:
-    """Number the runs of rows. ``starts`` gets an accessor to the previous row's columns; the first row always starts
-    a run."""
-    lagged = scan(
-        df, keys, order, bucket, {f"_p_{c}": ("lag", F.col(c)) for c in previous} | {"_seen": ("lag", F.lit(True))}, keep=True
+    """Number the runs of rows. ``starts(cur, prev)`` tells from the named columns of two neighbouring rows whether the
+    later one opens a run; the first row always does.
+
+    Inside a slice the test runs on the rows; between slices it runs on the summary, which holds the first and last row
+    of each slice.
+    """
+    keys, order = list(keys), list(order)
+    here = F.struct(*[F.col(c).alias(c) for c in columns])
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], here.alias("v"))
+    win = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    prev, no = F.col("_prev"), F.lit(False)
+    opens = F.coalesce(starts(F.col, lambda c: prev[c]), no).cast("long")
+    rows = (
+        df.withColumn(BUCKET, bucket)
+        .withColumn("_prev", F.lag(here).over(win))
+        .withColumn("_opens", F.when(prev.isNull(), F.lit(0)).otherwise(opens))
+    )
+    summary = rows.groupBy(*keys, BUCKET).agg(
+        F.sum("_opens").alias("_inside"), F.min(at).alias("_first"), F.max(at).alias("_last")
+    )
+    across = Window.partitionBy(*keys).orderBy(BUCKET)
+    left = F.col("_left")["v"]
+    edge = F.coalesce(starts(lambda c: F.col("_first")["v"][c], lambda c: left[c]), no).cast("long")
+    base = F.sum(F.col("_inside") + F.col("_edge")).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    carried = (
+        summary.withColumn("_left", F.lag("_last").over(across))
+        .withColumn("_edge", F.when(F.col("_left").isNull(), F.lit(1)).otherwise(edge))
+        .select(*keys, BUCKET, (F.coalesce(base, F.lit(0)) + F.col("_edge")).alias("_base"))
     )
-    begins = F.col("_seen").isNull() | F.coalesce(starts(lambda c: F.col(f"_p_{c}")), F.lit(False))
-    flagged = lagged.withColumn("_begins", begins.cast("long")).drop("_seen", *[f"_p_{c}" for c in previous])
-    return scan(flagged, keys, order, None, {name: ("sum", F.col("_begins"))}).drop("_begins")
+    upto = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumn("_own", F.sum("_opens").over(upto)).join(carried, [*keys, BUCKET], "left")
+    return numbered.withColumn(name, F.col("_base") + F.col("_own")).select(*df.columns, name)
 
 
 def exact_percentile(
@@ -156,10 +182,11 @@ def exact_percentile(
     """Linear-interpolated percentile per key, exact. Returns keys, ``n`` and ``pct``.
 
     Distinct values are counted first (map-side), then a histogram of at most ``bins`` rows per key tells which bins
-    hold the two order statistics, and only those bins are sorted.
+    hold the two order statistics, and only those bins are sorted. The counts are read three times, so they are written
+    down once.
     """
     keys = list(keys)
-    counts = (
+    counts = cut_lineage(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))

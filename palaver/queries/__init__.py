@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "topics", "alignment", "clusters")
 
 
 def load_all():

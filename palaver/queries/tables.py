@@ -379,7 +379,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["t_samples"] = """
-SELECT 'u' || user_id AS series_id, event_id, (epoch_ms(ts) - 1704067200000) / 1000e0 AS t, value AS rss_mb,
+SELECT 'u' || user_id AS series_id, event_id, (epoch_us(ts) // 1000 - 1704067200000) / 1000e0 AS t, value AS rss_mb,
        event_type AS label, ts FROM events"""
 
 

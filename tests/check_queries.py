@@ -15,7 +15,7 @@ from palaver.session import local_session  # noqa: E402
 args = sys.argv[1:]
 sf = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
 queries, oracles = entry.queries(), entry.oracle_sql()
-names = [n for n in queries if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
+names = [n for n in queries if not args or queries[n].__module__.rsplit(".", 1)[-1] in args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
 spark, con = local_session(), connect(sf)
 bad = 0
 for name in names:
