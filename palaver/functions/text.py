@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palaver.functions.numbers import fixed
+
 # --- fixed values -----------------------------------------------------------------------------------------------
 BLANK = " \t\n\r\x0b\x0c"
 ABBREVIATION_STEMS = (
@@ -268,9 +270,12 @@ def build_context(subject: Column, organizer: Column, location: Column, online:
 
 def clock(seconds: Column) -> Column:
     """``MM:SS.ss``; minutes may pass 59."""
-    minutes = F.floor(seconds / 60)
-    rest = F.format_string("%.2f", seconds - minutes * 60)
-    return F.concat(F.lpad(minutes.cast("string"), 2, "0"), F.lit(":"), F.lpad(rest, 5, "0"))
+    minutes = F.floor(seconds / 60).cast("string")
+    return F.concat(
+        F.when(F.length(minutes) < 2, F.lpad(minutes, 2, "0")).otherwise(minutes),
+        F.lit(":"),
+        F.lpad(fixed(seconds % 60, 2), 5, "0"),
+    )
 
 
 def transcript_line(start: Column, end: Column, speaker: Column, text: Column, with_times: bool = True) -> Column:
@@ -281,13 +286,18 @@ def transcript_line(start: Column, end: Column, speaker: Column, text: Column, w
 
 
 def rttm_line(file_id: Column, start: Column, end: Column, speaker: Column) -> Column:
-    return F.format_string(
-        "SPEAKER %s 1 %.6f %.6f <NA> <NA> %s <NA> <NA>", file_id, start, end - start, speaker
+    return F.concat(
+        F.lit("SPEAKER "), file_id, F.lit(" 1 "), fixed(start, 6), F.lit(" "), fixed(end - start, 6),
+        F.lit(" <NA> <NA> "), speaker, F.lit(" <NA> <NA>"),
     )
 
 
 def diar_line(start: Column, end: Column, speaker: Column) -> Column:
-    return F.format_string("[%7.2f - %7.2f]  %s", start, end, speaker)
+    def seven(x: Column) -> Column:
+        body = fixed(x, 2)
+        return F.when(F.length(body) < 7, F.lpad(body, 7, " ")).otherwise(body)
+
+    return F.concat(F.lit("["), seven(start), F.lit(" - "), seven(end), F.lit("]  "), speaker)
 
 
 def segment_line(speaker: Column, text: Column) -> Column:
