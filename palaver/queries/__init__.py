@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "topics", "alignment", "clusters", "telemetry", "catalog", "reports")
+MODULES = ("scalars", "topics", "alignment", "clusters", "telemetry", "catalog", "reports", "streams")
 
 
 def load_all():

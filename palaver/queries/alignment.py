@@ -406,8 +406,8 @@ def der_greedy_map(spark, sf):
 
 @query(
     "snk_transcript_txt",
-    """SELECT meeting_id, turn_idx, '[' || lpad(CAST(CAST(floor(start / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(printf('%.2f', start - floor(start / 60) * 60), 5, '0')
-         || ' - ' || lpad(CAST(CAST(floor("end" / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(printf('%.2f', "end" - floor("end" / 60) * 60), 5, '0')
+    """SELECT meeting_id, turn_idx, '[' || printf('%02d', CAST(floor(start / 60) AS BIGINT)) || ':' || lpad(printf('%.2f', start - floor(start / 60) * 60), 5, '0')
+         || ' - ' || printf('%02d', CAST(floor("end" / 60) AS BIGINT)) || ':' || lpad(printf('%.2f', "end" - floor("end" / 60) * 60), 5, '0')
          || ']  ' || speaker || ' : ' || text AS line FROM t_turns""",
 )
 def snk_transcript_txt(spark, sf):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palaver.functions import dates
 from palaver.plans.scans import running_number
 
-NOW = "2024-01-01 10:00:00"  # the fixed "now" of the registered queries
+NOW = "2024-01-01 01:30:00"  # the fixed "now" of the registered queries
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
