@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "topics", "alignment", "clusters", "telemetry", "catalog", "reports", "streams")
+MODULES = (
+    "scalars", "topics", "alignment", "clusters", "telemetry", "catalog", "reports", "files", "streams",
+)
 
 
 def load_all():
