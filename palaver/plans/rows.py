@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def ordered_text(value: str, order: str, sep: str = "\\n") -> Column:
     """Values of a group joined in order; NULLs are left out."""
     return F.expr(f"listagg({value}, '{sep}') WITHIN GROUP (ORDER BY {order})")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on text that comes in fewer splits than there are cores, as one small file does. With splits enough
+    the rows stay where they are, so a large table is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

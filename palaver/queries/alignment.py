@@ -315,11 +315,6 @@ def sort_segments(spark, sf):
     return out.select("meeting_id", "seg_idx", F.col("text").cast("int").alias("line_no"))
 
 
-@query("turn_builder")
-def turn_builder(spark, sf):
-    return transcripts.turn_builder(tables.words(spark, sf))
-
-
 @query(
     "real_time_factor",
     """SELECT meeting_id, round(sum("end" - start) / nullif(max("end") * (max(label) % 2), 0), 6) AS rtf FROM t_sub GROUP BY 1""",

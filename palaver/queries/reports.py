@@ -337,7 +337,7 @@ FROM (SELECT doc_id, pos, parts[pos] AS w FROM (SELECT doc_id, parts, unnest(ran
        FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM s)""",
 )
 def md_inline_spans(spark, sf):
-    d = tables.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    d = tables.read_texts(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     d = d.withColumn("pos", F.col("pos") + 1)
     k, w = (F.col("pos") + F.col("doc_id")) % 5, F.col("w")
     content = (

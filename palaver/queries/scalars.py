@@ -116,7 +116,7 @@ def normalize_document_lines(spark, sf):
         FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents))""",
 )
 def split_sentences(spark, sf):
-    d = tables.read(spark, sf, "documents")
+    d = tables.read_texts(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence")).withColumn(
         "pos", F.col("pos") + 1
     )
@@ -135,7 +135,7 @@ def split_sentences(spark, sf):
         SELECT doc_id, pos, piece, part FROM w WHERE piece > 0""",
 )
 def hard_wrap(spark, sf):
-    d = tables.read(spark, sf, "documents")
+    d = tables.read_texts(spark, sf, "documents")
     s = d.select("doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
     return s.select(
         "doc_id", (F.col("pos") + 1).alias("pos"), F.posexplode(text.hard_wrap(F.col("sentence"), 80)).alias("piece", "part")
@@ -253,7 +253,7 @@ def sql_html(expr: str) -> str:
     f"SELECT page_id, {sql_html('trim(html, ' + BLANKS + ')')} AS text FROM pages",
 )
 def html_to_text(spark, sf):
-    p = tables.read(spark, sf, "pages")
+    p = tables.read_texts(spark, sf, "pages")
     return p.select("page_id", text.html_to_text(F.col("html"), F.lit("HTML"), F.lit("")).alias("text"))
 
 

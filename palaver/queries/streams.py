@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from palaver.operators import clusters, live
+from palaver.operators import clusters, live, transcripts
 from palaver.queries import tables
 from palaver.queries.registry import query
 from palaver.session import shared_dir
@@ -34,12 +34,44 @@ def live_turns(spark, sf):
     )
 
 
-@query("live_trigger")
+SQL = tables.SQL
+SQL["t_trigger"] = """
+WITH RECURSIVE t AS (SELECT meeting_id, seg_idx AS turn_idx, seg_idx * 3 + CASE WHEN seg_idx > 4 THEN 130e0 ELSE 0 END AS now, speaker, speaker <> 'system' AS other,
+    ends_with(text, '.') AS final, row_number() OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS rn FROM t_segments),
+r AS (SELECT meeting_id, CAST(0 AS BIGINT) AS rn, -1 AS turn_idx, 0e0 AS last_fire, CAST(NULL AS VARCHAR) AS last_speaker, false AS fired FROM t WHERE rn = 1
+  UNION ALL
+  SELECT meeting_id, rn, turn_idx, CASE WHEN f THEN now ELSE last_fire END, speaker, f FROM (
+    SELECT t.*, r.last_fire, t.now - r.last_fire >= 120 OR (t.now - r.last_fire >= 6 AND t.other AND (t.final OR coalesce(r.last_speaker <> t.speaker, false))) AS f
+    FROM r JOIN t ON t.meeting_id = r.meeting_id AND t.rn = r.rn + 1))
+SELECT meeting_id, turn_idx, fired FROM r WHERE rn > 0"""
+SQL["t_built"] = """
+WITH RECURSIVE a AS (SELECT *, lag(speaker) OVER w AS ps, lag("end") OVER w AS pe FROM t_words WINDOW w AS (PARTITION BY meeting_id ORDER BY word_idx)),
+b AS (SELECT *, sum(CASE WHEN ps = speaker AND start - pe <= 0.8e0 THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY word_idx) AS run FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, run ORDER BY word_idx) AS rn, regexp_matches(word, '[.!?…]$') AS fin FROM b),
+r AS (SELECT meeting_id, run, rn, word_idx, word, speaker, start, "end", start AS ts, 1 AS n, 0 AS part, false AS closed FROM c WHERE rn = 1
+  UNION ALL
+  SELECT meeting_id, run, rn, word_idx, word, speaker, start, "end", ts, n, part, n > 1 AND ((fin AND "end" - ts >= 5) OR "end" - ts >= 30 OR n >= 120) FROM (
+    SELECT c.*, CASE WHEN r.closed THEN c.start ELSE r.ts END AS ts, CASE WHEN r.closed THEN 1 ELSE r.n + 1 END AS n, CASE WHEN r.closed THEN r.part + 1 ELSE r.part END AS part
+    FROM r JOIN c ON c.meeting_id = r.meeting_id AND c.run = r.run AND c.rn = r.rn + 1))
+SELECT meeting_id, min(start) AS start, max("end") AS "end", any_value(speaker) AS speaker, string_agg(word, ' ' ORDER BY word_idx) AS text FROM r GROUP BY meeting_id, run, part"""
+SQL["t_sugg"] = """
+WITH RECURSIVE g AS (SELECT meeting_id, CAST(seg_idx AS DOUBLE) AS ts, row_number() OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS rn,
+    list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '') AS c FROM t_segments),
+u AS (SELECT *, list_transform(c, lambda s: lower(s)) AS lc FROM g),
+r AS (SELECT meeting_id, CAST(0 AS BIGINT) AS rn, 0e0 AS ts, CAST([] AS VARCHAR[][]) AS mem, CAST([] AS VARCHAR[]) AS kept FROM u WHERE rn = 1
+  UNION ALL
+  SELECT meeting_id, rn, ts, CASE WHEN len(k) > 0 THEN list_slice(list_append(mem, list_transform(k, lambda s: lower(s))), greatest(1, len(mem) - 2), len(mem) + 1) ELSE mem END, k FROM (
+    SELECT u.meeting_id, u.rn, u.ts, r.mem, list_slice(list_filter(u.c, lambda s, i: list_position(u.lc, lower(s)) = i AND NOT list_contains(flatten(r.mem), lower(s))), 1, 3) AS k
+    FROM r JOIN u ON u.meeting_id = r.meeting_id AND u.rn = r.rn + 1))
+SELECT meeting_id, ts, i - 1 AS pos, kept[i] AS item FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM r WHERE rn > 0)"""
+
+
+@query("live_trigger", "SELECT * FROM t_trigger")
 def live_trigger(spark, sf):
     return live.live_trigger(live_turns(spark, sf))
 
 
-@query("st_live_trigger")
+@query("st_live_trigger", "SELECT * FROM t_trigger")
 def st_live_trigger(spark, sf):
     return jobs.run_to_table(jobs.trigger(jobs.as_stream(live_turns(spark, sf), ["turn_idx"])))
 
@@ -49,12 +81,12 @@ def groups(spark, sf):
     return tables.segments(spark, sf).select("meeting_id", F.col("seg_idx").cast("double").alias("ts"), items.alias("items"))
 
 
-@query("suggestion_dedup")
+@query("suggestion_dedup", "SELECT * FROM t_sugg")
 def suggestion_dedup(spark, sf):
     return live.suggestion_dedup(groups(spark, sf))
 
 
-@query("st_suggestion_dedup")
+@query("st_suggestion_dedup", "SELECT * FROM t_sugg")
 def st_suggestion_dedup(spark, sf):
     return jobs.run_to_table(jobs.dedup_suggestions(jobs.as_stream(groups(spark, sf), ["ts"])))
 
@@ -78,7 +110,12 @@ def st_sliding_vectors(spark, sf):
     return out.select("meeting_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"))
 
 
-@query("st_turn_builder")
+@query("turn_builder", "SELECT * FROM t_built")
+def turn_builder(spark, sf):
+    return transcripts.turn_builder(tables.words(spark, sf))
+
+
+@query("st_turn_builder", "SELECT * FROM t_built")
 def st_turn_builder(spark, sf):
     w = with_end(tables.words(spark, sf), "meeting_id", "word_idx")
     return jobs.run_to_table(jobs.build_turns(jobs.as_stream(w, ["word_idx"])))
@@ -113,13 +150,22 @@ def st_size_cap(spark, sf):
     return stream_chunks(spark, sf, k_sigma=1.0)
 
 
-@query("st_finalize")
+@query(
+    "st_finalize",
+    """SELECT meeting_id, 0 AS chunk_id, min(start) AS start_time, max("end") AS end_time, count(*) AS n_turns, string_agg('[' || coalesce(speaker, '?') || ']: ' || text, chr(10) ORDER BY seg_idx) AS text
+       FROM t_topic GROUP BY 1""",
+)
 def st_finalize(spark, sf):
     """Chunks that only the end of the meeting closes."""
     return stream_chunks(spark, sf, k_sigma=100.0, max_chars=1 << 30)
 
 
-@query("st_provisional_speaker")
+@query(
+    "st_provisional_speaker",
+    """SELECT meeting_id, word_idx, coalesce('SPEAKER_' || lpad(CAST(label AS VARCHAR), 2, '0'), 'SPEAKER_?') AS speaker FROM (
+         SELECT w.meeting_id, w.sub_idx AS word_idx, v.label, row_number() OVER (PARTITION BY w.meeting_id, w.sub_idx ORDER BY abs((w.start + 0.9e0) - (v.start + 0.6e0)), v.sub_idx) AS rn
+         FROM t_sub w LEFT JOIN t_sub v ON v.meeting_id = w.meeting_id AND v.sub_idx * 2 > 10 AND v.sub_idx <= w.sub_idx) WHERE rn = 1""",
+)
 def st_provisional_speaker(spark, sf):
     s = tables.subsegments(spark, sf)
     empty = F.lit(None)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import dates
+from palaver.plans.rows import spread
 from palaver.plans.scans import running_number
 
 NOW = "2024-01-01 01:30:00"  # the fixed "now" of the registered queries
@@ -20,6 +21,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose texts are worth spreading over the cores."""
+    return spread(read(spark, sf, name))
+
+
 SQL: dict[str, str] = {}
 
 
@@ -96,7 +102,7 @@ FROM conversations"""
 
 def document_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document, blank ones included; longer lines get the language as speaker."""
-    d = read(spark, sf, "documents")
+    d = read_texts(spark, sf, "documents")
     lines = d.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     spoken = F.when(F.length("line") > 40, F.concat("lang", F.lit(": "), "line")).otherwise(F.col("line"))
     return lines.select(F.concat(F.lit("d"), "doc_id").alias("meeting_id"), "line_no", spoken.alias("raw"))
