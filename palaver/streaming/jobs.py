@@ -118,8 +118,8 @@ def as_stream(df: DataFrame, order: list[str], key: str = "meeting_id", slices:
     path = f"{shared_dir(spark)}/stream-in-{uuid.uuid4().hex}"
     kept = cut_lineage(df)
     at = F.col(order[0]).cast("double")
-    cuts = kept.select(at.alias("x")).approxQuantile("x", [i / slices for i in range(1, slices)], 0.001)
-    edges = sorted(set(cuts))
+    shares = [i / slices for i in range(1, slices)]
+    edges = sorted(set(kept.select(at.alias("x")).approxQuantile("x", shares, 0.001))) if shares else []
     for low, high in zip([None, *edges], [*edges, None]):
         part = kept if low is None else kept.filter(at > low)
         part = part if high is None else part.filter(at <= high)
