@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+def as_frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Plain object columns, which the Arrow writer takes whatever number of frames it joins."""
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
 class StepProcessor(StatefulProcessor):
     """Runs a live rule over the rows of each key in order; the state is kept between micro-batches.
 
@@ -48,9 +53,7 @@ class StepProcessor(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update((pickle.dumps(state),))
-        result = pd.DataFrame.from_records(out, columns=self.out)
-        result.insert(0, self.key, key[0])
-        yield result
+        yield as_frame([(key[0], *r) for r in out], [self.key, *self.out])
 
     def close(self) -> None:
         pass
@@ -64,6 +67,8 @@ class EndReminder(StatefulProcessor):
     reminder due, so the result does not depend on how rows fall into micro-batches.
     """
 
+    COLUMNS = ["job_id", "event_id", "at_ms"]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.current = handle.getValueState("current", "event_id string, end_ms long, due boolean")
@@ -93,16 +98,14 @@ class EndReminder(StatefulProcessor):
             self.current.update((event_id, int(end_ms), due))
             if due:
                 self.handle.registerTimer(int(end_ms))
-        yield pd.DataFrame(
-            {"job_id": key[0], "event_id": [e for e, _ in told], "at_ms": pd.Series([m for _, m in told], dtype="int64")}
-        )
+        yield as_frame([(key[0], e, m) for e, m in told], self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         known = self.current.get() if self.current.exists() else None
         at = expiredTimerInfo.getExpiryTimeInMs()
         if known is not None and known[2] and known[1] == at:
             self.current.update((known[0], known[1], False))
-            yield pd.DataFrame({"job_id": [key[0]], "event_id": [known[0]], "at_ms": [at]})
+            yield as_frame([(key[0], known[0], int(at))], self.COLUMNS)
 
     def close(self) -> None:
         pass
