@@ -81,3 +81,30 @@ def op5(spark, sf):
 
     done = packing.pack(_read(spark, sf, "documents"), public_tokenizers.path(BPE_FILE), digest=True)
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op6_gif")
+def op6(spark, sf):
+    """Store all documents as GIF samples, read them back."""
+    from palaver.llm import gif
+
+    media = gif.store(_read(spark, sf, "documents"))
+    done = gif.features(media.select("doc_id", "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")))
+    return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN w USING (payload_digest)
+"""
+
+
+@query("op7_warc", WARC_SQL)
+def op7(spark, sf):
+    """Write all pages as WARC records and read the archives back."""
+    from palaver.llm import warc
+
+    return warc.records(warc.write(_read(spark, sf, "pages")))
