@@ -108,3 +108,28 @@ def op7(spark, sf):
     from palaver.llm import warc
 
     return warc.records(warc.write(_read(spark, sf, "pages")))
+
+
+PII_KINDS = ("email", "ip", "card", "phone")
+
+
+@query("op9_pii")
+def op9(spark, sf):
+    """Spans of personal data and of disclosing words in all documents."""
+    from palaver.llm import pii
+
+    found = pii.find(_read(spark, sf, "documents").select("doc_id", "text"), keep_text=False)
+    kinds = F.array(*map(F.lit, PII_KINDS))
+    base = F.array_join(F.transform("base", lambda x: F.concat_ws(":", kinds[x["kind"]], x["start"], x["end"])), ",")
+    terms = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"])), ",")
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(PII_KINDS)]
+    spans = F.concat_ws(",", F.when(F.size("base") > 0, base), F.when(F.size("terms") > 0, terms))
+    return found.select("doc_id", *counts, F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@query("op2_embedding_neardup")
+def op2(spark, sf):
+    """Links and components of all embeddings at cosine 0.9."""
+    from palaver.llm import neardup
+
+    return neardup.near_duplicates(_read(spark, sf, "embeddings"))
