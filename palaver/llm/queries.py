@@ -133,3 +133,12 @@ def op2(spark, sf):
     from palaver.llm import neardup
 
     return neardup.near_duplicates(_read(spark, sf, "embeddings"))
+
+
+@query("op1_quality")
+def op1(spark, sf):
+    """Quality scores of all documents."""
+    from palaver.llm import quality
+
+    scored = quality.scores(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+    return scored.select("doc_id", quality.held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
