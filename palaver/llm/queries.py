@@ -142,3 +142,11 @@ def op1(spark, sf):
 
     scored = quality.scores(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
     return scored.select("doc_id", quality.held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_lm_score")
+def op8(spark, sf):
+    """Language-model and base scores of all documents."""
+    from palaver.llm import lm
+
+    return lm.scores(_read(spark, sf, "documents"))
