@@ -150,3 +150,11 @@ def op8(spark, sf):
     from palaver.llm import lm
 
     return lm.scores(_read(spark, sf, "documents"))
+
+
+@query("op10_ngram_jaccard")
+def op10(spark, sf):
+    """Near-duplicate classes of all documents."""
+    from palaver.llm import jaccard
+
+    return jaccard.near_duplicates(_read(spark, sf, "documents"))
