@@ -339,3 +339,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     by_id = usable.select("doc_id", "sig").join(roots_of, "sig").groupBy("doc_id").agg(F.min("root").alias("root"))
     joined = signed.select("doc_id", "n").join(by_id, "doc_id", "left")
     return joined.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those whose component has a smaller id. Of rows that repeat an id one stays; rows without an id stay."""
+    found = near_duplicates(docs, id_column, text).groupBy(id_column).agg(
+        F.max(F.col("component_id") != F.col(id_column)).alias("_drop"), (F.count("*") > 1).alias("_again")
+    )
+    marks = written(found.filter(F.col(id_column).isNotNull() & (F.col("_drop") | F.col("_again"))).withColumnRenamed(id_column, "_id"), "marks")
+    again = marks.filter("_again and not _drop").select("_id")
+    rest = docs.join(marks.select("_id"), docs[id_column] == F.col("_id"), "left_anti")
+    return rest.unionByName(docs.join(again, docs[id_column] == F.col("_id"), "left_semi").dropDuplicates([id_column]))

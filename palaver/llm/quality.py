@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.llm import columns as C
 from palaver.llm.shared import written
 from palaver.llm.textbatch import LOWER, pieces, span_hashes, words
 
@@ -202,6 +203,16 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select(*[f.name for f in kept], "stats").mapInArrow(run, schema)
 
 
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with all columns and ``score``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.split(batches, text):
+            yield C.extend(batch, {"score": pa.array(model.score(statistics(batch.column(text))))})
+
+    return C.map_batches(docs, run, {"score": "double"})
+
+
 def scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(id, score) of every document."""
     stats = written(document_statistics(docs, id_column, text), "statistics")
