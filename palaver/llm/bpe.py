@@ -31,7 +31,7 @@ from palaver.llm.textbatch import PIECE_BYTES, pieces, span_hashes, words
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 LONG_WORD = 200
 #: ASCII blanks other than the space and the line end, and the first bytes of all longer ones.
 OTHER_BLANK = np.zeros(256, dtype=bool)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palaver.llm.shared import small_batches
+
 #: Rows are handled in slices of about so many bytes, whatever the size of a batch.
 SLICE_BYTES = 8 << 20
 
@@ -37,6 +39,7 @@ def extend(batch: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
 def map_batches(df: DataFrame, run: Callable, more: dict[str, str]) -> DataFrame:
     """``mapInArrow`` whose result has the table's columns and the named ones. Names are told apart as they are written;
     a column whose name clashes with an output column, whatever its case, is left out."""
+    small_batches(df.sparkSession)
     taken = {n.lower() for n in more}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken or f.name in more]
     df = df.select(*[F.col(f"`{f.name}`") for f in kept])

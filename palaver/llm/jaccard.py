@@ -65,11 +65,11 @@ def common(docs: DataFrame) -> np.ndarray:
                 if key in seen:
                     continue
                 seen.add(key)
-                if len(seen) > 1_000_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 tally.parts.append(s)
                 tally.size += len(s)
-                if tally.size > 6_000_000:
+                if tally.size > 2_500_000:
                     yield from repeated(tally)
         yield from repeated(tally)
 

@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from palaver.session import shared_dir
 
 
+#: Rows of an Arrow batch: texts of many kilobytes must not fill a Python worker.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS``; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
+    small_batches(spark)
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
