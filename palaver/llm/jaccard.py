@@ -35,7 +35,7 @@ from palaver.llm.textbatch import LOWER, mix, pieces, shingles, span_hashes, wor
 PERCENT, SHINGLE = 80, 5
 SKETCH_BITS, HOT_LOCAL, HOT = 22, 4, 16  # size of the count table; repeats in a task and in all that make a shingle common
 BITMAP = 1024
-PER_LEADER, WANTED_BITS, BLOCK = 256, 23, 1024
+PER_LEADER, WANTED_BITS, BLOCK, SHORT = 256, 23, 1024, 64
 
 
 def document_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -89,6 +89,17 @@ def common(docs: DataFrame) -> np.ndarray:
     return table
 
 
+def parity(members: np.ndarray, bits: int) -> np.ndarray:
+    """One bit for each hash class: whether the set has an odd number of members in it. Bits of words of eight bytes."""
+    odd = np.bincount((mix(members) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def fold(bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """The same table for fewer classes."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, bits // 64), axis=0)
+
+
 def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(doc_id, n, sig, group, prefix, bitmap) of each document: what the join needs without the whole set."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # fixed size
@@ -96,7 +107,7 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
-            rows = [], [], [], [], []
+            rows = [], [], [], [], [], []
             at = 0
             for s in document_sets(batch.column("text")):
                 n = len(s)
@@ -104,23 +115,23 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     level = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     first = s[np.argsort(level, kind="stable")[: n - _least(n) + 1]]
                     digest = hashlib.blake2b(first.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest()
-                    parity = np.bincount((mix(s) >> np.uint64(54)).astype(np.int64), minlength=BITMAP) & 1
-                    new = n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int.from_bytes(digest, "little", signed=True), first.view(np.int64), np.packbits(parity.astype(np.uint8)).tobytes()
+                    wide = parity(s, BITMAP << max(0, (2 * n - 1).bit_length() - BITMAP.bit_length() + 1))
+                    new = n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int.from_bytes(digest, "little", signed=True), first.view(np.int64), fold(wide, BITMAP).tobytes(), wide.tobytes()
                 else:
-                    new = 0, None, None, None, None
+                    new = 0, None, None, None, None, None
                 for column, value in zip(rows, new):
                     column.append(value)
                 if len(rows[0]) == 2000:
                     yield pack(batch, at, rows)
                     at += 2000
-                    rows = [], [], [], [], []
+                    rows = [], [], [], [], [], []
             yield pack(batch, at, rows)
 
     def pack(batch: pa.RecordBatch, at: int, rows: tuple) -> pa.RecordBatch:
-        kinds = pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(rows[0])), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "n", "sig", "group", "prefix", "bitmap"])
+        kinds = pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(rows[0])), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "n", "sig", "group", "prefix", "bitmap", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, `group` long, prefix array<long>, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, `group` long, prefix array<long>, bitmap binary, wide binary")
 
 
 def posting_lists(groups: DataFrame) -> DataFrame:
@@ -166,23 +177,35 @@ def _fit(a: str, b: str):
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and bitmaps allow the similarity: sets differ in at least as many shingles as their bitmaps in bits."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
-    joined = pairs.join(a, "a").join(b, "b").filter(_fit("na", "nb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("ba", "bb")]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            # with |a|+|b| = s and d different: (s-d)/2 shared of (s+d)/2, so d (100+p) <= s (100-p)
-            keep = np.flatnonzero(apart * (100 + PERCENT) <= total * (100 - PERCENT))
-            yield batch.select(["a", "b"]).take(pa.array(keep))
-
-    return joined.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long").distinct()
+    """Pairs whose sizes and bitmaps allow the similarity: sets differ in at least as many shingles as their bitmaps in bits.
+    The small bitmap of all comes first, then the one that has at least two bits for each shingle."""
+    for bitmap in ("bitmap", "wide"):
+        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(bitmap).alias("ba"))
+        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(bitmap).alias("bb"))
+        joined = pairs.join(a, "a").join(b, "b").filter(_fit("na", "nb"))
+        pairs = written(joined.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_near, "a long, b long").distinct(), "likely")
+    return pairs
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ba, bb = batch.column("ba").to_pylist(), batch.column("bb").to_pylist()
+        if len({*map(len, ba), *map(len, bb)}) == 1:
+            x, y = (np.frombuffer(b"".join(b), dtype=np.uint64).reshape(len(b), -1) for b in (ba, bb))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        else:
+            apart = np.array([_apart_bits(x, y) for x, y in zip(ba, bb)], dtype=np.int64)
+        total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        # with |a|+|b| = s and d different: (s-d)/2 shared of (s+d)/2, so d (100+p) <= s (100-p)
+        keep = np.flatnonzero(apart * (100 + PERCENT) <= total * (100 - PERCENT))
+        yield batch.select(["a", "b"]).take(pa.array(keep))
+
+
+def _apart_bits(a: bytes, b: bytes) -> int:
+    bits = min(len(a), len(b)) * 8
+    return int(np.bitwise_count(fold(np.frombuffer(a, dtype=np.uint64), bits) ^ fold(np.frombuffer(b, dtype=np.uint64), bits)).sum())
 
 
 def _wanted(ids: DataFrame) -> np.ndarray:
@@ -263,21 +286,43 @@ def _apart(lists: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "node", "n", "pos", "root")])
-            cuts = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-            for part in np.split(rows, cuts, axis=1):
-                if held and part[0, 0] != last:
-                    yield from pairs_of(np.concatenate(held, axis=1))
-                    held = []
-                last = part[0, 0]
-                held.append(part)
+            if held and held[0][0, 0] == rows[0, -1]:  # one list throughout
+                held.append(rows)
+                continue
+            if held and held[0][0, 0] == rows[0, 0]:
+                rows = np.concatenate([*held, rows], axis=1)
+            elif held:
+                yield from pairs_of(np.concatenate(held, axis=1))
+            begin = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+            held = [rows[:, begin[-1] :]]  # may go on in the next batch
+            size = np.diff(begin)
+            for k in np.flatnonzero(size > SHORT).tolist():
+                yield from pairs_of(rows[:, begin[k] : begin[k + 1]])
+            short = rows[:, : begin[-1]][:, np.repeat(size <= SHORT, size)]
+            yield from short_pairs(short)
         if held:
             yield from pairs_of(np.concatenate(held, axis=1))
 
+    def short_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The same for many short lists at once: rows one apart, two apart and so on."""
+        shingle, node, n, pos, root = rows
+        at = np.arange(len(node))
+        for step in range(1, SHORT):
+            at = at[at < len(node) - step]
+            at = at[shingle[at] == shingle[at + step]]
+            if not len(at):
+                break
+            i, j = at, at + step
+            rest = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            keep = (root[i] != root[j]) & (100 * n[i] >= PERCENT * n[j]) & (rest * (100 + PERCENT) >= PERCENT * (n[i] + n[j]))
+            if keep.any():
+                u, v = node[i[keep]], node[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["a", "b"])
+
     def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, node, n, pos, root = rows
         for lo in range(0, len(node), BLOCK):
@@ -303,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = written(signatures(docs, common(docs)), "signed")
     usable = signed.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    payload = F.struct("n", "group", "prefix", "bitmap")
+    payload = F.struct("n", "group", "prefix", "bitmap", "wide")
     nodes = written(usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first(payload).alias("x")).select("node", "sig", "x.*"), "nodes")
 
     groups = nodes.groupBy("group").agg(F.min("node").alias("node"), F.first(F.struct("n", "prefix")).alias("x")).select("group", "node", "x.*")
@@ -312,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     members = nodes.select("group", F.col("node").alias("a")).join(groups.select("group", F.col("node").alias("b")), "group").filter("a <> b").select("a", "b")
 
     stars = lists.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = written(_likely(stars.union(members), nodes.select("node", "n", "bitmap")), "stars")
+    stars = _likely(stars.union(members), nodes)
     one_each = stars.groupBy("a").agg(F.min("b").alias("b"))
     first = verified(one_each, docs)
     roots = written(components(first), "roots")
@@ -330,7 +375,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     inside = inside.join(groups.select("group", "prefix", "n"), "group").select(F.col("prefix")[0].alias("shingle"), "node", "n", F.lit(0).alias("pos"), "root", "group")
     inside = _apart(inside.withColumn("shingle", F.col("group")).drop("group"))
     left = with_root(with_root(stars, "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
-    open_pairs = written(_likely(crossing.union(inside).union(left), nodes.select("node", "n", "bitmap")), "open")
+    open_pairs = _likely(crossing.union(inside).union(left), nodes)
     tested = one_each.select("a", "b").withColumn("_done", F.lit(True))
     second = verified(open_pairs.join(tested, ["a", "b"], "left").filter("_done is null").select("a", "b"), docs)
 
