@@ -33,7 +33,7 @@ from palaver.llm.shared import written
 from palaver.llm.textbatch import LOWER, mix, pieces, shingles, span_hashes, words
 
 PERCENT, SHINGLE = 80, 5
-SKETCH_BITS, HOT_LOCAL, HOT = 22, 4, 16  # size of the count table; repeats in a task and in all that make a shingle common
+SKETCH_BITS, HOT_LOCAL, HOT = 22, 2, 4  # size of the count table; repeats in a task and in all that make a shingle common
 BITMAP = 1024
 PER_LEADER, WANTED_BITS, BLOCK, SHORT = 256, 23, 1024, 64
 
