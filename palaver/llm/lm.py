@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ CONTEXT = 5  # bytes before the one to come
 HOT_WORDS = 1 << 18
 FLUSH = 1_500_000  # distinct keys that a task holds
 #: Predictors: bits of their table; the context is cut out of the last bytes.
-TABLES = ((16, 1), (18, 2), (20, 3), (21, 4), (21, 5), (21, 0))  # (bits of the table, bytes of context; 0: the word so far)
+TABLES = ((16, 1), (18, 2), (19, 3), (20, 4), (20, 5), (20, 0))  # (bits of the table, bytes of context; 0: the word so far)
 SIZES = [1 << b for b, _ in TABLES]
 BASES = np.concatenate([[0], np.cumsum(SIZES)])
 GATES, STEPS = 64, 33
@@ -166,20 +165,19 @@ def _bits(runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Model:
     """Counts of every slot as a logit and how well it is known, mixing weights, refinement. Fixed size."""
 
-    def __init__(self, zero: np.ndarray, one: np.ndarray):
+    def __init__(self) -> None:
         self.name = uuid.uuid4().hex
-        self.zero, self.one = zero.astype(np.float32), one.astype(np.float32)
         self.weights = np.full((GATES, len(TABLES)), 1.5 / len(TABLES))
         self.hits = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, STEPS))), (256, 1)) * 2.0
         self.seen = np.full((256, STEPS), 2.0)
         self.tables: tuple | None = None
 
-    def freeze(self) -> None:
-        """What scoring needs, without the counts."""
-        logit = np.log((self.one + SMOOTH) / (self.zero + SMOOTH)).astype(np.float32)
-        known = np.minimum(np.log2(1 + self.one + self.zero), 7).astype(np.uint8)
+    def use(self, counts: tuple[np.ndarray, np.ndarray]) -> None:
+        """Make the tables that scoring looks up, from the slot counts; done in each worker, so that only counts are sent."""
+        zero, one = (c.astype(np.float32) for c in counts)
+        logit = np.log((one + SMOOTH) / (zero + SMOOTH))
+        known = np.minimum(np.log2(1 + one + zero), 7).astype(np.uint8)
         self.tables = logit, known, np.log(self.hits / (self.seen - self.hits))
-        self.zero = self.one = None
 
     @staticmethod
     def gate(long: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -206,7 +204,8 @@ class Model:
 
 
 def build(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slot counts of zeros and ones over all byte runs, added up by a fixed number of tasks."""
+    """Slot counts of zeros and ones over all byte runs, added up by a fixed number of tasks; counts over 60,000 keep their
+    ratio."""
     total = int(BASES[-1])
     bounds = np.linspace(0, total, SEGMENTS + 1).astype(np.int64)
 
@@ -232,35 +231,34 @@ def build(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     parts = counts.filter(F.col("kind") == RUN_KIND).select("key", "n").coalesce(BUILD_TASKS).mapInArrow(run, "i int, part binary")
     rows = sorted(parts.groupBy("i").applyInArrow(add, "i int, part binary").collect())  # a table of fixed size
     table = np.concatenate([np.frombuffer(r["part"], dtype=np.float32).reshape(2, -1) for r in rows], axis=1) if rows else np.zeros((2, total), np.float32)
-    return table[0].copy(), table[1].copy()
+    scale = np.maximum(1, table.max(axis=0) / 60_000)
+    return tuple(np.ceil(t / scale).astype(np.uint16) for t in table)
 
 
-def learn(counts: DataFrame, model: Model) -> None:
-    """Mixing weights, then the refinement, from all byte runs. Each run is predicted from what the others left."""
-    spark = counts.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # fixed size
+def learn(counts: DataFrame, model: Model, shared) -> None:
+    """Mixing weights, then the refinement, from all byte runs. Each run is predicted from what the others left. ``shared``
+    is the broadcast of the slot counts."""
 
-    def inputs(m: Model, runs: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+    def inputs(tables: tuple, runs: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
         contexts = _contexts(runs)
         for node, bit in _bits(runs):
             slots = [_slots(t, c, node) for t, c in enumerate(contexts)]
-            one = np.stack([m.one[s] for s in slots]) - (bit == 1)
-            zero = np.stack([m.zero[s] for s in slots]) - (bit == 0)
+            one = np.stack([tables[1][s] for s in slots]).astype(np.float32) - (bit == 1)
+            zero = np.stack([tables[0][s] for s in slots]).astype(np.float32) - (bit == 0)
             one, zero = np.maximum(one, 0), np.maximum(zero, 0)
             logit = np.log((one + SMOOTH) / (zero + SMOOTH))
             known = np.minimum(np.log2(1 + one[-2:] + zero[-2:]), 7).astype(np.int64)
             yield node, bit, logit, Model.gate(known[0], known[1]), n.astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        weights, load = m.weights.copy(), np.zeros(GATES)
+        tables, weights, load = shared.value, start.copy(), np.zeros(GATES)
         slope = np.ones((GATES, len(TABLES)))
         hits, seen = np.zeros((256, STEPS)), np.zeros((256, STEPS))
         for batch in batches:
             keys, n = (batch.column(c).to_numpy() for c in ("key", "n"))
             for lo in range(0, len(keys), 4096):
                 runs, times = keys[lo : lo + 4096].view(np.uint64), n[lo : lo + 4096]
-                for node, bit, logit, gate, weight in inputs(m, runs, times):
+                for node, bit, logit, gate, weight in inputs(tables, runs, times):
                     x = np.einsum("tn,nt->n", logit, weights[gate])
                     wrong = (bit - 1 / (1 + np.exp(-np.clip(x, -30, 30)))) * weight
                     step = np.zeros((GATES, len(TABLES)))
@@ -276,6 +274,7 @@ def learn(counts: DataFrame, model: Model) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array(rows, pa.binary())], ["i", "part"])
 
     source = counts.filter(F.col("kind") == RUN_KIND).select("key", "n").coalesce(BUILD_TASKS)
+    start = model.weights
     for _ in range(EPOCHS):
         # one row of fixed size per building task
         rows = [np.frombuffer(r["part"]) for r in source.mapInArrow(run, "i int, part binary").collect()]
@@ -289,9 +288,7 @@ def learn(counts: DataFrame, model: Model) -> None:
         found = total[k + GATES :].reshape(2, 256, STEPS)
         prior = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
         model.hits, model.seen = found[0] + 4 * prior, found[1] + 4.0
-        shared.unpersist()
-        shared = spark.sparkContext.broadcast(model)
-    shared.unpersist()
+        start = model.weights
 
 
 class Scored:
@@ -317,10 +314,16 @@ class Scored:
         return out
 
 
-@lru_cache(maxsize=1)
-def _scored(name: str, holder) -> Scored:
-    del name
-    return Scored(holder.value)
+_latest: dict[str, Scored] = {}
+
+
+def _worker(model: Model, counts) -> Scored:
+    """The scorer of this Python worker; the one of another model is given up."""
+    if model.name not in _latest:
+        _latest.clear()
+        model.use(counts.value)
+        _latest[model.name] = Scored(model)
+    return _latest[model.name]
 
 
 def hot_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -346,16 +349,13 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", remai
     vocabulary = counts.filter(F.col("kind") == WORD_KIND)
     total = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, types = total["n"] or 0, total["v"]
-    model = Model(*build(counts))
-    learn(counts, model)
-    model.freeze()
-    holder = spark.sparkContext.broadcast(model)  # fixed size
-    name = model.name
+    model, slots = Model(), spark.sparkContext.broadcast(build(counts))  # fixed size
+    learn(counts, model, slots)
     hot = spark.sparkContext.broadcast(hot_words(counts))
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = _scored(name, holder)
+        scored = _worker(model, slots)
         keys, n = hot.value
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
