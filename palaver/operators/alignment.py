@@ -35,25 +35,30 @@ def neighbours(
     return seen.filter("_k = 1").select("_row.*", "before", "after")
 
 
+NEVER = 1e15  # past the end of every meeting, in seconds
+
+
 def align_words_midpoint(words: DataFrame, segments: DataFrame) -> DataFrame:
     """Speaker of each word by its midpoint.
 
-    Inside a segment that segment's speaker; in a gap the nearer edge, the later segment on a tie; before the first or
-    after the last that one; without segments a default. Of overlapping segments the latest to start counts.
+    Of the segments in order of their start, the first whose end lies past the midpoint counts. If it has not begun, the word
+    is in a gap, and the nearer of it and the segment before counts, the later one on a tie; past all segments the last one;
+    without segments a default. A segment can be the first past some midpoint only if its end lies past all ends before it, so
+    one running maximum and one lookup are enough, whether segments overlap or not.
     """
-    starts = segments.groupBy("meeting_id", "start").agg(F.max_by(F.struct("end", "speaker"), "end").alias("s"))
-    segs = starts.select("meeting_id", "start", F.col("s.end").alias("end"), F.col("s.speaker").alias("speaker"))
-    probes = words.drop("speaker").withColumn("_mid", (F.col("start") + F.col("end")) / 2.0)
-    near = neighbours(probes, segs, ["meeting_id"], "_mid", "start", ["end", "speaker"])
-    mid, b, a = F.col("_mid"), F.col("before"), F.col("after")
-    inside = mid < b["end"]
-    closer_before = (mid - b["end"]) < (a["at"] - mid)
-    speaker = (
-        F.when(b.isNull() & a.isNull(), F.lit(DEFAULT_SPEAKER))
-        .when(b.isNull(), a["speaker"])
-        .when(inside | a.isNull() | closer_before, b["speaker"])
-        .otherwise(a["speaker"])
+    order = ["start", "idx" if "idx" in segments.columns else "end"]
+    spans = segments.select("meeting_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "speaker", F.col(order[1]).cast("double").alias("_nth"))
+    close = spans.groupBy("meeting_id").agg(F.lit(NEVER).alias("start"), F.lit(2 * NEVER).alias("end"), F.lit(None).cast("string").alias("speaker"), F.lit(0.0).alias("_nth"))
+    seen = scan(
+        spans.unionByName(close), ["meeting_id"], ["start", "_nth"], by_time("start", 600.0),
+        {"_reach": ("max_before", F.col("end")), "prev": ("lag", F.struct("end", "speaker"))},
     )
+    first = seen.filter(F.col("_reach").isNull() | (F.col("end") > F.col("_reach")))
+    probes = words.drop("speaker").withColumn("_mid", (F.col("start") + F.col("end")) / 2.0)
+    near = neighbours(probes, first, ["meeting_id"], "_mid", "end", ["start", "speaker", "prev"])
+    mid, seg = F.col("_mid"), F.col("after")
+    before = (mid < seg["start"]) & seg["prev"].isNotNull() & ((mid - seg["prev"]["end"]) < (seg["start"] - mid))
+    speaker = F.when(seg.isNull(), F.lit(DEFAULT_SPEAKER)).when(before, seg["prev"]["speaker"]).otherwise(seg["speaker"])
     return near.withColumn("speaker", speaker).drop("_mid", "before", "after")
 
 

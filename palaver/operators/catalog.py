@@ -71,12 +71,13 @@ def progress(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"idx": idx, "pct": pct})
 
 
-def calendar_window(events: DataFrame, now: str, days: int) -> DataFrame:
-    """The first hundred events that end after midnight today and start within the days ahead (1 to 31)."""
+def calendar_window(events: DataFrame, now: str, days: int, limit: int | None = 100) -> DataFrame:
+    """The first ``limit`` events (all if None) that end after midnight today and start within the days ahead (1 to 31)."""
     days = max(1, min(int(days), 31))
     start, end = dates.parse_graph_date(F.col("start")), dates.parse_graph_date(F.col("end"))
     inside = (end > F.date_trunc("DAY", _ntz(now)).cast("timestamp_ntz")) & (start < _ntz(now) + _days(days))
-    return events.filter(inside).orderBy("start", "id").limit(100)
+    found = events.filter(inside).orderBy("start", "id")
+    return found if limit is None else found.limit(limit)
 
 
 def public_view(jobs: DataFrame, files: DataFrame) -> DataFrame:

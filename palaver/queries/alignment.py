@@ -76,12 +76,16 @@ def tokens_to_words(spark, sf):
 
 
 SQL["t_mid"] = """
-SELECT w.meeting_id, w.word_idx, w.word, w.start, w."end",
-  CASE WHEN b.start IS NULL AND a.start IS NULL THEN 'SPEAKER_00' WHEN b.start IS NULL THEN a.speaker
-       WHEN w.mid < b."end" OR a.start IS NULL OR w.mid - b."end" < a.start - w.mid THEN b.speaker ELSE a.speaker END AS speaker
-FROM (SELECT *, (start + "end") / 2 AS mid FROM t_words) w
-ASOF LEFT JOIN t_diar b ON w.meeting_id = b.meeting_id AND w.mid >= b.start
-ASOF LEFT JOIN t_diar a ON w.meeting_id = a.meeting_id AND w.mid < a.start"""
+WITH o AS (SELECT *, lag("end") OVER w AS prev_end, lag(speaker) OVER w AS prev_speaker, row_number() OVER w AS rn
+  FROM t_diar WINDOW w AS (PARTITION BY meeting_id ORDER BY start, idx)),
+l AS (SELECT meeting_id, arg_max(speaker, rn) AS last_speaker FROM o GROUP BY 1),
+m AS (SELECT *, (start + "end") / 2 AS mid FROM t_words),
+f AS (SELECT m.meeting_id, m.word_idx, min(o.rn) AS rn FROM m JOIN o ON m.meeting_id = o.meeting_id AND o."end" > m.mid GROUP BY 1, 2)
+SELECT m.meeting_id, m.word_idx, m.word, m.start, m."end",
+  CASE WHEN l.last_speaker IS NULL THEN 'SPEAKER_00' WHEN o.rn IS NULL THEN l.last_speaker
+       WHEN m.mid < o.start AND o.prev_end IS NOT NULL AND m.mid - o.prev_end < o.start - m.mid THEN o.prev_speaker ELSE o.speaker END AS speaker
+FROM m LEFT JOIN l ON m.meeting_id = l.meeting_id LEFT JOIN f ON m.meeting_id = f.meeting_id AND m.word_idx = f.word_idx
+LEFT JOIN o ON f.meeting_id = o.meeting_id AND f.rn = o.rn"""
 
 
 @query("align_words_midpoint", "SELECT * FROM t_mid")

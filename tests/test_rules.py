@@ -323,3 +323,20 @@ def test_greedy_speaker_map(spark):
     )
     got = sorted(tuple(r) for r in diarization.greedy_speaker_map(df).collect())
     assert got == [("m", "r1", "h1"), ("m", "r2", "h2"), ("n", "r1", "h9")]
+
+
+def test_overlapping_segments_give_the_first_end_past_the_word(spark):
+    """Literal cases: a word inside an earlier, longer segment is that speaker's; gaps go to the nearer edge."""
+    from palaver.operators.alignment import align_words_midpoint
+
+    segments = spark.createDataFrame(
+        [("m", 0, 0.0, 10.0, "A"), ("m", 1, 2.0, 3.0, "B"), ("m", 2, 9.4, 20.0, "C"), ("m", 3, 30.0, 31.0, "D")],
+        "meeting_id string, idx int, start double, end double, speaker string",
+    )
+    mids = [(2.5, "A"), (5.0, "A"), (9.6, "A"), (10.0, "C"), (22.0, "C"), (25.0, "D"), (29.0, "D"), (99.0, "D")]
+    words = spark.createDataFrame(
+        [("m", i, "w", t - 0.1, t + 0.1) for i, (t, _) in enumerate(mids)] + [("n", 0, "w", 0.0, 1.0)],
+        "meeting_id string, word_idx int, word string, start double, end double",
+    )
+    found = {(r.meeting_id, r.word_idx): r.speaker for r in align_words_midpoint(words, segments).collect()}
+    assert found == {("m", i): s for i, (_, s) in enumerate(mids)} | {("n", 0): "SPEAKER_00"}
