@@ -32,7 +32,7 @@ def speech_plus_filled(speech: DataFrame, subsegments: DataFrame) -> DataFrame:
 
 def merge_adjacent(segments: DataFrame, gap_s: float = MERGE_GAP_S) -> DataFrame:
     """Merge a segment into the one before when the speaker is the same and the gap is short."""
-    order, key = ["start", "end"], ["meeting_id"]
+    order, key = ["start", "end", "speaker"], ["meeting_id"]  # total but for equal rows
     runs = cut_lineage(islands(
         segments, key, order, by_time("start", 600.0), ["speaker"],
         lambda cur, prev: ~cur("speaker").eqNullSafe(prev("speaker")), "run",

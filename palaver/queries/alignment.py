@@ -181,10 +181,10 @@ def speech_plus_filled(spark, sf):
 
 
 SQL["t_merged"] = """
-WITH a AS (SELECT *, lag(speaker) OVER (PARTITION BY meeting_id ORDER BY start, "end") AS prev FROM t_spoken),
-b AS (SELECT *, sum(CASE WHEN prev IS NOT DISTINCT FROM speaker THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY start, "end") AS run FROM a),
-c AS (SELECT *, max("end") OVER (PARTITION BY meeting_id, run ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
-d AS (SELECT *, sum(CASE WHEN reach IS NULL OR start - reach >= 0.7e0 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id, run ORDER BY start, "end") AS part FROM c)
+WITH a AS (SELECT *, lag(speaker) OVER (PARTITION BY meeting_id ORDER BY start, "end", speaker) AS prev FROM t_spoken),
+b AS (SELECT *, sum(CASE WHEN prev IS NOT DISTINCT FROM speaker THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY start, "end", speaker) AS run FROM a),
+c AS (SELECT *, max("end") OVER (PARTITION BY meeting_id, run ORDER BY start, "end", speaker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+d AS (SELECT *, sum(CASE WHEN reach IS NULL OR start - reach >= 0.7e0 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id, run ORDER BY start, "end", speaker) AS part FROM c)
 SELECT meeting_id, min(start) AS start, max("end") AS "end", any_value(speaker) AS speaker FROM d GROUP BY meeting_id, run, part"""
 
 
