@@ -38,10 +38,10 @@ def flatten_decisions(spark, sf):
 @query(
     "decision_dedup",
     """SELECT meeting_id, chunk_id, pos, decision FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, k ORDER BY chunk_id, pos) AS rn FROM (
-         SELECT meeting_id, chunk_id, pos, substr(decision, 1, 2) AS decision, array_to_string(list_filter(string_split_regex(lower(substr(decision, 1, 2)), '\\s+'), lambda w: w <> ''), ' ') AS k FROM t_flat)) WHERE rn = 1""",
+         SELECT meeting_id, chunk_id, pos, decision, array_to_string(list_filter(string_split_regex(lower(decision), '\\s+'), lambda w: w <> ''), ' ') AS k FROM t_flat)) WHERE rn = 1""",
 )
 def decision_dedup(spark, sf):
-    flat = reports.flatten_decisions(sections(spark, sf)).withColumn("decision", F.substring("decision", 1, 2))
+    flat = reports.flatten_decisions(sections(spark, sf))
     return reports.decision_dedup(flat).select("meeting_id", "chunk_id", "pos", "decision")
 
 

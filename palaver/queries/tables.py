@@ -209,12 +209,13 @@ FROM (SELECT meeting_id, parent_idx AS idx, max("end") AS e FROM t_sub GROUP BY
 
 
 def topic_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments whose text is the document of the same number, with its vector."""
+    """One segment per document, with the vector whose number is the document's modulo the number of vectors."""
     e = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "text")
-    idx = F.col("vec_id") % 50
-    return e.join(d, "vec_id", "left").select(
-        F.concat(F.lit("v"), F.floor(F.col("vec_id") / 50).cast("string")).alias("meeting_id"),
+    vec_id = F.col("doc_id") % F.lit(e.count())
+    d = read(spark, sf, "documents").select("doc_id", "lang", "text", vec_id.alias("vec_id"))
+    idx = F.col("doc_id") % 50
+    return d.join(e, "vec_id", "left").select(
+        F.concat(F.lit("v"), F.floor(F.col("doc_id") / 50).cast("string")).alias("meeting_id"),
         idx.cast("int").alias("seg_idx"),
         (idx * 10).cast("double").alias("start"),
         (idx * 10 + 10).cast("double").alias("end"),
@@ -225,10 +226,10 @@ def topic_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["t_topic"] = """
-SELECT 'v' || (vec_id // 50) AS meeting_id, CAST(vec_id % 50 AS INTEGER) AS seg_idx,
-       CAST((vec_id % 50) * 10 AS DOUBLE) AS start, CAST((vec_id % 50) * 10 + 10 AS DOUBLE) AS "end",
+SELECT 'v' || (doc_id // 50) AS meeting_id, CAST(doc_id % 50 AS INTEGER) AS seg_idx,
+       CAST((doc_id % 50) * 10 AS DOUBLE) AS start, CAST((doc_id % 50) * 10 + 10 AS DOUBLE) AS "end",
        lang AS speaker, coalesce(text, '') AS text, CAST(embedding AS DOUBLE[]) AS embedding
-FROM embeddings LEFT JOIN documents ON doc_id = vec_id"""
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)"""
 
 
 # --- catalogue and calendar -------------------------------------------------------------------------------------
@@ -427,7 +428,7 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     """One section per conversation turn; its lines become points, decisions and plan items."""
     c = read(spark, sf, "conversations")
     lines = F.split("text", "\n")
-    points = F.slice(lines, 2, 1000000)
+    points = F.slice(lines, F.lit(2), F.size(lines))
     decisions = F.filter(lines, lambda s: s.contains(","))
     kind = F.when(F.col("turn") % 2 == 0, "engagement").otherwise("suggestion")
     plan = F.transform(
@@ -472,7 +473,7 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     clean = F.regexp_replace("text", r"[^a-zA-Z ,.]", " ")
     body = F.concat(
         F.lit('{"titre": "'), "role", F.lit('", "contexte": "'), clean, F.lit('", "points": ["un", " deux "], "decisions": ["'),
-        F.substring(clean, 1, 20), F.lit('", ""], "plan": [{"action": " faire ", "responsable": "SPEAKER_0'), F.col("turn"),
+        clean, F.lit('", ""], "plan": [{"action": " faire ", "responsable": "SPEAKER_0'), F.col("turn"),
         F.lit('", "echeance": "", "type": "Engagement"}, {"action": "voir", "responsable": "x", "echeance": "y", "type": "z"}, '),
         F.lit('{"action": "", "responsable": "x", "echeance": "y", "type": "engagement"}]}'),
     )
@@ -493,7 +494,7 @@ SELECT 'm' || conv_id AS meeting_id, CAST(turn AS INTEGER) AS chunk_id,
   CASE turn % 4 WHEN 0 THEN 'Voici :' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'fin'
     WHEN 1 THEN 'Bien sûr. ' || body || ' Voilà.' WHEN 2 THEN '{ cassé ' || body ELSE '  ' || clean || ' ' END AS raw
 FROM (SELECT *, '{"titre": "' || role || '", "contexte": "' || clean || '", "points": ["un", " deux "], "decisions": ["'
-    || substr(clean, 1, 20) || '", ""], "plan": [{"action": " faire ", "responsable": "SPEAKER_0' || turn
+    || clean || '", ""], "plan": [{"action": " faire ", "responsable": "SPEAKER_0' || turn
     || '", "echeance": "", "type": "Engagement"}, {"action": "voir", "responsable": "x", "echeance": "y", "type": "z"}, '
     || '{"action": "", "responsable": "x", "echeance": "y", "type": "engagement"}]}' AS body
   FROM (SELECT *, regexp_replace(text, '[^a-zA-Z ,.]', ' ', 'g') AS clean FROM conversations))"""

@@ -178,12 +178,12 @@ def llm_call_count(spark, sf):
 @query(
     "st_suggestion_feed",
     """WITH i AS (SELECT meeting_id, ts, p, items[p] AS item FROM (SELECT meeting_id, seg_idx AS ts, items, unnest(range(1, len(items) + 1)) AS p FROM (
-           SELECT meeting_id, seg_idx, list_transform(string_split(text, chr(10)), lambda s: substr(s, 1, 3)) AS items FROM t_segments)) WHERE items[p] <> ''),
+           SELECT meeting_id, seg_idx, string_split(text, chr(10)) AS items FROM t_segments)) WHERE items[p] <> ''),
        n AS (SELECT meeting_id, item, max(ts) AS ts, arg_max(p, {'a': ts, 'b': -p}) AS p FROM i GROUP BY 1, 2)
        SELECT meeting_id, rank, ts, item FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ts DESC, p) AS rank FROM n) WHERE rank <= 40""",
 )
 def st_suggestion_feed(spark, sf):
-    items = F.transform(F.split("text", "\n"), lambda s: F.substring(s, 1, 3))
+    items = F.split("text", "\n")
     g = tables.segments(spark, sf).select("meeting_id", F.col("seg_idx").alias("ts"), items.alias("items"))
     return telemetry.suggestion_feed(g)
 
