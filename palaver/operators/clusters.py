@@ -2,8 +2,9 @@
 
 Sums over all pairs of a meeting are written through label sums: for unit vectors the mean cosine from a vector to a
 cluster is its dot product with the cluster's mean, so silhouettes and degrees need no pair table. What does need single
-pairs (order statistics, nearest neighbours, blurring) runs on the bootstrap vectors of a meeting, whose number the
-live clustering fixes at ``BOOTSTRAP_SIZE``; vectors past it are assigned to the nearest centroid.
+pairs (order statistics, nearest neighbours, blurring) compares all vectors of a meeting, in pairs of blocks that are dealt
+to tasks. Only the live clustering begins with the first ``BOOTSTRAP_SIZE`` vectors of a meeting and assigns later ones to
+the nearest centroid.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from palaver.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 BOOTSTRAP_SIZE = 1000
+PAIR_BLOCK = 64
 DEFAULT_THRESHOLD, MIN_THRESHOLD, MAX_THRESHOLD = 0.6, 0.3, 0.85
 SINGLE_SPEAKER_MEDIAN = 0.75
 ROW_PERCENTILE, ROW_FACTOR = 0.95, 0.01
@@ -194,16 +196,19 @@ def silhouette_refine(vecs: DataFrame, steps: int = 2) -> DataFrame:
 # --- pairs among bootstrap vectors ------------------------------------------------------------------------------
 
 
-def pairwise(vecs: DataFrame, size: int = BOOTSTRAP_SIZE) -> DataFrame:
-    """Cosine of each pair i < j among the bootstrap vectors of a meeting, with a same-label flag.
+def pairwise(vecs: DataFrame) -> DataFrame:
+    """Cosine of each pair i < j among the vectors of a meeting, with a same-label flag.
 
-    Each vector meets one block of the others at a time, so a row holds a block of values and not a pair.
+    Each vector goes to every block from its own on, so a task holds one block of others and a long meeting is spread.
     """
-    rows = bootstrap(vecs, size).select(*KEY, "sub_idx", "label", vectors.l2_normalize(F.col("embedding"), 0.0).alias("v"))
-    blocks = rows.groupBy(*KEY, F.floor(F.col("sub_idx") / 64).alias("_block")).agg(
+    own = F.floor(F.col("sub_idx") / PAIR_BLOCK)
+    rows = vecs.select(*KEY, "sub_idx", "label", vectors.l2_normalize(F.col("embedding"), 0.0).alias("v"))
+    blocks = rows.groupBy(*KEY, own.alias("_block")).agg(
         F.collect_list(F.struct(F.col("sub_idx").alias("j"), F.col("label").alias("lj"), F.col("v").alias("w"))).alias("_others")
     )
-    met = rows.join(blocks, KEY).filter((F.col("_block") + 1) * 64 > F.col("sub_idx") + 1)
+    last = vecs.groupBy(*KEY).agg(F.max(own).alias("_last"))
+    sent = rows.join(last, KEY).select(*KEY, "sub_idx", "label", "v", F.explode(F.sequence(own, "_last")).alias("_block"))
+    met = sent.join(blocks, [*KEY, "_block"])
     return met.select(*KEY, F.col("sub_idx").alias("i"), "label", "v", F.explode("_others").alias("o")).filter(
         F.col("o.j") > F.col("i")
     ).select(
@@ -238,12 +243,12 @@ def calibrate_threshold(pairs: DataFrame, meetings: DataFrame) -> DataFrame:
 # --- affinity as an edge table (meeting_id, i, j, v) ------------------------------------------------------------
 
 
-def affinity_edges(vecs: DataFrame, size: int = BOOTSTRAP_SIZE, shifted: bool = True) -> DataFrame:
-    """Full affinity matrix of the bootstrap vectors; 1 on the diagonal."""
-    pairs = pairwise(vecs, size)
+def affinity_edges(vecs: DataFrame, shifted: bool = True) -> DataFrame:
+    """Full affinity matrix of a meeting's vectors; 1 on the diagonal."""
+    pairs = pairwise(vecs)
     value = F.greatest((F.col("sim") + 1.0) / 2.0, F.lit(0.0)) if shifted else F.col("sim")
     upper = pairs.select(*KEY, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e"), value.alias("v"))
-    diagonal = bootstrap(vecs, size).select(*KEY, F.col("sub_idx").alias("i"), F.col("sub_idx").alias("j"), F.lit(1.0).alias("v"))
+    diagonal = vecs.select(*KEY, F.col("sub_idx").alias("i"), F.col("sub_idx").alias("j"), F.lit(1.0).alias("v"))
     return upper.select(*KEY, "e.i", "e.j", "v").unionByName(diagonal)
 
 
@@ -329,7 +334,7 @@ def blur(edges: DataFrame, sigma: float = 1.0) -> DataFrame:
 
 
 def row_threshold(edges: DataFrame, p: float = ROW_PERCENTILE, factor: float = ROW_FACTOR) -> DataFrame:
-    """Entries under the row's percentile are scaled down; a row holds at most the bootstrap size."""
+    """Entries under the row's percentile are scaled down; a row has one entry for each vector of the meeting."""
     limit = F.percentile("v", p).over(Window.partitionBy(*KEY, "i"))
     return edges.withColumn("_p", limit).withColumn(
         "v", F.when(F.col("v") < F.col("_p"), F.col("v") * F.lit(factor)).otherwise(F.col("v"))

@@ -185,7 +185,7 @@ def st_online_clusterer(spark, sf):
     vecs = tables.subsegments(spark, sf)
     boot = clusters.bootstrap(vecs, 20)
     packed = clusters.centroids(boot).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("label", "centroid", "n"))).alias("cents"))
-    limit = clusters.calibrate_threshold(clusters.pairwise(boot, 20), clusters.embedding_stats(boot))
+    limit = clusters.calibrate_threshold(clusters.pairwise(boot), clusters.embedding_stats(boot))
     rest = vecs.filter("sub_idx >= 20").select("meeting_id", "sub_idx", "embedding")
     return jobs.run_to_table(jobs.assign_online(jobs.as_stream(rest, ["sub_idx"]), packed.join(limit, "meeting_id")))
 
