@@ -299,8 +299,18 @@ def list_categories(files: DataFrame, directories: DataFrame) -> DataFrame:
 # --- catalogue changes ------------------------------------------------------------------------------------------
 
 
-def rename(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Outcome of (id, new_label) requests: the label after the change and an error code."""
+def _first_only(judged: DataFrame, wants: Column, name: list[str], order: str) -> DataFrame:
+    """``judged`` where of several requests for one name, so far without error, all but the first get ``exists``. The first
+    is found by a sum per name, so a name that very many ask for is no large group."""
+    judged = judged.withColumn("_wants", F.col("error_code").isNull() & F.coalesce(wants, F.lit(False)))
+    first = judged.filter("_wants").groupBy(*name).agg(F.min(order).alias("_first"))
+    late = F.col("_wants") & (F.col(order) > F.col("_first"))
+    return judged.join(first, name, "left").withColumn("error_code", F.when(late, "exists").otherwise(F.col("error_code"))).drop("_wants", "_first")
+
+
+def rename(jobs: DataFrame, requests: DataFrame, order: str = "id") -> DataFrame:
+    """Outcome of (id, new_label) requests: the label after the change and an error code. Of requests for the same free
+    label the first by ``order`` gets it."""
     clean = requests.withColumn("wanted", text.sanitize_label(F.col("new_label")))
     names = jobs.select(F.col("label").alias("wanted")).distinct().withColumn("_taken", F.lit(True))
     out = clean.join(jobs.select("id", "status", "label"), "id", "left").join(names, "wanted", "left")
@@ -311,11 +321,14 @@ def rename(jobs: DataFrame, requests: DataFrame) -> DataFrame:
         .when(F.col("wanted") == F.col("label"), F.lit(None))
         .when(F.col("_taken").isNotNull(), "exists")
     )
-    return out.select("id", error.alias("error_code"), F.when(error.isNull(), F.col("wanted")).otherwise(F.col("label")).alias("label"))
+    out = _first_only(out.withColumn("error_code", error), ~F.col("wanted").eqNullSafe(F.col("label")), ["wanted"], order)
+    kept = F.col("error_code").isNull()
+    return out.select("id", "error_code", F.when(kept, F.col("wanted")).otherwise(F.col("label")).alias("label"))
 
 
-def move(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Outcome of (id, new_folder) requests; NULL or blank moves to the root."""
+def move(jobs: DataFrame, requests: DataFrame, order: str = "id") -> DataFrame:
+    """Outcome of (id, new_folder) requests; NULL or blank moves to the root. Of requests that would put the same label into
+    the same folder the first by ``order`` succeeds."""
     raw = text.strip(F.coalesce("new_folder", F.lit("")))
     clean = requests.withColumn("_raw", raw).withColumn(
         "wanted", F.when(F.col("_raw") != "", text.sanitize_label(F.col("_raw")))
@@ -334,15 +347,19 @@ def move(jobs: DataFrame, requests: DataFrame) -> DataFrame:
         .when(same, F.lit(None))
         .when(F.col("_taken").isNotNull(), "exists")
     )
-    return out.select("id", error.alias("error_code"), F.when(error.isNull(), F.col("wanted")).otherwise(F.col("folder")).alias("folder"))
+    out = _first_only(out.withColumn("error_code", error), ~same, ["_place", "label"], order)
+    kept = F.col("error_code").isNull()
+    return out.select("id", "error_code", F.when(kept, F.col("wanted")).otherwise(F.col("folder")).alias("folder"))
 
 
-def folder_create(requests: DataFrame, directories: DataFrame) -> DataFrame:
+def folder_create(requests: DataFrame, directories: DataFrame, order: str = "name") -> DataFrame:
+    """Outcome of (name) requests; of names that give the same new folder the first by ``order`` makes it."""
     clean = requests.withColumn("folder", text.sanitize_label(F.col("name")))
     known = directories.select("folder").distinct().withColumn("_have", F.lit(True))
     out = clean.join(known, "folder", "left")
     error = F.when(F.col("folder") == "", "invalid").when(F.col("_have").isNotNull(), "exists")
-    return out.select("name", "folder", error.alias("error_code"))
+    out = _first_only(out.withColumn("error_code", error), F.lit(True), ["folder"], order)
+    return out.select("name", "folder", "error_code")
 
 
 def deletable_folders(folders: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -240,8 +240,10 @@ SANE = r"""trim(regexp_replace(trim({}), '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '. '
           CASE o_orderpriority WHEN '1-URGENT' THEN 'Réunion ' || o_custkey WHEN '2-HIGH' THEN ' ?. ' ELSE 'Revue: ' || o_custkey END AS nl FROM orders),
         c AS (SELECT q.id, {SANE.format('nl')} AS w FROM q),
         e AS (SELECT c.id, w, j.label, CASE WHEN j.status IS NULL THEN 'not_found' WHEN j.status IN ('queued', 'running') THEN 'busy' WHEN w = '' THEN 'invalid'
-           WHEN w = j.label THEN NULL WHEN w IN (SELECT label FROM t_jobs) THEN 'exists' END AS error_code FROM c LEFT JOIN t_jobs j ON j.id = c.id)
-        SELECT id, error_code, CASE WHEN error_code IS NULL THEN w ELSE label END AS label FROM e""",
+           WHEN w = j.label THEN NULL WHEN w IN (SELECT label FROM t_jobs) THEN 'exists' END AS error_code FROM c LEFT JOIN t_jobs j ON j.id = c.id),
+        f AS (SELECT w, min(id) AS first_id FROM e WHERE error_code IS NULL AND w IS DISTINCT FROM label GROUP BY 1),
+        r AS (SELECT e.id, w, label, CASE WHEN error_code IS NULL AND w IS DISTINCT FROM label AND id > first_id THEN 'exists' ELSE error_code END AS error_code FROM e LEFT JOIN f USING (w))
+        SELECT id, error_code, CASE WHEN error_code IS NULL THEN w ELSE label END AS label FROM r""",
 )
 def cat_rename(spark, sf):
     o = tables.read(spark, sf, "orders")
@@ -258,10 +260,13 @@ def cat_rename(spark, sf):
     "cat_move",
     f"""WITH q AS (SELECT 'j' || o_orderkey AS id, CASE WHEN o_totalprice > 300000 THEN NULL WHEN o_totalprice > 200000 THEN '2-HIGH' ELSE 'Neuf ' || o_custkey END AS nf FROM orders),
         c AS (SELECT id, nullif({SANE.format("coalesce(nf, '')")}, '') AS w FROM q),
-        e AS (SELECT c.id, w, j.folder, CASE WHEN j.status IN ('queued', 'running') THEN 'busy' WHEN j.folder IS NOT DISTINCT FROM w THEN NULL
+        e AS (SELECT c.id, w, j.folder, j.label, CASE WHEN j.status IN ('queued', 'running') THEN 'busy' WHEN j.folder IS NOT DISTINCT FROM w THEN NULL
            WHEN EXISTS (SELECT 1 FROM t_jobs o WHERE coalesce(o.folder, '') = coalesce(w, '') AND o.label = j.label) THEN 'exists' END AS error_code
-           FROM c LEFT JOIN t_jobs j ON j.id = c.id)
-        SELECT id, error_code, CASE WHEN error_code IS NULL THEN w ELSE folder END AS folder FROM e""",
+           FROM c LEFT JOIN t_jobs j ON j.id = c.id),
+        f AS (SELECT coalesce(w, '') AS place, label, min(id) AS first_id FROM e WHERE error_code IS NULL AND folder IS DISTINCT FROM w GROUP BY 1, 2),
+        r AS (SELECT e.id, w, folder, CASE WHEN error_code IS NULL AND folder IS DISTINCT FROM w AND id > first_id THEN 'exists' ELSE error_code END AS error_code
+           FROM e LEFT JOIN f ON place = coalesce(w, '') AND f.label = e.label)
+        SELECT id, error_code, CASE WHEN error_code IS NULL THEN w ELSE folder END AS folder FROM r""",
 )
 def cat_move(spark, sf):
     o = tables.read(spark, sf, "orders")
@@ -273,19 +278,20 @@ def cat_move(spark, sf):
 
 @query(
     "cat_folder_create_delete",
-    f"""SELECT name, folder, CASE WHEN folder = '' THEN 'invalid' WHEN folder IN (SELECT folder FROM t_jobs WHERE folder IS NOT NULL) THEN 'exists' END AS error_code
-        FROM (SELECT name, {SANE.format('name')} AS folder FROM (SELECT DISTINCT o_orderpriority AS name FROM orders UNION ALL SELECT p_name || '?' FROM part UNION ALL SELECT '??'))
+    f"""SELECT name, folder, CASE WHEN folder = '' THEN 'invalid' WHEN folder IN (SELECT folder FROM t_jobs WHERE folder IS NOT NULL) THEN 'exists'
+          WHEN row_number() OVER (PARTITION BY folder ORDER BY no) > 1 THEN 'exists' END AS error_code
+        FROM (SELECT no, name, {SANE.format('name')} AS folder FROM (
+          SELECT DISTINCT -1 AS no, o_orderpriority AS name FROM orders UNION ALL SELECT p_partkey, p_name || '?' FROM part UNION ALL SELECT -2, '??'))
         UNION ALL SELECT f, f, 'deletable' FROM (SELECT DISTINCT p_name AS f FROM part)""",
 )
 def cat_folder_create_delete(spark, sf):
     part = tables.read(spark, sf, "part")
-    o = tables.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("name")).distinct()
-    asked = o.unionByName(part.select(F.concat("p_name", F.lit("?")).alias("name"))).unionByName(
-        spark.createDataFrame([("??",)], "name string")
-    )
+    o = tables.read(spark, sf, "orders").select(F.lit(-1).cast("long").alias("no"), F.col("o_orderpriority").alias("name")).distinct()
+    more = part.select(F.col("p_partkey").cast("long").alias("no"), F.concat("p_name", F.lit("?")).alias("name"))
+    asked = o.unionByName(more).unionByName(spark.createDataFrame([(-2, "??")], "no long, name string"))
     j = jobs(spark, sf)
     have = j.filter("folder IS NOT NULL").select("folder").distinct()
-    made = catalog.folder_create(asked, have)
+    made = catalog.folder_create(asked, have, order="no")
     free = catalog.deletable_folders(have.unionByName(part.select(F.col("p_name").alias("folder")).distinct()), j)
     return made.unionByName(free.select(F.col("folder").alias("name"), "folder", F.lit("deletable").alias("error_code")))
 
