@@ -484,7 +484,7 @@ def bootstrap_online(vecs: DataFrame, size: int = BOOTSTRAP_SIZE, create: bool =
     open a new label (``create``, the batch rule) or stay with the closest (the live rule)."""
     boot = bootstrap(vecs, size)
     cents = cut_lineage(centroids(boot))
-    limit = calibrate_threshold(pairwise(boot, size), embedding_stats(boot))
+    limit = calibrate_threshold(pairwise(boot), embedding_stats(boot))
     packed = cents.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "centroid", "n"))).alias("_c"))
     setup = packed.join(limit, KEY)
     rest = vecs.filter(F.col("sub_idx") >= size)
