@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palaver.functions.numbers import fixed
 
 # --- fixed values -----------------------------------------------------------------------------------------------
-BLANK = " \t\n\r\x0b\x0c"
+# blanks of Unicode text, the no-break space among them, as characters and as a class of regular expressions
+BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK_CLASS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 ABBREVIATION_STEMS = (
     "M", "Mme", "Mlle", "Dr", "Pr", "St", "Ste", "cf", "ex", "etc", "p", "pp", "n°", "No", "vs", "env",
 )
@@ -21,12 +27,6 @@ PUBLIC_MAIL_HOSTS = (
     "orange.fr", "free.fr", "wanadoo.fr", "sfr.fr", "laposte.net", "protonmail.com", "proton.me",
 )
 RESERVED_LABELS = ("CON", "PRN", "AUX", "NUL", *(f"{p}{i}" for p in ("COM", "LPT") for i in range(1, 10)))
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&eacute;", "é"), ("&egrave;", "è"),
-    ("&agrave;", "à"), ("&ccedil;", "ç"), ("&euro;", "€"), ("&amp;", "&"),
-)
 AUTO_LABEL = r"^\d{4}-\d{2}-\d{2}_\d{2}h\d{2}m\d{2}s"
 
 # transcript line grammars, tried in this order; (?d) keeps "." to everything but a newline
@@ -38,6 +38,14 @@ LOOSE_RANGE = r"(?d)^\[[\d:.]+\s*-\s*[\d:.]+\]\s+(.+?)\s*:\s*(.*)"
 # ----------------------------------------------------------------------------------------------------------------
 
 
+def unicode_blanks(pattern: str) -> str:
+    """The pattern with ``\\s`` for every blank of Unicode, which Java's own leaves out. Not for use inside a class."""
+    return pattern.replace(r"\s", BLANK_CLASS)
+
+
+LINE_RANGE, LINE_LONG, LINE_SHORT, LINE_BARE, LOOSE_RANGE = map(unicode_blanks, (LINE_RANGE, LINE_LONG, LINE_SHORT, LINE_BARE, LOOSE_RANGE))
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANK))
 
@@ -53,7 +61,7 @@ def is_blank(text: Column) -> Column:
 def hard_wrap(text: Column, max_chars: int) -> Column:
     """Pieces of at most ``max_chars``: cut at the last space before the limit, at the limit when there is none."""
     piece = (
-        rf"(?s)\G\s*(.{{1,{max_chars}}}\z|.{{1,{max_chars - 1}}}(?= )|.{{{max_chars}}})"
+        rf"(?s)\G{BLANK_CLASS}*(.{{1,{max_chars}}}\z|.{{1,{max_chars - 1}}}(?= )|.{{{max_chars}}})"
     )
     return F.transform(F.regexp_extract_all(text, F.lit(piece), F.lit(1)), strip)
 
@@ -61,7 +69,7 @@ def hard_wrap(text: Column, max_chars: int) -> Column:
 def split_sentences(text: Column, max_chars: int | None = None) -> Column:
     """Sentences of a text. A full stop after an abbreviation stem does not end one, wherever the stem stands."""
     stems = "|".join(ABBREVIATION_STEMS)
-    parts = F.split(text, rf"(?<=[.!?])(?<!(?:{stems})\.)\s+")
+    parts = F.split(text, rf"(?<=[.!?])(?<!(?:{stems})\.){BLANK_CLASS}+")
     sentences = F.filter(F.transform(parts, strip), lambda s: s != "")
     if max_chars:
         sentences = F.flatten(
@@ -188,15 +196,20 @@ def escape_pipes(text: Column) -> Column:
     return F.replace(text, F.lit("|"), F.lit("\\|"))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    """Named and numeric entities of HTML decoded."""
+    return text.map(html.unescape, na_action="ignore")
+
+
 def html_to_text(content: Column, content_type: Column, preview: Column) -> Column:
     """Plain text of a message body; scripts and styles go first, then tags, then entities, then spare blanks."""
     raw = strip(F.coalesce(content, F.lit("")))
     text = F.regexp_replace(raw, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = _unescaped(text)
     text = F.regexp_replace(text, "[ \t ]+", " ")
-    text = F.regexp_replace(text, r"\s*\n\s*", "\n")
+    text = F.regexp_replace(text, unicode_blanks(r"\s*\n\s*"), "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return (
         F.when(raw == "", strip(F.coalesce(preview, F.lit(""))))

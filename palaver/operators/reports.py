@@ -77,7 +77,7 @@ def number_decisions(flat: DataFrame) -> DataFrame:
 
 def decision_dedup(flat: DataFrame) -> DataFrame:
     """First of each decision after lower-casing and collapsing blanks, in order."""
-    norm = F.array_join(F.filter(F.split(F.lower("decision"), r"\s+"), lambda w: w != ""), " ")
+    norm = F.array_join(F.filter(F.split(F.lower("decision"), text.unicode_blanks(r"\s+")), lambda w: w != ""), " ")
     at = F.struct("start_time", "chunk_id", "pos")
     first = flat.withColumn("_k", norm).groupBy("meeting_id", "_k").agg(
         F.min_by(F.struct("start_time", "chunk_id", "pos", "titre", "decision"), at).alias("d")

@@ -57,6 +57,15 @@ SELECT meeting_id, line_no, kind, start, e AS "end", trim(sp, {BLANKS}) AS speak
     FROM (SELECT meeting_id, line_no, trim(raw, {BLANKS}) AS l FROM {{lines}})) WHERE kind IS NOT NULL))"""
 
 
+# entities that the pages have, in the order in which the SQL replaces them
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
+    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"),
+    ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&eacute;", "é"), ("&egrave;", "è"),
+    ("&agrave;", "à"), ("&ccedil;", "ç"), ("&euro;", "€"), ("&amp;", "&"),
+)
+
+
 @query("parse_line_grammar", PARSED_SQL.replace('{lines}', "t_lines"))
 def parse_line_grammar(spark, sf):
     return transcripts.parse_lines(tables.transcript_lines(spark, sf))
@@ -241,7 +250,7 @@ def sql_html(expr: str) -> str:
     out = f"regexp_replace({expr}, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g')"
     out = f"regexp_replace({out}, '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g')"
     out = f"regexp_replace({out}, '(?s)<[^>]+>', ' ', 'g')"
-    for entity, char in text.ENTITIES:
+    for entity, char in ENTITIES:
         out = "replace({}, '{}', '{}')".format(out, entity.replace("'", "''"), char.replace("'", "''"))
     out = f"regexp_replace({out}, '[ \\t' || chr(160) || ']+', ' ', 'g')"
     out = f"regexp_replace({out}, '[\\s\\x0b]*\\n[\\s\\x0b]*', chr(10), 'g')"

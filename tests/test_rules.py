@@ -340,3 +340,18 @@ def test_overlapping_segments_give_the_first_end_past_the_word(spark):
     )
     found = {(r.meeting_id, r.word_idx): r.speaker for r in align_words_midpoint(words, segments).collect()}
     assert found == {("m", i): s for i, (_, s) in enumerate(mids)} | {("n", 0): "SPEAKER_00"}
+
+
+def test_unicode_blanks(spark):
+    """No-break spaces around colons and sentence ends, as in French text."""
+    rows = spark.createDataFrame([("Ana\u00a0:\u00a0bonjour",), ("[00:05]\u00a0Léa\u202f:\u00a0oui\u00a0!\u00a0non\u00a0?\u2003si.",)], "line string")
+    parsed = rows.select(F.expr("line"), text.parse_line(F.col("line"), F.lit(0)).alias("p")).collect()
+    assert [(r["p"]["speaker"], r["p"]["text"]) for r in parsed] == [("Ana", "bonjour"), ("Léa", "oui\u00a0!\u00a0non\u00a0?\u2003si.")]
+    found = rows.select(text.split_sentences(F.lit("oui\u00a0!\u00a0non\u00a0?\u2003si.")).alias("s")).first()["s"]
+    assert found == ["oui\u00a0!", "non\u00a0?", "si."]
+
+
+def test_entities(spark):
+    body = "<p>&ecirc;tre &agrave; 20&deg; &#233;&#xE8; &amp;lt; &nbsp;&ocirc;</p>"
+    got = spark.range(1).select(text.html_to_text(F.lit(body), F.lit("html"), F.lit("")).alias("t")).first()["t"]
+    assert got == "être à 20° éè &lt; ô"
