@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import vectors
-from palaver.plans.scans import exact_percentile, ordered_pass
+from palaver.plans.scans import block_pass, exact_percentile
 from palaver.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -409,74 +409,101 @@ def cluster_affinity(edges: DataFrame, k: int, iterations: int = 20) -> DataFram
 # --- keyed sequential clustering --------------------------------------------------------------------------------
 
 
-class GreedyState:
-    """At most ``max_speakers`` running means."""
+PRODUCT_ROWS = 256
 
-    def __init__(self) -> None:
-        self.means: list[np.ndarray] = []
-        self.counts: list[int] = []
 
+class SpeakerSums:
+    """Sum and count of the vectors of at most ``max_speakers`` speakers. Takes (sub_idx, embedding); gives (sub_idx, label).
 
-def greedy_step(threshold: float, max_speakers: int):
-    def step(state: GreedyState, row: tuple) -> list[tuple]:
-        idx, vec = row
-        v = np.asarray(vec, dtype=np.float64)
-        if state.means:
-            c = np.stack(state.means)
-            sims = c @ v / (np.linalg.norm(v) * np.linalg.norm(c, axis=1) + 1e-10)
-            best = int(np.argmax(sims))
-            if sims[best] >= threshold or len(state.means) >= max_speakers:
-                state.counts[best] += 1
-                state.means[best] = state.means[best] + (v - state.means[best]) / state.counts[best]
-                return [(idx, best)]
-        state.means.append(v.copy())
-        state.counts.append(1)
-        return [(idx, len(state.means) - 1)]
+    The cosine to a mean is the cosine to the sum. The products of a block's vectors with the sums and with one another are
+    made at once; putting a vector to a speaker then adds its column of products to that speaker's.
+    """
 
-    return step
+    def __init__(self, threshold: float, max_speakers: int) -> None:
+        self.threshold, self.max_speakers = threshold, max_speakers
+        self.sums: np.ndarray | None = None
+        self.count, self.used = np.zeros(max_speakers), 0
+
+    def feed(self, rows: dict) -> list[tuple]:
+        vecs = np.stack([np.asarray(v, dtype=np.float64) for v in rows["embedding"]])
+        if self.sums is None:
+            self.sums = np.zeros((self.max_speakers, vecs.shape[1]))
+        labels = np.concatenate([self._block(vecs[a : a + PRODUCT_ROWS]) for a in range(0, len(vecs), PRODUCT_ROWS)])
+        return list(zip(rows["sub_idx"].tolist(), labels.tolist()))
+
+    def _block(self, vecs: np.ndarray) -> np.ndarray:
+        gram, dots = vecs @ vecs.T, vecs @ self.sums.T
+        norm, square = np.sqrt(gram.diagonal()), (self.sums**2).sum(axis=1)
+        labels = np.zeros(len(vecs), dtype=int)
+        for i in range(len(vecs)):
+            k = self.used
+            cosine = dots[i, :k] / (norm[i] * np.sqrt(square[:k]) + 1e-10 * self.count[:k])
+            join = k > 0 and (k == self.max_speakers or cosine.max() >= self.threshold)
+            at = int(cosine.argmax()) if join else k
+            self.used, labels[i] = max(k, at + 1), at
+            square[at] += 2 * dots[i, at] + gram[i, i]
+            dots[:, at] += gram[:, i]
+            self.count[at] += 1
+        np.add.at(self.sums, labels, vecs)
+        return labels
+
+    def close(self) -> list[tuple]:
+        return []
 
 
 def cosine_greedy(vecs: DataFrame, threshold: float = 0.5, max_speakers: int = 20) -> DataFrame:
     """In index order, join the closest running mean or open a new one; one small state per meeting."""
-    return ordered_pass(
-        vecs, KEY, ["sub_idx"], ["sub_idx", "embedding"], GreedyState, greedy_step(threshold, max_speakers),
-        lambda _: (), "meeting_id string, sub_idx int, label int",
+    return block_pass(
+        vecs, KEY, ["sub_idx"], ["sub_idx", "embedding"], lambda: SpeakerSums(threshold, max_speakers),
+        "meeting_id string, sub_idx int, label int",
     )
 
 
-class OnlineState:
-    """Centroids seen so far in one meeting; the first row of a meeting brings the bootstrap ones."""
-
-    def __init__(self) -> None:
-        self.labels: list[int] | None = None
-        self.cents: list[np.ndarray] = []
-        self.counts: list[int] = []
-
-
-def online_step(create: bool):
-    def step(state: OnlineState, row: tuple) -> list[tuple]:
-        idx, vec, packed, threshold = row
-        if state.labels is None:
-            state.labels = [int(c["label"]) for c in packed]
-            state.cents = [np.asarray(c["centroid"], dtype=np.float64) for c in packed]
-            state.counts = [int(c["n"]) for c in packed]
-        v = np.asarray(vec, dtype=np.float64)
-        v = v / (np.linalg.norm(v) + 1e-9)
-        sims = np.array([float(v @ c) for c in state.cents])
-        best = int(np.argmax(sims))
-        if sims[best] >= threshold:
-            n = state.counts[best]
-            moved = (state.cents[best] * n + v) / (n + 1)
-            state.cents[best] = moved / (np.linalg.norm(moved) + 1e-9)
-            state.counts[best] += 1
-        elif create:
-            state.labels.append(max(state.labels) + 1)
-            state.cents.append(v.copy())
-            state.counts.append(1)
-            best = len(state.labels) - 1
-        return [(idx, state.labels[best])]
-
-    return step
+class MovingCentroids:
+    """Centroids of one meeting, which the first row brings as ``cents``. Takes (sub_idx, embedding, cents, threshold); gives
+    (sub_idx, label).
+
+    As with the sums, products are made once per block; a centroid that moves takes a combination of its own column and the
+    vector's. ``create`` opens a label for a vector that is close to none.
+    """
+
+    def __init__(self, create: bool) -> None:
+        self.create, self.labels = create, []
+        self.cents, self.count = np.zeros((0, 0)), np.zeros(0)
+
+    def feed(self, rows: dict) -> list[tuple]:
+        if not self.labels:
+            brought = rows["cents"][0]
+            self.labels = [int(c["label"]) for c in brought]
+            self.cents = np.stack([np.asarray(c["centroid"], dtype=np.float64) for c in brought])
+            self.count = np.array([float(c["n"]) for c in brought])
+        vecs = np.stack([np.asarray(v, dtype=np.float64) for v in rows["embedding"]])
+        vecs /= np.linalg.norm(vecs, axis=1, keepdims=True) + 1e-9
+        limit, out = float(rows["threshold"][0]), []
+        for a in range(0, len(vecs), PRODUCT_ROWS):
+            out += self._block(vecs[a : a + PRODUCT_ROWS], limit)
+        return list(zip(rows["sub_idx"].tolist(), out))
+
+    def _block(self, vecs: np.ndarray, limit: float) -> list[int]:
+        gram, dots, out = vecs @ vecs.T, vecs @ self.cents.T, []
+        for i in range(len(vecs)):
+            at = int(dots[i].argmax())
+            if dots[i, at] >= limit:
+                n = self.count[at]
+                moved = n * self.cents[at] + vecs[i]
+                scale = 1.0 / (np.linalg.norm(moved) + (n + 1) * 1e-9)
+                self.cents[at], self.count[at] = moved * scale, n + 1
+                dots[:, at] = (n * dots[:, at] + gram[:, i]) * scale
+            elif self.create:
+                at = len(self.labels)
+                self.labels.append(max(self.labels) + 1)
+                self.cents, self.count = np.vstack([self.cents, vecs[i]]), np.append(self.count, 1.0)
+                dots = np.column_stack([dots, gram[:, i]])
+            out.append(self.labels[at])
+        return out
+
+    def close(self) -> list[tuple]:
+        return []
 
 
 def bootstrap_online(vecs: DataFrame, size: int = BOOTSTRAP_SIZE, create: bool = True) -> DataFrame:
@@ -485,15 +512,15 @@ def bootstrap_online(vecs: DataFrame, size: int = BOOTSTRAP_SIZE, create: bool =
     boot = bootstrap(vecs, size)
     cents = cut_lineage(centroids(boot))
     limit = calibrate_threshold(pairwise(boot), embedding_stats(boot))
-    packed = cents.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "centroid", "n"))).alias("_c"))
+    packed = cents.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "centroid", "n"))).alias("cents"))
     setup = packed.join(limit, KEY)
     rest = vecs.filter(F.col("sub_idx") >= size)
     firsts = rest.groupBy(*KEY).agg(F.min("sub_idx").alias("_first")).join(setup, KEY)
     # the centroids travel with the first row of a meeting only
-    fed = rest.join(firsts, KEY).withColumn("_c", F.when(F.col("sub_idx") == F.col("_first"), F.col("_c")))
-    later = ordered_pass(
-        fed, KEY, ["sub_idx"], ["sub_idx", "embedding", "_c", "threshold"], OnlineState, online_step(create),
-        lambda _: (), "meeting_id string, sub_idx int, label int",
+    fed = rest.join(firsts, KEY).withColumn("cents", F.when(F.col("sub_idx") == F.col("_first"), F.col("cents")))
+    later = block_pass(
+        fed, KEY, ["sub_idx"], ["sub_idx", "embedding", "cents", "threshold"], lambda: MovingCentroids(create),
+        "meeting_id string, sub_idx int, label int",
     )
     return boot.select(*KEY, "sub_idx", "label").unionByName(later)
 

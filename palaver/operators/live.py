@@ -1,21 +1,24 @@
-"""Rules of the live path as small state machines.
+"""Rules of the live path, worked out block by block.
 
-Each rule is a state, a step and a finish. The batch twin runs them with ``ordered_pass``, the streaming job with a
-keyed stateful processor, so both give the same rows.
+A rule is the state of one key. ``feed`` takes the next rows of the key as arrays by column name and returns what they
+settle; ``close`` returns what the end of the key settles. The batch twin feeds the sorted blocks of ``block_pass``, the
+stream its micro-batches, and the result does not depend on where the blocks end.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
+from itertools import pairwise
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.operators.transcripts import (
-    MAX_TURN_S, MAX_TURN_WORDS, MIN_TURN_S, SENTENCE_ENDERS, SILENCE_GAP_S,
-)
-from palaver.plans.scans import by_index, islands, ordered_pass
+from palaver.functions import text
+from palaver.operators.transcripts import SILENCE_GAP_S, ends_sentence, turn_cuts
+from palaver.plans.scans import block_pass, by_index, islands
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 COOLDOWN_S, MAX_GAP_S = 6.0, 120.0
@@ -25,62 +28,95 @@ CHUNK_MIN_TURNS, CHUNK_MAX_CHARS, LINE_EXTRA = 10, 15000, 4
 PENDING = ("running", "queued", "pending")
 # ----------------------------------------------------------------------------------------------------------------
 
+SEARCH_ROWS = 256
+
+
+def behind(held: dict | None, rows: dict) -> dict:
+    """``rows`` with the rows still held in front."""
+    return rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in rows}
+
 
 # --- turns ------------------------------------------------------------------------------------------------------
 
 
-class OpenTurn:
-    """Words of the turn being built; at most ``MAX_TURN_WORDS``."""
+class Turns:
+    """The words of the open turn, fewer than ``MAX_TURN_WORDS``.
+
+    Takes (word, start, end, speaker); gives (start, end, speaker, text). A block is cut where the speaker changes or is
+    silent, each piece by ``turn_cuts``; what lies behind the last cut stays open.
+    """
 
     def __init__(self) -> None:
-        self.words: list[str] = []
-        self.speaker, self.start, self.end = None, None, None
-
-
-def flush_turn(state: OpenTurn) -> list[tuple]:
-    out = " ".join(state.words).strip()
-    rows = [(state.start, state.end, state.speaker, out)] if out else []
-    state.words = []
-    return rows
-
-
-def word_step(state: OpenTurn, row: tuple) -> list[tuple]:
-    """Turns closed by one word (word, start, end, speaker)."""
-    word, start, end, speaker = row
-    rows: list[tuple] = []
-    fresh = not state.words
-    if not fresh and (speaker != state.speaker or start - state.end > SILENCE_GAP_S):
-        rows, fresh = flush_turn(state), True
-    if fresh:
-        state.words, state.speaker, state.start, state.end = [word], speaker, start, end
-        return rows
-    state.words.append(word)
-    state.end = end
-    length = end - state.start
-    done = word.rstrip().endswith(SENTENCE_ENDERS) and length >= MIN_TURN_S
-    if done or length >= MAX_TURN_S or len(state.words) >= MAX_TURN_WORDS:
-        rows += flush_turn(state)
-    return rows
+        self.open: dict | None = None
+
+    def feed(self, rows: dict) -> list[tuple]:
+        rows = behind(self.open, rows)
+        speaker, start, end = rows["speaker"], rows["start"].astype(float), rows["end"].astype(float)
+        final = ends_sentence(rows["word"])
+        breaks = np.flatnonzero((speaker[1:] != speaker[:-1]) | (start[1:] - end[:-1] > SILENCE_GAP_S)) + 1
+        cuts = {*breaks.tolist()}
+        for a, b in pairwise([0, *breaks.tolist(), len(start)]):
+            cuts.update(a + c for c in turn_cuts(start[a:b], end[a:b], final[a:b]))
+        edges = [0, *sorted(cuts)]
+        self.open = {c: v[edges[-1] :] for c, v in rows.items()}
+        return [r for a, b in pairwise(edges) for r in _turn(rows, a, b)]
+
+    def close(self) -> list[tuple]:
+        return [] if self.open is None or not len(self.open["word"]) else _turn(self.open, 0, len(self.open["word"]))
+
+
+def _turn(rows: dict, a: int, b: int) -> list[tuple]:
+    said = " ".join(rows["word"][a:b]).strip()
+    return [(rows["start"][a], rows["end"][b - 1], rows["speaker"][a], said)] if said else []
 
 
 # --- trigger ----------------------------------------------------------------------------------------------------
 
 
-class TriggerState:
-    def __init__(self) -> None:
-        self.last_fire, self.last_speaker = 0.0, None
+class Trigger:
+    """Time of the last advice call and the speaker heard last.
+
+    Takes (turn_idx, now, speaker, is_other, final); gives (turn_idx, fired). Each turn has a time that must have passed
+    since the last call, the cooldown for a finished turn of somebody else and the longest gap for any other, so the next
+    call is the first turn that reaches its own.
+    """
 
+    def __init__(self, since: float = 0.0) -> None:
+        self.since, self.speaker = since, None
+
+    def feed(self, rows: dict) -> list[tuple]:
+        now, speaker = rows["now"].astype(float), rows["speaker"].astype(object)
+        before = np.concatenate([np.array([self.speaker], dtype=object), speaker[:-1]])
+        other_voice = np.array([b is not None for b in before]) & (before != speaker)
+        invites = rows["is_other"].astype(bool) & (rows["final"].astype(bool) | other_voice)
+        wait = np.where(invites, COOLDOWN_S, MAX_GAP_S)
+        fired = np.zeros(len(now), dtype=bool)
+        lo = 0
+        while lo < len(now):
+            hits = np.flatnonzero(now[lo : lo + SEARCH_ROWS] - self.since >= wait[lo : lo + SEARCH_ROWS])
+            if hits.size:
+                lo += int(hits[0])
+                fired[lo], self.since = True, float(now[lo])
+                lo += 1
+            else:
+                lo += SEARCH_ROWS
+        self.speaker = speaker[-1]
+        return list(zip(rows["turn_idx"].tolist(), fired.tolist()))
+
+    def close(self) -> list[tuple]:
+        return []
+
+
+class TriggerAfterPause(Trigger):
+    """The rule for one run between long pauses; any run but the first opens with a call."""
 
-def trigger_step(state: TriggerState, row: tuple) -> list[tuple]:
-    """(turn_idx, now, speaker, is_other, final) -> (turn_idx, fired)."""
-    idx, now, speaker, is_other, final = row[:5]
-    changed = state.last_speaker is not None and speaker != state.last_speaker
-    state.last_speaker = speaker
-    gap = now - state.last_fire
-    fired = gap >= MAX_GAP_S or (gap >= COOLDOWN_S and bool(is_other) and bool(final or changed))
-    if fired:
-        state.last_fire = now
-    return [(idx, bool(fired))]
+    def __init__(self) -> None:
+        super().__init__(math.nan)
+
+    def feed(self, rows: dict) -> list[tuple]:
+        if math.isnan(self.since):
+            self.since = 0.0 if rows["run_no"][0] == 1 else -math.inf
+        return super().feed(rows)
 
 
 def live_trigger(turns: DataFrame) -> DataFrame:
@@ -93,16 +129,9 @@ def live_trigger(turns: DataFrame) -> DataFrame:
         turns, ["meeting_id"], ["turn_idx"], by_index("turn_idx"), ["now"],
         lambda cur, prev: cur("now") - prev("now") >= MAX_GAP_S, "run",
     )
-
-    def step(state: TriggerState, row: tuple) -> list[tuple]:
-        run = row[5]
-        if run > 1 and state.last_speaker is None and state.last_fire == 0.0:
-            state.last_fire = -math.inf  # the first turn after a long pause fires
-        return trigger_step(state, row)
-
-    out = ordered_pass(
-        runs.withColumn("_run", F.col("run")), ["meeting_id", "run"], ["turn_idx"],
-        ["turn_idx", "now", "speaker", "is_other", "final", "_run"], TriggerState, step, lambda _: (),
+    out = block_pass(
+        runs.withColumn("run_no", F.col("run")), ["meeting_id", "run"], ["turn_idx"],
+        ["turn_idx", "now", "speaker", "is_other", "final", "run_no"], TriggerAfterPause,
         "meeting_id string, run long, turn_idx int, fired boolean",
     )
     return out.drop("run")
@@ -111,31 +140,40 @@ def live_trigger(turns: DataFrame) -> DataFrame:
 # --- suggestions ------------------------------------------------------------------------------------------------
 
 
-class SuggestionState:
+def named_items(groups: DataFrame) -> DataFrame:
+    """``items`` without outer blanks, empty ones and repeats within the group, and the ``names`` they are compared by."""
+    items = F.filter(F.transform(F.coalesce("items", F.array().cast("array<string>")), lambda s: text.strip(s)), lambda s: s != "")
+    trimmed = groups.withColumn("items", items).withColumn("names", F.transform("items", F.lower))
+    new = trimmed.withColumn("items", F.filter("items", lambda s, i: F.array_position("names", F.lower(s)) == i + 1))
+    return new.withColumn("names", F.transform("items", F.lower))
+
+
+class Suggestions:
+    """Names of the last groups of which something was shown.
+
+    Takes (ts, items, names) of ``named_items``; gives (ts, pos, item) for the first items not shown in those groups.
+    """
+
     def __init__(self) -> None:
-        self.groups: list[list[str]] = []
-
-
-def suggestion_step(state: SuggestionState, row: tuple) -> list[tuple]:
-    """(ts, items) -> kept items: new ones without regard to case, three at most, against the last groups."""
-    ts, items = row
-    seen = {s.strip().lower() for g in state.groups for s in g}
-    kept: list[str] = []
-    for raw in items if items is not None else []:
-        s = (raw or "").strip()
-        if s and s.lower() not in seen:
-            seen.add(s.lower())
-            kept.append(s)
-            if len(kept) == MAX_SUGGESTIONS:
-                break
-    if kept:
-        state.groups = (state.groups + [kept])[-REMEMBERED_GROUPS:]
-    return [(ts, i, s) for i, s in enumerate(kept)]
+        self.shown: deque[set[str]] = deque(maxlen=REMEMBERED_GROUPS)
+
+    def feed(self, rows: dict) -> list[tuple]:
+        out: list[tuple] = []
+        for ts, items, names in zip(rows["ts"], rows["items"], rows["names"]):
+            hidden = set().union(*self.shown)
+            new = [i for i, name in enumerate(names) if name not in hidden][:MAX_SUGGESTIONS]
+            if new:
+                self.shown.append({names[i] for i in new})
+                out += [(ts, pos, items[i]) for pos, i in enumerate(new)]
+        return out
+
+    def close(self) -> list[tuple]:
+        return []
 
 
 def suggestion_dedup(groups: DataFrame) -> DataFrame:
-    return ordered_pass(
-        groups, ["meeting_id"], ["ts"], ["ts", "items"], SuggestionState, suggestion_step, lambda _: (),
+    return block_pass(
+        named_items(groups), ["meeting_id"], ["ts"], ["ts", "items", "names"], Suggestions,
         "meeting_id string, ts double, pos int, item string",
     )
 
@@ -143,110 +181,115 @@ def suggestion_dedup(groups: DataFrame) -> DataFrame:
 # --- topic chunks -----------------------------------------------------------------------------------------------
 
 
-class ChunkState:
-    """Turns since the last boundary with the vector of the window ending at each, and the curve since then.
+def similarity_curve(said: np.ndarray, embedding: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed similarities of neighbouring windows of some turns, and the turn with which each value is known.
 
-    Positions count from the first turn after the boundary. The size cap bounds the turns held.
+    A window is known by the vector of its last turn. One without text has no value and passes on the vector before it;
+    at the beginning it passes on none, to which the next window has similarity 0.
+    """
+    none = np.zeros(0, dtype=int), np.zeros(0)
+    if len(said) < CHUNK_WINDOW:
+        return none
+    spoken = sliding_window_view(np.array([bool(s and s.strip()) for s in said]), CHUNK_WINDOW).any(axis=1)
+    known = np.flatnonzero(spoken) + CHUNK_WINDOW - 1
+    vecs = [np.asarray(embedding[i], dtype=np.float64) for i in known]
+    raw = [float(a @ b) if a.shape == b.shape else 0.0 for a, b in pairwise(vecs)]
+    if len(known) and not spoken[0]:
+        raw = [0.0, *raw]
+    if not raw:
+        return none
+    weights = np.exp(-0.5 * (np.arange(int(2 * CHUNK_SIGMA) + 1) / CHUNK_SIGMA) ** 2)
+    n = len(raw)
+    smooth = np.convolve(raw, weights)[:n] / np.convolve(np.ones(n), weights)[:n]
+    smooth[:2] = raw[:2]
+    return known[-n:], smooth
+
+
+def valleys(known: np.ndarray, smooth: np.ndarray, k_sigma: float) -> dict[str, np.ndarray]:
+    """Values below the rolling band: ``at`` (turn of the boundary), ``value``, the turn that shows it (``seen``), the
+    turn that settles it (``due``, past the end if that turn has not come) and whether it stood (``stood``)."""
+    if len(smooth) < CHUNK_ROLLING:
+        low = np.zeros(0, dtype=int)
+    else:
+        recent = sliding_window_view(smooth, CHUNK_ROLLING)
+        low = np.flatnonzero(smooth[CHUNK_ROLLING - 1 :] < recent.mean(axis=1) - k_sigma * recent.std(axis=1)) + CHUNK_ROLLING - 1
+    settled = np.concatenate([known[CHUNK_DELAY:], np.full(CHUNK_DELAY, np.iinfo(np.int64).max)])
+    after = np.concatenate([smooth, np.full(CHUNK_DELAY + 1, np.inf)])
+    lowest = after[low[:, None] + np.arange(2, CHUNK_DELAY + 1)].min(axis=1) if low.size else np.zeros(0)
+    return {"at": low + 1, "value": smooth[low], "seen": known[low], "due": settled[low], "stood": lowest >= smooth[low]}
+
+
+class TopicChunks:
+    """Turns since the last boundary, as many as the size cap lets through.
+
+    Takes (start, end, speaker, text, embedding); gives (chunk_id, start_time, end_time, n_turns, text). The curve over
+    the held turns tells with which turn each valley is settled, and the sums of their lengths with which turn the cap is
+    reached. The earlier of the two cuts, a valley first on the same turn; then the turns behind the cut are the held
+    ones. Valleys of the new curve count from the turn after the cut was made (``since``), the cap from ``filled``.
     """
 
-    def __init__(self) -> None:
-        self.turns: list[tuple] = []
-        self.emitted = 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.windows, self.last, self.raw, self.smooth, self.candidates = 0, None, [], [], []
-
-
-def _commit(state: ChunkState, upto: int) -> list[tuple]:
-    """Close the chunk of the turns up to position ``upto``; an empty one is ignored."""
-    part = state.turns[: upto + 1]
-    if not part:
-        return []
-    body = "\n".join(f"[{t[2]}]: {t[3]}" for t in part)
-    row = (state.emitted, part[0][0], part[-1][1], len(part), body)
-    state.emitted += 1
-    state.turns = state.turns[upto + 1 :]
-    state.clear()
-    return [row]
-
-
-def _extend_curve(state: ChunkState, k_sigma: float) -> None:
-    size = CHUNK_WINDOW
-    while state.windows + size <= len(state.turns):
-        held = state.turns[state.windows : state.windows + size]
-        vec = held[-1][4]
-        state.windows += 1
-        if not any((t[3] or "").strip() for t in held):
-            # a window without text repeats the vector before it and adds no similarity
-            if state.last is None:
-                state.last = np.zeros(1)
-            continue
-        v = np.asarray(vec, dtype=np.float64)
-        prev, state.last = state.last, v
-        if prev is None:
-            continue
-        state.raw.append(float(prev @ v) if len(prev) == len(v) else 0.0)
-        n = min(int(2 * CHUNK_SIGMA) + 1, len(state.raw))
-        if len(state.raw) <= 2:
-            state.smooth.append(state.raw[-1])
-        else:
-            w = np.exp(-0.5 * (np.arange(n)[::-1] / CHUNK_SIGMA) ** 2)
-            state.smooth.append(float(np.dot(state.raw[-n:], w / w.sum())))
-        if len(state.smooth) >= CHUNK_ROLLING:
-            recent = np.asarray(state.smooth[-CHUNK_ROLLING:])
-            if state.smooth[-1] < recent.mean() - k_sigma * recent.std():
-                state.candidates.append((len(state.raw), state.smooth[-1]))
-
-
-def chunk_step(k_sigma: float = CHUNK_K, max_chars: int = CHUNK_MAX_CHARS, min_turns: int = CHUNK_MIN_TURNS):
-    def step(state: ChunkState, row: tuple) -> list[tuple]:
-        """Chunks closed by one turn (start, end, speaker, text, embedding)."""
-        state.turns.append(tuple(row))
-        out: list[tuple] = []
-        if len(state.turns) >= CHUNK_WINDOW:
-            _extend_curve(state, k_sigma)
-            confirmed, waiting = [], []
-            for at, value in state.candidates:
-                if len(state.smooth) - at < CHUNK_DELAY:
-                    waiting.append((at, value))
-                    continue
-                later = state.smooth[at + 1 : at + CHUNK_DELAY]
-                if all(x >= value for x in later) and at + 1 >= min_turns:
-                    confirmed.append(at)
-            state.candidates = waiting
-            gone = 0
-            for at in confirmed:
-                if at - gone >= 0:
-                    out += _commit(state, at - gone)
-                    gone = at + 1
-        size = sum(len(t[3]) + len(t[2]) + LINE_EXTRA for t in state.turns)
-        if size >= max_chars:
-            ready = [(value, at) for at, value in state.candidates if at + 1 >= min_turns]
-            out += _commit(state, min(ready)[1] if ready else len(state.turns) - 1)
+    def __init__(self, k_sigma: float = CHUNK_K, max_chars: int = CHUNK_MAX_CHARS, min_turns: int = CHUNK_MIN_TURNS) -> None:
+        self.k_sigma, self.max_chars, self.min_turns = k_sigma, max_chars, min_turns
+        self.held: dict | None = None
+        self.since = self.filled = self.emitted = 0
+
+    def _valleys(self, turns: dict) -> dict[str, np.ndarray]:
+        found = valleys(*similarity_curve(turns["text"], turns["embedding"]), self.k_sigma)
+        found["due"] = np.maximum(found["due"], self.since)
+        long_enough = found["at"] + 1 >= self.min_turns
+        return {c: v[long_enough] for c, v in found.items()}
+
+    def _pending(self, found: dict[str, np.ndarray], now: int) -> np.ndarray:
+        """Valleys seen by turn ``now`` that it does not settle."""
+        return np.flatnonzero((found["seen"] <= now) & (found["due"] > now) & (now >= self.since))
+
+    def _cut(self, turns: dict, ends: list[int]) -> tuple[dict, list[tuple]]:
+        out = []
+        for a, b in pairwise([0, *(e + 1 for e in ends)]):
+            lines = [f"[{s}]: {t or ''}" for s, t in zip(turns["speaker"][a:b], turns["text"][a:b])]
+            out.append((self.emitted, turns["start"][a], turns["end"][b - 1], b - a, "\n".join(lines)))
+            self.emitted += 1
+        return {c: v[ends[-1] + 1 :] for c, v in turns.items()}, out
+
+    def feed(self, rows: dict) -> list[tuple]:
+        turns, out = behind(self.held, rows), []
+        while n := len(turns["text"]):
+            size = np.cumsum([len(t or "") + len(s or "") + LINE_EXTRA for t, s in zip(turns["text"], turns["speaker"])])
+            full = max(int(np.searchsorted(size, self.max_chars)), self.filled)
+            found = self._valleys({c: v[: full + 1] for c, v in turns.items()})
+            stood = np.flatnonzero(found["stood"] & (found["due"] < n))
+            settled = int(found["due"][stood].min()) if stood.size else n
+            now = min(settled, full)
+            if now >= n:
+                break
+            if settled <= full:
+                ends = found["at"][stood][found["due"][stood] == now].tolist()
+            else:
+                open_ = self._pending(found, now)
+                ends = [int(found["at"][open_[np.argmin(found["value"][open_])]])] if open_.size else [now]
+            turns, rows_out = self._cut(turns, ends)
+            out += rows_out
+            self.since = now - ends[-1]
+            self.filled = self.since - 1 if settled <= full else self.since
+        self.held = turns
         return out
 
-    return step
-
+    def close(self) -> list[tuple]:
+        """The first valley not settled yet cuts once more; the rest is the last chunk."""
+        if self.held is None or not (n := len(self.held["text"])):
+            return []
+        found = self._valleys(self.held)
+        ends = [int(found["at"][i]) for i in self._pending(found, n - 1)[:1]]
+        return self._cut(self.held, ends if ends == [n - 1] else [*ends, n - 1])[1]
 
-def chunk_finish(min_turns: int = CHUNK_MIN_TURNS):
-    def finish(state: ChunkState) -> list[tuple]:
-        """The first pending candidate that makes a long enough chunk, then the rest."""
-        out: list[tuple] = []
-        for at, _ in list(state.candidates):
-            if at + 1 >= min_turns:
-                out += _commit(state, at)
-                break
-        return out + _commit(state, len(state.turns) - 1)
 
-    return finish
+CHUNK_COLUMNS = ["start", "end", "speaker", "text", "embedding"]
 
 
 def topic_chunker(turns: DataFrame, k_sigma: float = CHUNK_K, max_chars: int = CHUNK_MAX_CHARS, min_turns: int = CHUNK_MIN_TURNS) -> DataFrame:
     """Batch twin of the live chunker on (meeting_id, seg_idx, start, end, speaker, text, embedding)."""
-    return ordered_pass(
-        turns, ["meeting_id"], ["seg_idx"], ["start", "end", "speaker", "text", "embedding"], ChunkState,
-        chunk_step(k_sigma, max_chars, min_turns), chunk_finish(min_turns),
+    return block_pass(
+        turns, ["meeting_id"], ["seg_idx"], CHUNK_COLUMNS, lambda: TopicChunks(k_sigma, max_chars, min_turns),
         "meeting_id string, chunk_id int, start_time double, end_time double, n_turns int, text string",
     )
 
@@ -254,39 +297,44 @@ def topic_chunker(turns: DataFrame, k_sigma: float = CHUNK_K, max_chars: int = C
 # --- job status and provisional speakers ------------------------------------------------------------------------
 
 
-class StatusState:
+class Statuses:
+    """Status before, and whether the one notice was given. Takes (t, status); gives (t)."""
+
     def __init__(self) -> None:
         self.before, self.told = None, False
 
+    def feed(self, rows: dict) -> list[tuple]:
+        status = rows["status"].tolist()
+        done = [t for t, a, b in zip(rows["t"], [self.before, *status], status) if b == "done" and a in PENDING]
+        self.before, first = status[-1], [] if self.told else done[:1]
+        self.told = self.told or bool(first)
+        return [(t,) for t in first]
 
-def status_step(state: StatusState, row: tuple) -> list[tuple]:
-    """(t, status) -> the one notice when a pending job is done."""
-    t, status = row
-    hit = status == "done" and state.before in PENDING and not state.told
-    state.before = status
-    if hit:
-        state.told = True
-        return [(t,)]
-    return []
+    def close(self) -> list[tuple]:
+        return []
 
 
-class LabelState:
-    """Vectors that can still be nearest to a word: the latest at or before the last word, and later ones."""
+class Labels:
+    """Vectors that can still be nearest to a word: the latest at or before the last word, and later ones.
 
-    def __init__(self) -> None:
-        self.vectors: list[tuple] = []
+    Takes (kind, t, word_idx, label); a vector is remembered, a word gets the nearest label, the earlier on a tie.
+    """
 
+    def __init__(self) -> None:
+        self.t, self.label = np.zeros(0), np.zeros(0, dtype=int)
+
+    def feed(self, rows: dict) -> list[tuple]:
+        out = []
+        for kind, t, word_idx, label in zip(rows["kind"], rows["t"], rows["word_idx"], rows["label"]):
+            if kind == "vector":
+                self.t, self.label = np.append(self.t, t), np.append(self.label, int(label))
+                continue
+            near = f"{self.label[np.abs(self.t - t).argmin()]:02d}" if len(self.t) else "?"
+            out.append((int(word_idx), f"SPEAKER_{near}"))
+            passed = np.flatnonzero(self.t <= t)
+            if passed.size:
+                self.t, self.label = self.t[passed[-1] :], self.label[passed[-1] :]
+        return out
 
-def label_step(state: LabelState, row: tuple) -> list[tuple]:
-    """(kind, t, word_idx, label): a vector is remembered, a word gets the nearest label, the earlier on a tie."""
-    kind, t, word_idx, label = row
-    if kind == "vector":
-        state.vectors.append((t, int(label)))
+    def close(self) -> list[tuple]:
         return []
-    if not state.vectors:
-        return [(int(word_idx), "SPEAKER_?")]
-    best = min(state.vectors, key=lambda v: abs(v[0] - t))
-    passed = [i for i, v in enumerate(state.vectors) if v[0] <= t]
-    if passed:
-        state.vectors = state.vectors[passed[-1] :]
-    return [(int(word_idx), f"SPEAKER_{best[1]:02d}")]

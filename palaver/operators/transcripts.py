@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import text
 from palaver.plans.rows import ordered_text
-from palaver.plans.scans import by_index, by_time, islands, ordered_pass, running_number, scan
+from palaver.plans.scans import block_pass, by_index, by_time, islands, running_number, scan
 from palaver.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -156,35 +157,52 @@ def hard_runs(words: DataFrame) -> DataFrame:
     )
 
 
-class TurnState:
-    """Open turn inside one run: number, first start, word count."""
+def ends_sentence(words: np.ndarray) -> np.ndarray:
+    return np.array([bool(w) and w.rstrip().endswith(SENTENCE_ENDERS) for w in words], dtype=bool)
 
-    __slots__ = ("turn", "start", "count")
+
+def turn_cuts(start: np.ndarray, end: np.ndarray, final: np.ndarray) -> list[int]:
+    """Where turns end in a run of words, as the positions behind their last words; the words behind the last cut are open.
+
+    A word asks for a least length of the turn, a short one if it ends a sentence, and the first word past the opening one
+    that finds it reached ends the turn. No turn needs a look at more than ``MAX_TURN_WORDS`` words.
+    """
+    asks = np.where(final, MIN_TURN_S, MAX_TURN_S)
+    cuts, a = [], 0
+    while a < len(start):
+        b = a + MAX_TURN_WORDS
+        reached = np.flatnonzero(end[a + 1 : b] - start[a] >= asks[a + 1 : b])
+        a = a + 2 + int(reached[0]) if reached.size else b
+        if a <= len(start):
+            cuts.append(a)
+    return cuts
+
+
+class TurnParts:
+    """Number of the open turn within a run, and its words. Takes (word_idx, word, start, end); gives (word_idx, part)."""
 
     def __init__(self) -> None:
-        self.turn, self.start, self.count = 0, None, 0
+        self.part, self.open = 0, [np.zeros(0), np.zeros(0), np.zeros(0, dtype=bool)]
 
+    def feed(self, rows: dict) -> list[tuple]:
+        held = len(self.open[0])
+        new = rows["start"].astype(float), rows["end"].astype(float), ends_sentence(rows["word"])
+        words = [np.concatenate(x) for x in zip(self.open, new)]
+        cuts = turn_cuts(*words)
+        parts = self.part + np.searchsorted(cuts, np.arange(held, len(words[0])), side="right")
+        self.part, self.open = self.part + len(cuts), [x[cuts[-1] if cuts else 0 :] for x in words]
+        return list(zip(rows["word_idx"].tolist(), parts.tolist()))
 
-def turn_step(state: TurnState, row: tuple) -> list[tuple]:
-    """Turn number of a word; the first word of a turn is not tested for an end."""
-    word_idx, word, start, end = row
-    if state.count == 0:
-        state.start, state.count = start, 1
-        return [(word_idx, state.turn)]
-    state.count += 1
-    here, length = state.turn, end - state.start
-    sentence = word.rstrip().endswith(SENTENCE_ENDERS) and length >= MIN_TURN_S
-    if sentence or length >= MAX_TURN_S or state.count >= MAX_TURN_WORDS:
-        state.turn, state.count = here + 1, 0
-    return [(word_idx, here)]
+    def close(self) -> list[tuple]:
+        return []
 
 
 def turn_builder(words: DataFrame) -> DataFrame:
     """Turns of a word stream: hard ends at speaker changes and silences, soft ends inside a run."""
     runs = hard_runs(words)
-    numbered = ordered_pass(
-        runs, ["meeting_id", "run"], ["word_idx"], ["word_idx", "word", "start", "end"],
-        TurnState, turn_step, lambda _: (), "meeting_id string, run long, word_idx long, part int",
+    numbered = block_pass(
+        runs, ["meeting_id", "run"], ["word_idx"], ["word_idx", "word", "start", "end"], TurnParts,
+        "meeting_id string, run long, word_idx long, part int",
     )
     joined = words.join(numbered, ["meeting_id", "word_idx"])
     turns = joined.groupBy("meeting_id", "run", "part").agg(

@@ -9,14 +9,15 @@ the ordering column:
 * ``frames`` serves bounded frames (a few rows before and after) by copying the rows near a bucket edge to the
   neighbouring bucket.
 * ``exact_percentile`` finds the two order statistics through a histogram per meeting.
-* ``ordered_pass`` is for rules whose next step depends on their own output; it keeps one small state per key and
-  never holds a group in memory.
+* ``ordered_pass`` and ``block_pass`` are for rules whose next step depends on their own output; they keep one small
+  state per key and never hold a group in memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -262,3 +263,48 @@ def ordered_pass(
             yield pd.DataFrame.from_records([(*key, *r) for r in finish(state)], columns=names)
 
     return sorted_rows.mapInPandas(run, schema)
+
+
+def block_pass(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    rule: Callable[[], object],
+    schema: str,
+) -> DataFrame:
+    """Like ``ordered_pass`` for rules that work on whole blocks.
+
+    ``rule()`` makes the state of a key. Its ``feed`` takes the next rows of the key, at most one Arrow batch, as arrays by
+    column name; its ``close`` is called at the end of the key. Both return rows without the key columns.
+    """
+    keys, columns = list(keys), list(columns)
+    names = [part.strip().split()[0].strip("`") for part in schema.split(",")]
+    sorted_rows = (
+        df.select(*keys, *columns, *[c for c in order if c not in columns and c not in keys])
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, *order)
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            if batch.empty:
+                continue
+            out = []
+            rows = {c: batch[c].to_numpy() for c in columns}
+            head = [batch[c].to_numpy() for c in keys]
+            moved = np.any([h[1:] != h[:-1] for h in head], axis=0)
+            edges = [0, *(np.flatnonzero(moved) + 1).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:]):
+                here = tuple(h[a] for h in head)
+                if here != key:
+                    if key is not None:
+                        out.extend((*key, *r) for r in state.close())
+                    key, state = here, rule()
+                out.extend((*key, *r) for r in state.feed({c: v[a:b] for c, v in rows.items()}))
+            yield pd.DataFrame.from_records(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame.from_records([(*key, *r) for r in state.close()], columns=names)
+
+    return sorted_rows.mapInPandas(run, schema)

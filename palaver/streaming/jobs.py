@@ -6,13 +6,14 @@ Input is keyed by meeting (or job). A producer marks the end of a meeting with a
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.operators import clusters, live, transcripts
 from palaver.session import STATE_STORE, cut_lineage, shared_dir
-from palaver.streaming.processors import EndReminder, StepProcessor
+from palaver.streaming.processors import EndReminder, RuleProcessor
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -20,7 +21,7 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _keyed(df: DataFrame, key: str, processor: StepProcessor, schema: str) -> DataFrame:
+def _keyed(df: DataFrame, key: str, processor: RuleProcessor, schema: str) -> DataFrame:
     use_state_store(df.sparkSession)
     return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "None")
 
@@ -41,9 +42,9 @@ def sliding_speech(frames: DataFrame, threshold: float = 0.4, delay: str = "10 s
 
 
 def build_turns(words: DataFrame) -> DataFrame:
-    p = StepProcessor(
+    p = RuleProcessor(
         "meeting_id", ["word_idx"], ["word", "start", "end", "speaker"], ["start", "end", "speaker", "text"],
-        live.OpenTurn, live.word_step, live.flush_turn, "ended",
+        live.Turns, "ended",
     )
     return _keyed(words, "meeting_id", p, "meeting_id string, start double, end double, speaker string, text string")
 
@@ -53,10 +54,9 @@ def split_turns(turns: DataFrame, max_chars: int | None = 300) -> DataFrame:
 
 
 def chunk_topics(turns: DataFrame, k_sigma: float = live.CHUNK_K, max_chars: int = live.CHUNK_MAX_CHARS, min_turns: int = live.CHUNK_MIN_TURNS) -> DataFrame:
-    p = StepProcessor(
-        "meeting_id", ["seg_idx"], ["start", "end", "speaker", "text", "embedding"],
-        ["chunk_id", "start_time", "end_time", "n_turns", "text"], live.ChunkState,
-        live.chunk_step(k_sigma, max_chars, min_turns), live.chunk_finish(min_turns), "ended",
+    p = RuleProcessor(
+        "meeting_id", ["seg_idx"], live.CHUNK_COLUMNS, ["chunk_id", "start_time", "end_time", "n_turns", "text"],
+        partial(live.TopicChunks, k_sigma, max_chars, min_turns), "ended",
     )
     return _keyed(
         turns, "meeting_id", p, "meeting_id string, chunk_id int, start_time double, end_time double, n_turns int, text string"
@@ -65,35 +65,35 @@ def chunk_topics(turns: DataFrame, k_sigma: float = live.CHUNK_K, max_chars: int
 
 def provisional_speakers(items: DataFrame) -> DataFrame:
     """Speaker of each word as known when it comes; (meeting_id, seq, kind, t, word_idx, label) rows in order."""
-    p = StepProcessor("meeting_id", ["seq"], ["kind", "t", "word_idx", "label"], ["word_idx", "speaker"], live.LabelState, live.label_step)
+    p = RuleProcessor("meeting_id", ["seq"], ["kind", "t", "word_idx", "label"], ["word_idx", "speaker"], live.Labels)
     return _keyed(items, "meeting_id", p, "meeting_id string, word_idx long, speaker string")
 
 
 def assign_online(vectors: DataFrame, setup: DataFrame) -> DataFrame:
     """Closest bootstrap speaker of each later vector. ``setup`` is a batch table of centroids and threshold."""
     fed = vectors.join(setup, "meeting_id")
-    p = StepProcessor(
-        "meeting_id", ["sub_idx"], ["sub_idx", "embedding", "cents", "threshold"], ["sub_idx", "label"], clusters.OnlineState,
-        clusters.online_step(create=False),
+    p = RuleProcessor(
+        "meeting_id", ["sub_idx"], ["sub_idx", "embedding", "cents", "threshold"], ["sub_idx", "label"],
+        partial(clusters.MovingCentroids, create=False),
     )
     return _keyed(fed, "meeting_id", p, "meeting_id string, sub_idx int, label int")
 
 
 def trigger(turns: DataFrame) -> DataFrame:
-    p = StepProcessor(
+    p = RuleProcessor(
         "meeting_id", ["turn_idx"], ["turn_idx", "now", "speaker", "is_other", "final"], ["turn_idx", "fired"],
-        live.TriggerState, live.trigger_step,
+        live.Trigger,
     )
     return _keyed(turns, "meeting_id", p, "meeting_id string, turn_idx int, fired boolean")
 
 
 def dedup_suggestions(groups: DataFrame) -> DataFrame:
-    p = StepProcessor("meeting_id", ["ts"], ["ts", "items"], ["ts", "pos", "item"], live.SuggestionState, live.suggestion_step)
-    return _keyed(groups, "meeting_id", p, "meeting_id string, ts double, pos int, item string")
+    p = RuleProcessor("meeting_id", ["ts"], ["ts", "items", "names"], ["ts", "pos", "item"], live.Suggestions)
+    return _keyed(live.named_items(groups), "meeting_id", p, "meeting_id string, ts double, pos int, item string")
 
 
 def status_notices(log: DataFrame) -> DataFrame:
-    p = StepProcessor("job_id", ["t", "event_id"], ["t", "status"], ["t"], live.StatusState, live.status_step)
+    p = RuleProcessor("job_id", ["t", "event_id"], ["t", "status"], ["t"], live.Statuses)
     return _keyed(log, "job_id", p, "job_id string, t double")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,45 +15,38 @@ def as_frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns, dtype=object)
 
 
-class StepProcessor(StatefulProcessor):
-    """Runs a live rule over the rows of each key in order; the state is kept between micro-batches.
+class RuleProcessor(StatefulProcessor):
+    """Feeds the rows of each key in order to a live rule, which is kept between micro-batches.
 
-    Rows of one key within a micro-batch are put in order first. A row whose ``end`` column is set ends the key: the
-    rule's finish runs and the state is cleared.
+    Rows of one key within a micro-batch are put in order first. A row whose ``end`` column is set closes the rule, and
+    rows behind it open a new one, in the same micro-batch as in a later one.
     """
 
-    def __init__(
-        self,
-        key: str,
-        order: list[str],
-        columns: list[str],
-        out: list[str],
-        start: Callable[[], object],
-        step: Callable[[object, tuple], Iterable[tuple]],
-        finish: Callable[[object], Iterable[tuple]] | None = None,
-        end: str | None = None,
-    ) -> None:
-        self.key, self.order, self.columns, self.out = key, order, columns, out
-        self.start, self.step, self.finish, self.end = start, step, finish, end
+    def __init__(self, key: str, order: list[str], columns: list[str], out: list[str], rule: Callable[[], object], end: str | None = None) -> None:
+        self.key, self.order, self.columns, self.out, self.rule, self.end = key, order, columns, out, rule, end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        cols = {c: frame[c].to_numpy() for c in self.columns}
+        ends = np.flatnonzero(frame[self.end].to_numpy().astype(bool)).tolist() if self.end else []
+        rule = pickle.loads(self.state.get()[0]) if self.state.exists() else None
         out: list[tuple] = []
-        ends = frame[self.end].tolist() if self.end else [False] * len(frame)
-        for over, row in zip(ends, frame[self.columns].itertuples(index=False, name=None)):
-            if over:
-                out.extend(self.finish(state))
-                state = None
-                break
-            out.extend(self.step(state, row))
-        if state is None:
+        a = 0
+        for b in [*ends, len(frame)]:
+            if a < b:
+                rule = rule or self.rule()
+                out += rule.feed({c: v[a:b] for c, v in cols.items()})
+            if b < len(frame) and rule:
+                out += rule.close()
+                rule = None
+            a = b + 1
+        if rule is None:
             self.state.clear()
         else:
-            self.state.update((pickle.dumps(state),))
+            self.state.update((pickle.dumps(rule),))
         yield as_frame([(key[0], *r) for r in out], [self.key, *self.out])
 
     def close(self) -> None:

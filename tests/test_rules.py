@@ -144,10 +144,14 @@ def test_turn_builder_against_plain(spark, seed, kw):
 
 def test_turn_limits():
     def run(words):
-        state, out = live.OpenTurn(), []
-        for w in words:
-            out += live.word_step(state, w)
-        return out + live.flush_turn(state)
+        by_column = dict(zip(["word", "start", "end", "speaker"], map(np.array, zip(*words))))
+        whole = live.Turns()
+        out = whole.feed(by_column) + whole.close()
+        single, parts = live.Turns(), []
+        for i in range(len(words)):
+            parts += single.feed({c: v[i : i + 1] for c, v in by_column.items()})
+        assert parts + single.close() == out
+        return out
 
     assert len(run([("a", 0.0, 1.0, "S"), ("b", 1.75, 2.0, "S")])) == 1  # gap below the limit
     assert len(run([("a", 0.0, 1.0, "S"), ("b", 1.81, 2.0, "S")])) == 2
@@ -158,8 +162,9 @@ def test_turn_limits():
 def test_trigger_gaps(spark):
     turns = [(0, 5.9, "A", True, True), (1, 6.0, "A", True, True), (2, 11.0, "B", True, True), (3, 12.0, "B", True, True),
              (4, 131.9, "B", False, True), (5, 132.0, "B", False, False), (6, 400.0, "B", False, False), (7, 404.0, "A", True, True)]
-    state = live.TriggerState()
-    plain = [live.trigger_step(state, t)[0] for t in turns]
+    rule, plain = live.Trigger(), []
+    for t in turns:
+        plain += rule.feed({c: np.array([v]) for c, v in zip(["turn_idx", "now", "speaker", "is_other", "final"], t)})
     assert [f for _, f in plain] == [False, True, False, True, False, True, True, False]
     df = spark.createDataFrame([("m", *t) for t in turns], "meeting_id string, turn_idx int, now double, speaker string, is_other boolean, final boolean")
     assert sorted((r.turn_idx, r.fired) for r in live.live_trigger(df).collect()) == plain
@@ -355,3 +360,12 @@ def test_entities(spark):
     body = "<p>&ecirc;tre &agrave; 20&deg; &#233;&#xE8; &amp;lt; &nbsp;&ocirc;</p>"
     got = spark.range(1).select(text.html_to_text(F.lit(body), F.lit("html"), F.lit("")).alias("t")).first()["t"]
     assert got == "être à 20° éè &lt; ô"
+
+
+def test_suggestions(spark):
+    rows = [("m", 1.0, [" a ", "A", "b", None, "", "c", "d"]), ("m", 2.0, ["D", "a"]), ("m", 3.0, None), ("m", 4.0, ["a", "b"])]
+    rows += [("m", 5.0 + i, [f"x{i}"]) for i in range(3)] + [("m", 9.0, ["A"])]
+    df = spark.createDataFrame(rows, "meeting_id string, ts double, items array<string>")
+    got = sorted((r.ts, r.pos, r.item) for r in live.suggestion_dedup(df).collect())
+    # the last four groups shown count: at 9.0 they are D, x0, x1 and x2
+    assert got == [(1.0, 0, "a"), (1.0, 1, "b"), (1.0, 2, "c"), (2.0, 0, "D"), (5.0, 0, "x0"), (6.0, 0, "x1"), (7.0, 0, "x2"), (9.0, 0, "A")]

@@ -92,3 +92,11 @@ def test_end_reminder(spark):
     for slices in (1, 3):
         out = jobs.run_to_table(jobs.end_reminders(jobs.as_stream(states, ["ts"], "job_id", slices=slices)))
         assert sorted((r.event_id, (r.at_ms - base) // 1000) for r in out.collect()) == [("e1", 60), ("e4", 400)]
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_words_after_an_end_mark(spark, slices):
+    rows = [("m", 0, "a", 0.0, 0.4, "S", False), ("m", 1, None, None, None, None, True), ("m", 2, "b", 1.0, 1.4, "S", False), ("m", 3, None, None, None, None, True)]
+    df = spark.createDataFrame(rows, "meeting_id string, word_idx long, word string, start double, end double, speaker string, ended boolean")
+    out = jobs.run_to_table(jobs.build_turns(jobs.as_stream(df, ["word_idx"], slices=slices)))
+    assert sorted(r.text for r in out.collect()) == ["a", "b"]
