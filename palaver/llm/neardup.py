@@ -46,48 +46,62 @@ def buckets(unit: np.ndarray, tables: int = TABLES, projections: int = PROJECTIO
         return (cells * weight).reshape(len(unit), tables, projections).sum(axis=2)
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _stored(x: np.ndarray) -> bytes:
+    """Components in four bytes where that loses nothing, else in eight."""
+    with np.errstate(over="ignore"):
+        narrow = x.astype("<f4")
+    return (narrow if (narrow == x).all() else x.astype("<f8")).tobytes()
+
+
+def _units(raw: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors of stored components, in double precision."""
+    v = np.empty((len(raw), dim))
+    narrow = np.array([len(x) == 4 * dim for x in raw], dtype=bool)
+    for pick, kind in ((narrow, "<f4"), (~narrow, "<f8")):
+        at = np.flatnonzero(pick)
+        v[at] = np.frombuffer(b"".join(raw[i] for i in at.tolist()), dtype=kind).reshape(len(at), dim)
+    v /= np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def _distinct(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(vec_id, key, raw): a digest and the bytes of usable vectors, null for others."""
+    """(vec_id, key, dim, raw): a digest, the number of components and their bytes, null for unusable vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, raws = [], []
+            keys, dims, raws = [], [], []
             for v in batch.column(column).to_pylist():
                 x = np.array([np.nan] if not v or None in v else v, dtype=np.float64)
                 scale = np.abs(x).max() if np.isfinite(x).all() else 0.0
-                raw = (x / scale).astype("<f8").tobytes() if scale > 0 else None
+                raw = _stored(x) if scale > 0 else None
                 raws.append(raw)
+                dims.append(raw and len(x))
                 keys.append(raw and hashlib.blake2b(x.astype("<f8").tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["vec_id", "key", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], ["vec_id", "key", "dim", "raw"])
 
-    return vectors.select(id_column, column).mapInArrow(run, "vec_id long, key binary, raw binary")
+    return vectors.select(id_column, column).mapInArrow(run, "vec_id long, key binary, dim int, raw binary")
 
 
 def _meet(distinct: DataFrame, tables: int, projections: int) -> DataFrame:
-    """(slot, bucket, dim, uid, copies, raw) for every table; ``slot`` is the table's number."""
+    """(slot, bucket, dim, uid, copies) for every table; ``slot`` is the table's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 raw = part.column("raw").to_pylist()
-                sizes = np.array([len(x) // 8 for x in raw])
+                sizes = part.column("dim").to_numpy()
                 for dim in np.unique(sizes).tolist():
                     at = np.flatnonzero(sizes == dim)
-                    found = buckets(_units([raw[i] for i in at.tolist()]), tables, projections)
+                    found = buckets(_units([raw[i] for i in at.tolist()], dim), tables, projections)
                     take = pa.array(np.tile(at, tables))
                     slot = np.repeat(np.arange(tables, dtype="i4"), len(at))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(slot), pa.array(found.T.ravel()), pa.array(np.full(len(slot), dim, dtype="i4")), part.column("uid").take(take), part.column("copies").take(take), part.column("raw").take(take)],
-                        ["slot", "bucket", "dim", "uid", "copies", "raw"],
+                        [pa.array(slot), pa.array(found.T.ravel()), pa.array(np.full(len(slot), dim, dtype="i4")), part.column("uid").take(take), part.column("copies").take(take)],
+                        ["slot", "bucket", "dim", "uid", "copies"],
                     )
 
-    return distinct.mapInArrow(run, "slot int, bucket long, dim int, uid long, copies long, raw binary")
+    return distinct.mapInArrow(run, "slot int, bucket long, dim int, uid long, copies long")
 
 
 def _links_in(left: np.ndarray, right: np.ndarray, same: bool, slot: int, cosine: float, tables: int, projections: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +141,10 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def links(distinct: DataFrame, cosine: float, tables: int = TABLES, projections: int = PROJECTIONS, block: int = BLOCK) -> DataFrame:
-    """(uid, n, root): links of each distinct vector found in one group, and a node it is connected with there."""
+    """(uid, n, root): links of each distinct vector found in one group, and a node it is connected with there.
+
+    Only bucket numbers are written and counted; components are joined to the members of buckets that hold another vector.
+    """
     met = written(_meet(distinct, tables, projections), "buckets", "lz4")
     key = ["slot", "bucket", "dim"]
     sizes = met.groupBy(*key).agg(F.count("*").alias("size")).filter("size > 1")
@@ -136,8 +153,8 @@ def links(distinct: DataFrame, cosine: float, tables: int = TABLES, projections:
     placed = met.join(sizes.withColumn("blocks", blocks), key).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.withColumn("other", other).select(
-        *key, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "uid", "copies", "raw"
-    )
+        *key, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "uid", "copies"
+    ).join(distinct.select("uid", "raw"), "uid")
     group = [*key, "p", "q"]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartition(4 * n, *group).sortWithinPartitions(*group)
@@ -162,12 +179,12 @@ def links(distinct: DataFrame, cosine: float, tables: int = TABLES, projections:
             yield from compare(last, held)
 
     def compare(name: tuple, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, _, _, p, q = name
+        slot, _, dim, p, q = name
         t = pa.Table.from_batches(held)
         if t.num_rows < 2:
             return
         uid, copies, own = (t.column(c).to_numpy() for c in ("uid", "copies", "own"))
-        unit = _units(t.column("raw").to_pylist())
+        unit = _units(t.column("raw").to_pylist(), dim)
         if p == q:
             i, j = _links_in(unit, unit, True, slot, cosine, tables, projections)
         else:
@@ -190,8 +207,8 @@ def near_duplicates(
     """One row per vector: ``vec_id``, ``n_links``, ``component_id`` (smallest id reachable), ``kept``."""
     rows = written(_distinct(vectors, id_column, column), "vectors")
     usable = rows.filter(F.col("key").isNotNull() & F.col("vec_id").isNotNull())
-    distinct = written(usable.groupBy("key").agg(F.min("vec_id").alias("uid"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "distinct")
-    found = written(links(distinct.select("uid", "copies", "raw"), cosine, tables, projections, block), "found")
+    distinct = written(usable.groupBy("key").agg(F.min("vec_id").alias("uid"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("raw").alias("raw")), "distinct")
+    found = written(links(distinct.select("uid", "copies", "dim", "raw"), cosine, tables, projections, block), "found")
     counts = found.groupBy("uid").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     judged = distinct.select("key", "uid", "copies").join(counts, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
