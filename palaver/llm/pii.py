@@ -3,11 +3,12 @@
 Four kinds of personal data are found by pattern. The corpus then tells how strongly a word reveals a protected value (its
 entity): from all windows of words around an entity and all occurrences of the word, the pointwise mutual information of the
 two is set against the entity's own information content. Their ratio is the disclosure: 1 if the word occurs only with
-that entity. A word that ``MIN_WINDOWS`` different windows show beside the entity and whose disclosure exceeds the threshold
-is generalised there, above the higher one removed. Copies of a window count once, so copied documents prove nothing.
+that entity. How often the word's occurrences stand beside the entity is taken at the lower end of its confidence
+interval, so every pair is judged, a rare one with less certainty. A word whose disclosure exceeds the threshold is generalised
+there, above the higher one removed.
 
 Corpus counts cover all texts. Candidates are screened by a bit table of fixed size, which each task gets whole; what it
-lets through is counted exactly.
+lets through is counted exactly, by 64-bit hash.
 
 Defined results: a null text is empty and has no spans; spans are code points, end exclusive; repeated rows get equal
 results; an empty table gives an empty result; other columns are kept, output columns replace columns of the same name.
@@ -18,13 +19,12 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm import columns as C
@@ -40,11 +40,12 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 NO_DIGIT = re.compile("[^0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
-BEYOND = re.compile(r"[^\w\x00-\x7f]")  # beyond ASCII and no part of a word
+TERM = re.compile(r"(?<![^\W\d_])[^\W\d_]{2,}(?![^\W\d_])")  # a whole run of letters
+BEYOND = re.compile(r"[^\w\x00-\x7f]|(?![0-9])\d")  # beyond ASCII and no part of a word
 
-WINDOW_WORDS, MIN_WINDOWS = 5, 3
+WINDOW_WORDS, LONG = 5, 4  # a window goes to the fifth word of four letters; shorter ones between belong to it
 REACH = 200  # characters within which the words of a window are looked for
+Z = 1.645  # one-sided confidence of 95 percent
 GENERALISE, REMOVE = 0.9, 0.97
 BITS = 22
 
@@ -82,34 +83,54 @@ def _entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else NO_DIGIT.sub('', value)}"
 
 
+def _lower(text: str) -> str:
+    """Lower case that does not depend on what stands behind a letter."""
+    return text.lower().replace("ς", "σ")
+
+
+def _whole(text: str, low: int, high: int) -> Iterator[re.Match]:
+    """Terms that start and end within the bounds; one character more is looked at, so no word is cut."""
+    return (m for m in TERM.finditer(text, low, high + 1) if m.end() <= high)
+
+
+def _window(found: Iterable[re.Match]) -> Iterator[re.Match]:
+    long = 0
+    for m in found:
+        yield m
+        long += m.end() - m.start() >= LONG
+        if long == WINDOW_WORDS:
+            return
+
+
 def _beside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(entity, word, start, end, window) of the words near each span, personal data left out."""
-    out = []
+    """(entity, word, start, end, mentions) of the words near the spans of each entity, personal data left out. A word is
+    listed once for an entity; the first one brings the number of mentions."""
+    near: dict[str, dict[int, re.Match]] = {}
+    mentions: Counter[str] = Counter()
     for kind, start, end in spans:
-        left = list(TERM.finditer(text, max(0, start - REACH), start))[-WINDOW_WORDS:]
-        right = list(itertools.islice(TERM.finditer(text, end, end + REACH), WINDOW_WORDS))
-        near = [m for m in left + right if not any(s < m.end() and m.start() < e for _, s, e in spans)]
-        window = xxhash.xxh64_intdigest(" ".join(m[0].lower() for m in near)) >> 1
+        left = _window(reversed(list(_whole(text, max(0, start - REACH), start))))
+        right = _window(_whole(text, end, end + REACH))
         entity = _entity(kind, text[start:end])
-        out += [(entity, m[0].lower(), m.start(), m.end(), window) for m in near]
-    return out
+        mentions[entity] += 1
+        near.setdefault(entity, {}).update((m.start(), m) for m in itertools.chain(left, right) if not any(s < m.end() and m.start() < e for _, s, e in spans))
+    return [(e, _lower(m[0]), m.start(), m.end(), 0 if i else mentions[e]) for e, found in near.items() for i, m in enumerate(found.values())]
 
 
 SPAN = "array<struct<kind:int,start:int,end:int>>"
-BESIDE = "array<struct<entity:string,word:string,start:int,end:int,window:long>>"
+BESIDE = "array<struct<entity:string,word:string,start:int,end:int,mentions:int>>"
 
 
 def _scan(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, at = TaskContext.get().partitionId() << 40, 0
         span_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        near_type = pa.list_(pa.struct([("entity", pa.string()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("window", pa.int64())]))
+        near_type = pa.list_(pa.struct([("entity", pa.string()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("mentions", pa.int32())]))
         for batch in C.split(batches, text):
             spans, near = [], []
             for t in C.texts(batch, text):
                 found = base_spans(t)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                near.append([dict(zip(("entity", "word", "start", "end", "window"), x)) for x in _beside(t, found)] if found else [])
+                near.append([dict(zip(("entity", "word", "start", "end", "mentions"), x)) for x in _beside(t, found)] if found else [])
             ids = np.arange(at, at + batch.num_rows) + task
             at += batch.num_rows
             yield C.extend(batch, {"_row": pa.array(ids), "base": pa.array(spans, span_type), "_near": pa.array(near, near_type)})
@@ -125,28 +146,29 @@ def _word_hashes(found: list[str]) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, text: str, table: bytes) -> DataFrame:
-    """Corpus counts of the words whose bit is set, as ``TERM`` cuts and lower-cases them."""
+    """Corpus counts of the words whose bit is set, as ``TERM`` cuts and ``_lower`` writes them, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(table, dtype=np.uint8))
-        counts: Counter[str] = Counter()
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in C.split(batches, text):
-            lowered = pa.array([BEYOND.sub(" ", t.lower()) for t in C.texts(batch, text)], pa.large_string())
+            # cut first: lower case may add marks that are no letters
+            lowered = pa.array([_lower(BEYOND.sub(" ", t)) for t in C.texts(batch, text)], pa.large_string())
             for _, _, data, offsets in pieces(lowered):
-                starts, ends = _letter_runs(data, offsets)
-                hit = bits[(span_hashes(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)] > 0
-                raw = data.tobytes()
-                counts.update(raw[s:e].decode() for s, e in zip(starts[hit].tolist(), ends[hit].tolist()))
-            if len(counts) > 100_000:
-                yield _counted(counts)
-                counts = Counter()
-        yield _counted(counts)
+                found = span_hashes(data, *_letter_runs(data, offsets))
+                found, times = np.unique(found[bits[(found >> np.uint64(64 - BITS)).astype(np.int64)] > 0], return_counts=True)
+                keys, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([n, times]), len(keys)).astype(np.int64)
+            if len(keys) > 200_000:
+                yield _counted(keys, n)
+                keys, n = keys[:0], n[:0]
+        yield _counted(keys, n)
 
-    return docs.select(F.col(text)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text)).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+def _counted(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
 LETTER = np.zeros(256, dtype=bool)
@@ -160,35 +182,42 @@ def _letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, text: str = "text", min_windows: int = MIN_WINDOWS) -> DataFrame:
-    """(entity, word, disclosure) of the words that show an entity in at least ``min_windows`` different windows."""
-    near = scanned.filter(F.size("_near") > 0).select(F.explode("_near").alias("x")).select("x.entity", "x.word", "x.window")
-    pairs = near.groupBy("entity", "word", "window").agg(F.count("*").alias("n")).groupBy("entity", "word").agg(F.sum("n").alias("together"), F.count("*").alias("windows"))
-    pairs = written(pairs.filter(F.col("windows") >= min_windows), "pairs")
-    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
+def disclosing(scanned: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(entity, word, disclosure) of all words beside an entity."""
+    near = scanned.filter(F.size("_near") > 0).select(F.explode("_near").alias("x")).select("x.entity", "x.word", "x.mentions")
+    pairs = near.groupBy("entity", "word").agg(F.count("*").alias("together"))
+    pairs = written(_hashed(pairs), "pairs")
+    entities = near.groupBy("entity").agg(F.sum("mentions").alias("mentions"))
     # at most 2^BITS / 8 numbers come here, whatever the corpus
-    places = _bit_places(pairs.select("word").distinct()).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
+    spot = F.shiftrightunsigned("key", 64 - BITS).cast("int")
+    bit = F.expr("shiftright(128, cast(spot & 7 as int))")
+    places = pairs.select(spot.alias("spot")).distinct().select(F.shiftright("spot", 3).alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
     table = np.zeros(1 << (BITS - 3), dtype=np.uint8)
     for r in places:
         table[r["byte"]] = r["bits"]
-    if not table.any():  # no candidate, so no word can disclose anything
+    if not table.any():  # no word stands beside an entity
         return pairs.select("entity", "word", F.lit(0.0).alias("disclosure"))
     occurs = _occurrences(docs, text, table.tobytes())
-    joined = pairs.join(occurs, "word").join(entities, "entity")
+    joined = pairs.join(occurs, "key").join(entities, "entity")
     size = docs.select(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).alias("chars")).first()["chars"] or 1
     words_in_all = max(2.0, size / 6.0)
-    p_entity = F.col("n_entity") / (2 * WINDOW_WORDS) / words_in_all
-    p_given = F.least(F.lit(1.0), F.col("together") / F.greatest("n", "together"))
-    return joined.select("entity", "word", (F.lit(1.0) - F.log(p_given) / F.log(p_entity)).alias("disclosure"))
+    p_entity = F.least(F.lit(0.5), F.col("mentions") / words_in_all)
+    return joined.select("entity", "word", (F.lit(1.0) - F.log(_at_least(F.col("together"), F.greatest("n", "together"))) / F.log(p_entity)).alias("disclosure"))
+
+
+def _at_least(hits: Column, n: Column) -> Column:
+    """Lower end of Wilson's interval for a share of ``hits`` in ``n``."""
+    share, square = hits / n, Z * Z
+    return (share + square / (2 * n) - Z * F.sqrt(share * (1 - share) / n + square / (4 * n * n))) / (1 + square / n)
 
 
-def _bit_places(found: DataFrame) -> DataFrame:
+def _hashed(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = (_word_hashes(batch.column("word").to_pylist()) >> np.uint64(64 - BITS)).astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((spot >> 3).astype("i4")), pa.array((128 >> (spot & 7)).astype("i4"))], ["byte", "bit"])
+            keys = _word_hashes(batch.column("word").to_pylist()) if batch.num_rows else np.zeros(0, np.uint64)
+            yield C.extend(batch, {"key": pa.array(keys.view(np.int64))})
 
-    return found.mapInArrow(run, "byte int, bit int")
+    return C.map_batches(pairs, run, {"key": "long"})
 
 
 def find(docs: DataFrame, text: str = "text", keep_text: bool = True, generalise: float = GENERALISE) -> DataFrame:

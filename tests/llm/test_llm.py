@@ -168,6 +168,27 @@ def test_pii_disclosing_words(spark, docs, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_pii_rare_disclosing_words(spark):
+    """A word in one context, a template repeated and a short name are judged too; common words beside them are not taken."""
+    common = "please write down some common words about this plan today and then come back with more notes for Lee "
+    rows = [(1, "please write Zanzibarian about this plan a@one.org today"), (2, "common notes for Bo q@two.org today"), (3, "please ask Quy r@four.org today")]
+    rows += [(10 + i, "please write Templeton about this plan b@three.org today") for i in range(4)]
+    rows += [(100 + i, common * 1000 + "ask ") for i in range(40)]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {i: [t[x.start : x.end] for x in found[i].terms] for i, t in rows}
+    assert [terms[i] for i in (1, 2, 3, 10, 13)] == [["Zanzibarian"], ["Bo"], ["Quy"], ["Templeton"], ["Templeton"]]
+    assert not any(terms[i] for i, _ in rows if i >= 100)
+
+
+def test_pii_words_beside_are_whole():
+    """Words are not cut where the reach ends or at the edge of a span; a word between two mentions counts once."""
+    text = "y" * 150 + "first " + "a " * 97 + "x@y.org"
+    assert [w for _, w, *_ in pii._beside(text, pii.base_spans(text))] == []
+    assert [w for _, w, *_ in pii._beside("éabc@x.org end", pii.base_spans("éabc@x.org end"))] == ["end"]
+    text = "x@y.org between x@y.org"
+    assert pii._beside(text, pii.base_spans(text)) == [("email:x@y.org", "between", 8, 15, 2)]
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["good", "plain", "words", "here", "of", "text"]) + ("!!" if i % 3 == 0 else "") for _ in range(40))) for i in range(300)]
