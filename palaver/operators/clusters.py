@@ -506,6 +506,28 @@ class MovingCentroids:
         return []
 
 
+class Bootstrapped:
+    """The live rule from the first vector on. Takes (sub_idx, embedding, label, cents, threshold); gives (sub_idx, label).
+
+    The first ``size`` vectors of a meeting are held and given with the bootstrap labels they bring, once all are there, a
+    later one comes or the meeting ends; later ones go to the closest centroid.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size, self.held, self.later = size, [], MovingCentroids(create=False)
+
+    def feed(self, rows: dict) -> list[tuple]:
+        first = rows["sub_idx"] < self.size
+        self.held += [(i, int(label)) for i, label in zip(rows["sub_idx"][first].tolist(), rows["label"][first].tolist())]
+        if first.all():
+            return self.close() if len(self.held) >= self.size else []
+        return self.close() + self.later.feed({c: v[~first] for c, v in rows.items()})
+
+    def close(self) -> list[tuple]:
+        out, self.held = self.held, []
+        return out
+
+
 def bootstrap_online(vecs: DataFrame, size: int = BOOTSTRAP_SIZE, create: bool = True) -> DataFrame:
     """Labels of the bootstrap vectors stay; later ones join the closest centroid, which moves on a clean match, or
     open a new label (``create``, the batch rule) or stay with the closest (the live rule)."""

@@ -182,12 +182,17 @@ def st_provisional_speaker(spark, sf):
 
 @query("st_online_clusterer")
 def st_online_clusterer(spark, sf):
+    """All vectors of a meeting are streamed; the first 20 are labelled by the bootstrap."""
     vecs = tables.subsegments(spark, sf)
-    boot = clusters.bootstrap(vecs, 20)
+    return online_labels(vecs, 20)
+
+
+def online_labels(vecs, size, **kw):
+    boot = clusters.bootstrap(vecs, size)
     packed = clusters.centroids(boot).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("label", "centroid", "n"))).alias("cents"))
     limit = clusters.calibrate_threshold(clusters.pairwise(boot), clusters.embedding_stats(boot))
-    rest = vecs.filter("sub_idx >= 20").select("meeting_id", "sub_idx", "embedding")
-    return jobs.run_to_table(jobs.assign_online(jobs.as_stream(rest, ["sub_idx"]), packed.join(limit, "meeting_id")))
+    rows = with_end(vecs.select("meeting_id", "sub_idx", "embedding"), "meeting_id", "sub_idx")
+    return jobs.run_to_table(jobs.assign_online(jobs.as_stream(rows, ["sub_idx"], **kw), packed.join(limit, "meeting_id"), boot, size))
 
 
 @query(

@@ -69,12 +69,15 @@ def provisional_speakers(items: DataFrame) -> DataFrame:
     return _keyed(items, "meeting_id", p, "meeting_id string, word_idx long, speaker string")
 
 
-def assign_online(vectors: DataFrame, setup: DataFrame) -> DataFrame:
-    """Closest bootstrap speaker of each later vector. ``setup`` is a batch table of centroids and threshold."""
-    fed = vectors.join(setup, "meeting_id")
+def assign_online(vectors: DataFrame, setup: DataFrame, labels: DataFrame, size: int = clusters.BOOTSTRAP_SIZE) -> DataFrame:
+    """Bootstrap label of the first ``size`` vectors of a meeting, closest bootstrap speaker of each later one.
+
+    ``setup`` is a batch table of centroids and threshold, ``labels`` one of the bootstrap labels.
+    """
+    fed = vectors.join(setup, "meeting_id").join(labels.select("meeting_id", "sub_idx", "label"), ["meeting_id", "sub_idx"], "left")
     p = RuleProcessor(
-        "meeting_id", ["sub_idx"], ["sub_idx", "embedding", "cents", "threshold"], ["sub_idx", "label"],
-        partial(clusters.MovingCentroids, create=False),
+        "meeting_id", ["sub_idx"], ["sub_idx", "embedding", "label", "cents", "threshold"], ["sub_idx", "label"],
+        partial(clusters.Bootstrapped, size), "ended",
     )
     return _keyed(fed, "meeting_id", p, "meeting_id string, sub_idx int, label int")
 

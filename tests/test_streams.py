@@ -3,10 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_rules import random_words
+from test_rules import VEC, random_words, unit_rows
 
-from palaver.operators import live, transcripts
-from palaver.queries.streams import with_end
+from palaver.operators import clusters, live, transcripts
+from palaver.queries.streams import online_labels, with_end
 from palaver.streaming import jobs
 
 
@@ -100,3 +100,12 @@ def test_words_after_an_end_mark(spark, slices):
     df = spark.createDataFrame(rows, "meeting_id string, word_idx long, word string, start double, end double, speaker string, ended boolean")
     out = jobs.run_to_table(jobs.build_turns(jobs.as_stream(df, ["word_idx"], slices=slices)))
     assert sorted(r.text for r in out.collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("slices", [1, 4])
+def test_online_clusterer_labels_every_vector(spark, slices):
+    """The bootstrap vectors too, and a meeting that ends within the bootstrap."""
+    df = spark.createDataFrame(unit_rows(11, 50, [0, 1], meeting="long") + unit_rows(12, 7, [0, 1, 2], meeting="short"), VEC)
+    want = sorted((r.meeting_id, r.sub_idx, r.label) for r in clusters.bootstrap_online(df, 20, create=False).collect())
+    assert len(want) == 57
+    assert sorted((r.meeting_id, r.sub_idx, r.label) for r in online_labels(df, 20, slices=slices).collect()) == want
