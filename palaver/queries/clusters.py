@@ -290,7 +290,7 @@ def bootstrap_online(spark, sf):
 
 @query("cluster_count_bic")
 def cluster_count_bic(spark, sf):
-    return clusters.cluster_count_bic(sub(spark, sf), 2, 6)
+    return clusters.cluster_count_bic(sub(spark, sf))
 
 
 @query("cluster_affinity")
