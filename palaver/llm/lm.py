@@ -204,13 +204,13 @@ class Model:
 
 
 def build(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slot counts of zeros and ones over all byte runs, added up by a fixed number of tasks; counts over 60,000 keep their
-    ratio."""
+    """Slot counts of zeros and ones over all byte runs, added up by a fixed number of tasks in double precision and sent in
+    single; counts over 60,000 keep their ratio."""
     total = int(BASES[-1])
     bounds = np.linspace(0, total, SEGMENTS + 1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, total), dtype=np.float32)
+        table = np.zeros((2, total), dtype=np.float64)
         for batch in batches:
             keys, n = (batch.column(c).to_numpy() for c in ("key", "n"))
             runs = keys.view(np.uint64)
@@ -220,17 +220,17 @@ def build(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     base, size = BASES[t], SIZES[t]
                     for b in (0, 1):
                         own = bit == b
-                        np.add.at(table[b, base : base + size], slot[own] - base, n[own].astype(np.float32))
+                        np.add.at(table[b, base : base + size], slot[own] - base, n[own].astype(np.float64))
         for i in range(SEGMENTS):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([table[:, bounds[i] : bounds[i + 1]].tobytes()], pa.binary())], ["i", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([table[:, bounds[i] : bounds[i + 1]].astype(np.float32).tobytes()], pa.binary())], ["i", "part"])
 
     def add(t: pa.Table) -> pa.Table:
-        found = np.sum([np.frombuffer(x, dtype=np.float32) for x in t.column("part").to_pylist()], axis=0, dtype=np.float32)
-        return pa.table({"i": t.column("i").slice(0, 1), "part": pa.array([found.tobytes()], pa.binary())})
+        found = np.sum([np.frombuffer(x, dtype=np.float32) for x in t.column("part").to_pylist()], axis=0, dtype=np.float64)
+        return pa.table({"i": t.column("i").slice(0, 1), "part": pa.array([found.astype(np.float32).tobytes()], pa.binary())})
 
     parts = counts.filter(F.col("kind") == RUN_KIND).select("key", "n").coalesce(BUILD_TASKS).mapInArrow(run, "i int, part binary")
     rows = sorted(parts.groupBy("i").applyInArrow(add, "i int, part binary").collect())  # a table of fixed size
-    table = np.concatenate([np.frombuffer(r["part"], dtype=np.float32).reshape(2, -1) for r in rows], axis=1) if rows else np.zeros((2, total), np.float32)
+    table = np.concatenate([np.frombuffer(r["part"], dtype=np.float32).reshape(2, -1) for r in rows], axis=1) if rows else np.zeros((2, total), np.float64)
     scale = np.maximum(1, table.max(axis=0) / 60_000)
     return tuple(np.ceil(t / scale).astype(np.uint16) for t in table)
 

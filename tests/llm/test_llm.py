@@ -269,6 +269,15 @@ def test_lm(docs, nothing):
     assert lm.scores(nothing).count() == 0
 
 
+def test_lm_counts_beyond_float32(spark):
+    """A slot past 2^24 goes on counting."""
+    run = lambda before, last: (before << 16) | (0x61 << 8) | last
+    rows = [(1, run(0, 0x61), 1 << 24), (1, run(0, 0xE1), 1 << 24)] + [(1, run(i, 0x61), 1) for i in range(1, 2001)]
+    zero, one = lm.build(spark.createDataFrame(rows, "kind byte, key long, n long").coalesce(1))
+    at = (0x61 << 8) | 1
+    assert (zero[at], one[at]) == (60000, 59993)
+
+
 def test_lm_is_a_distribution():
     """The chances of all next bytes add up to 1."""
     rng = np.random.default_rng(0)
