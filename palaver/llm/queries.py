@@ -158,3 +158,87 @@ def op10(spark, sf):
     from palaver.llm import jaccard
 
     return jaccard.near_duplicates(_read(spark, sf, "documents"))
+
+
+@query("op11_shard")
+def op11(spark, sf):
+    """Deal all documents to 16 shards of near equal bytes."""
+    from palaver.llm import sharding
+
+    done = sharding.shard(_read(spark, sf, "documents"), shards=16)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _sql_crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII string in DuckDB, with the table column ``crc_table`` at hand."""
+    return (
+        f"xor(4294967295, list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT),"
+        " lambda acc, b: xor(acc >> 8, crc_table[(xor(acc, b) & 255) + 1])))"
+    )
+
+
+CRC_TABLE_SQL = """(SELECT list(v ORDER BY i) FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) t(i)))"""
+
+
+def _sql_tree(name: str, base: str, levels: int) -> str:
+    """CTEs of a tree of at most 16 ** levels nodes a group over ``base`` (g, i, h): nodes per level with their siblings."""
+    out = [f"{name}0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS c FROM {base})"]
+    for k in range(levels):
+        run = "OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+        out.append(
+            f"{name}_w{k} AS (SELECT g, i, c > 1 AS live, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+            f" coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})"
+        )
+        out.append(
+            f"{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM (SELECT g, i // 16 AS i,"
+            f" CASE WHEN max(c) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k} GROUP BY g, i // 16))"
+        )
+    return ",\n".join(out)
+
+
+def _merkle_sql(levels: int = 5, top_levels: int = 4) -> str:
+    """Trees of up to 16 ** levels documents a source and 16 ** top_levels sources."""
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(octet_length(encode(({x})::VARCHAR)) || ':' || ({x})::VARCHAR, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [("a", k, "a.i") for k in range(levels)] + [("b", k, "b0.i") for k in range(top_levels)]
+    joins = " ".join(f"JOIN {t}_w{k} AS {t}x{k} ON {t}x{k}.g = {'a.g' if t == 'a' else chr(39) * 2} AND {t}x{k}.i = {at} // {16 ** k}" for t, k, at in steps)
+    proof = " || ".join(f"CASE WHEN {t}x{k}.live THEN {t}x{k}.l || {t}x{k}.r ELSE '' END" for t, k, _ in steps)
+    ctes, now = [], "start"
+    # one CTE per step, so that the expression does not double
+    for n, (t, k, _) in enumerate(steps):
+        ctes.append(f"f{n} AS (SELECT * REPLACE (CASE WHEN live[{n + 1}] THEN sha256(l[{n + 1}] || f || r[{n + 1}]) ELSE f END AS f) FROM {now})")
+        now = f"f{n}"
+    lists = ", ".join(f"[{', '.join(f'{t}x{k}.{c}' for t, k, _ in steps)}] AS {c}" for c in ("live", "l", "r"))
+    return f"""
+WITH crc AS (SELECT {CRC_TABLE_SQL} AS crc_table),
+leaves AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS h,
+  CASE WHEN {_sql_crc32("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(lowered)} END AS changed FROM documents, crc),
+a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaves),
+{_sql_tree("a", "a", levels)},
+subroots AS (SELECT g, h FROM a{levels}),
+b AS (SELECT '' AS g, g AS source_g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM subroots),
+{_sql_tree("b", "b", top_levels)},
+start AS (SELECT a.doc_id, a.h AS leaf, b0.h AS subroot, (SELECT h FROM b{top_levels}) AS root, sha256({proof}) AS proof_sha256, coalesce(a.changed, a.h) AS f, {lists}
+  FROM a JOIN b AS b0 ON b0.source_g = a.g {joins}),
+{", ".join(ctes)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM {now}
+"""
+
+
+@query("op13_merkle", _merkle_sql())
+def op13(spark, sf):
+    """Witnesses of all documents in a manifest, folded with a fifth of the texts changed."""
+    from palaver.llm import merkle
+
+    def changed(docs: DataFrame) -> dict:
+        lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        hit = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+        return {"changed": F.when(hit, merkle.leaf([lowered if c == "text" else F.col(c) for c in merkle.FIELDS]))}
+
+    done = merkle.manifest(_read(spark, sf, "documents"), carry=changed)
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("witness"))
+    out = done.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("witness")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
