@@ -242,3 +242,11 @@ def op13(spark, sf):
     folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("witness"))
     out = done.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("witness")).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_spelling")
+def op12(spark, sf):
+    """Spelling variants among the words of all documents."""
+    from palaver.llm import spelling
+
+    return spelling.variants(_read(spark, sf, "documents"))
