@@ -207,30 +207,28 @@ def edge_table(oriented: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:
 def _step(states: DataFrame, nodes: DataFrame, crowded: DataFrame) -> DataFrame:
     """All states one letter on: states, and neighbours where ``near`` is not null."""
     salted = states.join(crowded, "node", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("word"), F.col("salts") + 1).cast("int"), F.lit(0))).drop("salts")
-    met = salted.join(nodes, ["node", "salt"]).select("word", "way", "pos", "edits", F.explode("edges").alias("e"))
-
-    def at(i: int) -> Column:
-        return F.substring(F.concat("word", F.lit(END)), F.col("pos") + 1 + i, F.lit(1))
+    edge = [F.col(f"e.{c}").alias(a) for c, a in (("letter", "letter"), ("next", "next"), ("child", "child"), ("word", "near"), ("word_n", "near_n"))]
+    marked = F.concat("word", F.lit(END))
+    ahead = [F.substring(marked, F.col("pos") + 1 + i, F.lit(1)).alias(f"c{i}") for i in range(3)]
+    met = salted.join(nodes, ["node", "salt"]).select("word", "way", "pos", "edits", *ahead, "edges")
+    met = met.select("word", "way", "pos", "edits", "c0", "c1", "c2", F.explode("edges").alias("e")).select("word", "way", "pos", "edits", "c0", "c1", "c2", *edge)
+    exact, free, single = F.col("letter") == F.col("c0"), F.col("edits") == 0, F.col("near").isNotNull()
 
     def follows(i: int) -> Column:
         return F.instr(F.col("next"), F.col(f"c{i}")) > 0
 
-    def state(pos: int, edits: Column | int) -> Column:
-        return F.struct((F.col("pos") + pos).alias("pos"), F.lit(edits).cast("int").alias("edits"))
+    def to(pos: int, edits: Column) -> Column:
+        return F.struct((F.col("pos") + pos).alias("pos"), edits.alias("edits"))
 
-    edge = [F.col(f"e.{c}").alias(a) for c, a in (("letter", "letter"), ("next", "next"), ("child", "child"), ("word", "near"), ("word_n", "near_n"))]
-    met = met.select("word", "way", "pos", "edits", *edge, at(0).alias("c0"), at(1).alias("c1"), at(2).alias("c2"))
-    exact, free = F.col("letter") == F.col("c0"), F.col("edits") == 0
-    single = F.col("near").isNotNull()
-    ends = single & (free | exact) & (F.levenshtein("word", "near", 1) == 1)
+    # with its edit made, a state has one edge to follow; the others are dropped before anything is computed
+    met = met.filter(F.when(single, (free | exact) & (F.levenshtein("word", "near", 1) == 1)).when(exact, free | follows(1)).otherwise(free))
+    one, inner = F.lit(1), F.col("c0") != END
     moves = F.array(
-        F.when(~single & exact & (free | follows(1)), F.struct((F.col("pos") + 1).alias("pos"), F.col("edits"))),
-        F.when(~single & free & ~exact & (F.col("c0") != END) & follows(1), state(1, 1)),  # another letter
-        F.when(~single & free & ~exact & follows(0), state(0, 1)),  # a letter more in the trie
-        F.when(~single & free & ~exact & (F.col("c0") != END) & (F.col("letter") == F.col("c1")) & follows(2), state(2, 1)),  # a letter less
-        F.when(ends, F.struct(F.lit(-1).alias("pos"), F.lit(1).alias("edits"))),
+        F.when(single | exact, to(1, F.col("edits"))).when(inner & follows(1), to(1, one)),  # on, or another letter
+        F.when(~single & ~exact & follows(0), to(0, one)),  # a letter more in the trie
+        F.when(~single & ~exact & inner & (F.col("letter") == F.col("c1")) & follows(2), to(2, one)),  # a letter less
     )
-    moved = met.select("word", "way", "child", "near", "near_n", F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m"))
+    moved = met.select("word", "way", "child", "near", "near_n", F.explode(moves).alias("m")).filter("m is not null")
     return moved.select("word", "way", F.col("m.pos").alias("pos"), F.col("child").alias("node"), F.col("m.edits").alias("edits"), "near", "near_n")
 
 
