@@ -8,11 +8,13 @@ than that is a piece of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+POLYNOMIAL_BYTES = 256
 WORD = np.ones(256, dtype=bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,12 +82,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes."""
+    """64-bit hash of each byte span, equal for equal bytes.
+
+    A polynomial modulo 2^64 has different long texts of one value by its structure (from about a thousand bytes on), so spans
+    over ``POLYNOMIAL_BYTES`` are digested one by one.
+    """
     n = len(lowered)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_TABLE[lowered] * _power(_BASE, n)[:n], out=sums[1:])
     whole = (sums[ends] - sums[starts]) * _power(_INVERSE, n + 1)[starts]
-    return mix(whole + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = mix(whole + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES).tolist():
+        out[i] = int.from_bytes(blake2b(lowered[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(word_hashes: np.ndarray, size: int = 5) -> np.ndarray:

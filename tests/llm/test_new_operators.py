@@ -233,3 +233,27 @@ def test_queries_keep_their_contract(spark):
     words = queries.QUERIES["op12_spelling"](spark, sf)
     assert words.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert {tuple(r) for r in words.collect()} == brute_variants(docs)
+
+
+# ---- hashes of long words -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_of_one_polynomial_value_are_told_apart(n):
+    """The Thue-Morse word and its complement have one value under every polynomial hash modulo 2^64 from 1024 letters on."""
+    import pyarrow as pa
+    import public_tokenizers
+    from palaver.llm import bpe, jaccard, textbatch
+    from tokenizers import Tokenizer
+
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    texts = [word, word.translate(str.maketrans("ab", "ba"))]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    hashes = textbatch.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert hashes[0] != hashes[1]
+    sets = list(jaccard.document_sets(pa.array(texts)))
+    assert not np.array_equal(sets[0], sets[1])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for mine, text in zip(bpe.Codec(path).encode_texts(texts), texts):
+        assert np.frombuffer(mine, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
