@@ -38,6 +38,12 @@ OTHER_BLANK = np.zeros(256, dtype=bool)
 OTHER_BLANK[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 WIDE_LEAD = np.zeros(256, dtype=bool)
 WIDE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: ASCII letters, digits and marks, which the pattern cuts where the kind changes; the apostrophe and all other bytes are 3.
+KIND = np.full(256, 3, dtype=np.uint8)
+KIND[33:127] = 2
+KIND[[*range(65, 91), *range(97, 123)]] = 0
+KIND[48:58] = 1
+KIND[0x27] = 3
 
 
 def byte_stand_ins() -> dict[str, int]:
@@ -301,13 +307,13 @@ class Codec:
             known.update(zip(pairs[new].tolist(), fine[new].tolist()))
         return fine
 
-    def _fill(self, chunks: list[bytes]) -> list[bytes]:
-        """Encodings of chunks, each a word with what touches it, or the mark of a special token."""
-        cut = [[] if c in self._marks else self.words.findall(c.decode()) for c in chunks]
+    def _fill(self, chunks: list[bytes], plain: list[bool]) -> list[bytes]:
+        """Encodings of chunks, each a word with what touches it, or the mark of a special token. A plain one is one word."""
+        cut = [[c] if p or c in self._marks else [w.encode() for w in self.words.findall(c.decode())] for c, p in zip(chunks, plain)]
         distinct = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
-        code = dict(zip(distinct, self.encode_words([w.encode() for w in distinct])))
+        code = dict(zip(distinct, self.encode_words(distinct))) | self._marks
         look = code.__getitem__
-        return [self._marks[c] if c in self._marks else b"".join(map(look, p)) for c, p in zip(chunks, cut)]
+        return [look(p[0]) if len(p) == 1 else b"".join(map(look, p)) for p in cut]
 
     def encode_column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets) of the texts, piece by piece in order; null is the empty text."""
@@ -335,7 +341,10 @@ class Codec:
             chunks = [raw[lo:hi] for lo, hi in zip(starts[at[missing]].tolist(), ends[at[missing]].tolist())]
             if len(self._cache) + len(chunks) > CACHE_WORDS:
                 self._cache.clear()
-            for i, ids in zip(missing, self._fill(chunks)):
+            first = starts[at[missing]]
+            odd = np.concatenate([[0], np.cumsum(KIND[data] == 3)])
+            plain = odd[ends[at[missing]]] == odd[first + (data[first] == 0x20)]
+            for i, ids in zip(missing, self._fill(chunks, plain.tolist())):
                 found[i] = self._cache[keys[i]] = ids
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
@@ -354,6 +363,7 @@ class Codec:
         lines = np.flatnonzero(data == 0x0A)
         begin = np.concatenate([starts - after_blank, lines])
         stop = np.concatenate([ends, lines + 1])
+        begin, stop = self._by_kind(data, begin, stop)
         odd = np.flatnonzero(self._odd(data, offsets))
         if len(odd):
             keep = ~np.isin(np.searchsorted(offsets[1:], begin, side="right"), odd)
@@ -369,6 +379,19 @@ class Codec:
         order = np.argsort(begin, kind="stable")
         return begin[order].astype(np.int64), stop[order].astype(np.int64)
 
+    @staticmethod
+    def _by_kind(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks of letters, digits and marks only, cut where the kind changes; other chunks stay whole."""
+        kind = KIND[data]
+        other = np.concatenate([[0], np.cumsum(kind == 3)])
+        first = begin + (data[begin] == 0x20)
+        fine = (other[stop] == other[first]) & (first < stop)
+        inside = np.zeros(len(data) + 2, dtype=np.int32)
+        inside[first[fine] + 1] += 1  # chunks do not meet in a byte
+        np.subtract.at(inside, stop[fine], 1)
+        cuts = np.flatnonzero((np.cumsum(inside)[1 : len(data)] > 0) & (kind[1:] != kind[:-1])) + 1
+        return np.sort(np.concatenate([begin, cuts])), np.sort(np.concatenate([stop, cuts]))
+
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts that the plain cut does not fit."""
         n = len(data)
