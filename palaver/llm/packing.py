@@ -13,6 +13,7 @@ empty table gives an empty result; only ``id_column`` and the text are read, so
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,11 @@ CAPACITY, END_ID = 1024, 2
 PLAN_COLUMNS = ("length", "low", "base", "offset")
 
 
-def pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids`` (binary), and its place among the pieces of its
-    length in its task (``task``, ``rank``). Longer documents are cut so that only the first piece is shorter."""
-    id_type = docs.schema[id_column].dataType.simpleString()
+def pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, digest: bool = False) -> DataFrame:
+    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids`` (binary; with ``digest`` ``ids_crc32`` in its place), and
+    its place among the pieces of its length in its task (``task``, ``rank``). Longer documents are cut so that only the first
+    piece is shorter."""
+    id_type, name = docs.schema[id_column].dataType.simpleString(), "ids_crc32" if digest else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, task = codec(path), TaskContext.get().partitionId()
@@ -58,17 +60,22 @@ def pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
                 rank[order] = np.arange(len(length)) - np.repeat(first, spread) + np.repeat(seen[sizes], spread)
                 seen[sizes] += spread
                 bounds = np.append(0, np.cumsum(length)).astype("<i4") * 4
+                if digest:
+                    raw, at = memoryview(whole.tobytes()), bounds.tolist()
+                    content = pa.array([zlib.crc32(raw[lo:hi]) for lo, hi in zip(at, at[1:])], pa.int64())
+                else:
+                    content = pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(whole.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(id_column).take(pa.array(owner + row)), pa.array(number.astype("i4")), pa.array(start), pa.array(length),
-                        pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(whole.tobytes())]),
+                        content,
                         pa.array(np.full(len(length), task, dtype="i4")), pa.array(rank),
                     ],
-                    [id_column, "piece", "start", "length", "ids", "task", "rank"],
+                    [id_column, "piece", "start", "length", name, "task", "rank"],
                 )
                 row += n
 
-    schema = f"`{id_column}` {id_type}, piece int, start long, length long, ids binary, task int, rank long"
+    schema = f"`{id_column}` {id_type}, piece int, start long, length long, {name} {'long' if digest else 'binary'}, task int, rank long"
     return docs.select(id_column, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -174,8 +181,6 @@ def _by_length():
 
 
 def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, digest: bool = False) -> DataFrame:
-    """Packed pieces with their ids; with ``digest`` the ids are replaced by ``ids_crc32`` before rows are moved."""
-    cut = written(pieces(docs, path, id_column, text, capacity, end_id), "pieces")
-    if digest:
-        cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """Packed pieces with their ids; with ``digest`` only their ``ids_crc32``, and no ids are written."""
+    cut = written(pieces(docs, path, id_column, text, capacity, end_id, digest), "pieces")
     return assign(cut, capacity)
