@@ -229,7 +229,10 @@ def find(docs: DataFrame, text: str = "text", keep_text: bool = True, generalise
     terms = spots.join(strong, ["entity", "word"]).groupBy("_row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = terms.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,disclosure:double>>)")
-    return scanned.drop("terms").join(terms, "_row", "left").withColumn("terms", F.coalesce("terms", empty)).drop("_row", "_near")
+    # only rows with a word beside an entity are joined; the texts of all others stay where they are
+    rows = scanned.drop("terms")
+    beside = rows.filter(F.size("_near") > 0).join(terms, "_row", "left").withColumn("terms", F.coalesce("terms", empty))
+    return rows.filter(F.size("_near") == 0).withColumn("terms", empty).unionByName(beside).drop("_row", "_near")
 
 
 def sanitise(docs: DataFrame, text: str = "text", remove: float = REMOVE) -> DataFrame:
@@ -237,7 +240,7 @@ def sanitise(docs: DataFrame, text: str = "text", remove: float = REMOVE) -> Dat
     found = find(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.split(batches, text):
             out = []
             for t, base, terms in zip(*(batch.column(n).to_pylist() for n in (text, "base", "terms"))):
                 marks = [(x["start"], x["end"], f"[{KINDS[x['kind']].upper()}]") for x in base]
