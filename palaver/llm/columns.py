@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palaver.llm.shared import small_batches
+from palaver.llm.shared import small_batches, tidy
 
 #: Rows are handled in slices of about so many bytes, whatever the size of a batch.
 SLICE_BYTES = 8 << 20
@@ -44,4 +44,4 @@ def map_batches(df: DataFrame, run: Callable, more: dict[str, str]) -> DataFrame
     kept = [f for f in df.schema.fields if f.name.lower() not in taken or f.name in more]
     df = df.select(*[F.col(f"`{f.name}`") for f in kept])
     fields = [f for f in kept if f.name not in more] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in more.items()]
-    return df.mapInArrow(run, T.StructType(fields))
+    return df.mapInArrow(tidy(run), T.StructType(fields))

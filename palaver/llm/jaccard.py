@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm.components import components
 from palaver.llm.lm import Tally, _counted
-from palaver.llm.shared import written
+from palaver.llm.shared import tidy, written
 from palaver.llm.textbatch import LOWER, mix, pieces, shingles, span_hashes, words
 
 PERCENT, SHINGLE = 80, 5
@@ -69,7 +69,7 @@ def common(docs: DataFrame) -> np.ndarray:
                     seen.clear()
                 tally.parts.append(s)
                 tally.size += len(s)
-                if tally.size > 2_500_000:
+                if tally.size > 1_000_000:
                     yield from repeated(tally)
         yield from repeated(tally)
 
@@ -81,7 +81,7 @@ def common(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(n[keep])], ["spot", "n"])
         tally.parts, tally.size = [], 0
 
-    found = docs.select("text").mapInArrow(run, "spot int, n long").groupBy("spot").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
+    found = docs.select("text").mapInArrow(tidy(run), "spot int, n long").groupBy("spot").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
     rows = found.toArrow()  # at most 2^SKETCH_BITS small rows
     table = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     if rows.num_rows:
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
         kinds = pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()
         return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(rows[0])), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "n", "sig", "group", "prefix", "bitmap", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, `group` long, prefix array<long>, bitmap binary, wide binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, sig binary, `group` long, prefix array<long>, bitmap binary, wide binary")
 
 
 def posting_lists(groups: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def posting_lists(groups: DataFrame) -> DataFrame:
         if last is not None and opened:
             yield pa.RecordBatch.from_arrays([*last.columns, pa.array([lead])], ["shingle", "node", "n", "pos", "lead"])
 
-    return dealt.mapInArrow(run, "shingle long, node long, n long, pos int, lead long")
+    return dealt.mapInArrow(tidy(run), "shingle long, node long, n long, pos int, lead long")
 
 
 def _fit(a: str, b: str):
@@ -340,7 +340,7 @@ def _apart(lists: DataFrame) -> DataFrame:
                     u, v = node[left][i], node[right][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

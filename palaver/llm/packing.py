@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm import columns as C
 from palaver.llm.bpe import codec
-from palaver.llm.shared import written
+from palaver.llm.shared import tidy, written
 
 CAPACITY, END_ID = 1024, 2
 #: The plan in ``assign`` goes to every task: at most so many pieces of make-ups per length.
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
                 row += n
 
     schema = f"`{id_column}` {id_type}, piece int, start long, length long, {name} {'long' if digest else 'binary'}, task int, rank long"
-    return docs.select(id_column, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(id_column, F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm import columns as C
-from palaver.llm.shared import written
+from palaver.llm.shared import tidy, written
 from palaver.llm.textbatch import pieces, span_hashes, words
 
 # The kinds and the patterns of the contract. A run of digits or letters can only match from its start.
@@ -164,7 +164,7 @@ def _occurrences(docs: DataFrame, text: str, table: bytes) -> DataFrame:
                 keys, n = keys[:0], n[:0]
         yield _counted(keys, n)
 
-    return docs.select(F.col(text)).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text)).mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _counted(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:

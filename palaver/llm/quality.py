@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm import columns as C
-from palaver.llm.shared import written
+from palaver.llm.shared import tidy, written
 from palaver.llm.textbatch import LOWER, pieces, span_hashes, words
 
 FEATURES, BANDWIDTH, RIDGE, BINS, SEED, PRIOR = 256, 4.0, 1e-3, 2048, 11, 0.5
@@ -96,7 +96,7 @@ def document_statistics(docs: DataFrame, id_column: str = "doc_id", text: str =
             stats = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(id_column), stats], [id_column, "stats"])
 
-    return docs.select(id_column, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{id_column}` {kind}, stats array<double>")
+    return docs.select(id_column, F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), f"`{id_column}` {kind}, stats array<double>")
 
 
 class Model:
@@ -145,7 +145,7 @@ def normal_equations(train: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
         rows = np.sum([np.frombuffer(x) for x in table.column("row").to_pylist()], axis=0)
         return pa.table({"i": table.column("i").slice(0, 1), "row": pa.array([rows.tobytes()], pa.binary())})
 
-    parts = train.select("stats", "y").mapInArrow(run, "i int, row binary")
+    parts = train.select("stats", "y").mapInArrow(tidy(run), "i int, row binary")
     found = parts.groupBy("i").applyInArrow(add, "i int, row binary").collect()  # FEATURES + 1 rows of fixed size
     table = np.stack([np.frombuffer(r["row"]) for r in sorted(found, key=lambda r: r["i"])])
     return table[:, :size], table[:, size]
@@ -200,7 +200,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(model.score(_stats(batch)))], [*(f.name for f in kept), "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"])
-    return stats.select(*[f.name for f in kept], "stats").mapInArrow(run, schema)
+    return stats.select(*[f.name for f in kept], "stats").mapInArrow(tidy(run), schema)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from palaver.llm import columns as C
-from palaver.llm.shared import small_batches, written
+from palaver.llm.shared import small_batches, tidy, written
 from palaver.llm.textbatch import LOWER, pieces, words
 
 MIN_LENGTH, MIN_COUNT, RATIO, DROP = 5, 3, 2, 97
@@ -133,7 +133,7 @@ def word_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    counted = source.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= min_count)
 
 
@@ -167,7 +167,7 @@ def _oriented(counted: DataFrame) -> DataFrame:
             types = pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["word", "n", "way", "whole", "pos", "node"])
 
-    return counted.select("word", "n").mapInArrow(run, "word string, n long, way byte, whole long, pos int, node long")
+    return counted.select("word", "n").mapInArrow(tidy(run), "word string, n long, way byte, whole long, pos int, node long")
 
 
 def _letters(oriented: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _letters(oriented: DataFrame) -> DataFrame:
             types = pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["node", "letter", "next", "child", "whole"])
 
-    return oriented.select("word", "way").mapInArrow(run, "node long, letter string, next string, child long, whole long")
+    return oriented.select("word", "way").mapInArrow(tidy(run), "node long, letter string, next string, child long, whole long")
 
 
 def edge_table(oriented: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:

@@ -40,7 +40,7 @@ def _power(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, PIECE_BYTES), base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) <= 4 * PIECE_BYTES:
+        if len(have) <= 2 * PIECE_BYTES:
             _powers[base] = have
     return have
 
