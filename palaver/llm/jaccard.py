@@ -241,7 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     at, found, size = at + len(found), [], 0
             yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, len(found)), pa.array(found, pa.binary())], ["id", "members"])
 
-    sets = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", spot.alias("spot")).mapInArrow(compute, "id long, members binary")
+    sets = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", spot.alias("spot")).mapInArrow(tidy(compute), "id long, members binary")
     sets = written(sets.filter(F.col("members").isNotNull()), "sets", "lz4")
     load = pairs.groupBy("b").agg(F.count("*").alias("m")).select("b", F.ceil(F.col("m") / PER_LEADER).cast("int").alias("salts"))
     load = written(load, "leaders")
@@ -267,7 +267,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return written(dealt.mapInArrow(compare, "a long, b long"), "verified")
+    return written(dealt.mapInArrow(tidy(compare), "a long, b long"), "verified")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
