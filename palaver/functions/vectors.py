@@ -16,8 +16,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column, eps: float = 1e-10) -> Column:
+    """``a`` over its norm; with ``eps`` of 0 a zero vector gives nulls."""
     size = norm(a) + F.lit(eps)
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return F.transform(a, lambda x: F.try_divide(x.cast("double"), size))
 
 
 def cosine(a: Column, b: Column) -> Column:

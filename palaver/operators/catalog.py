@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import dates, text
 from palaver.plans.scans import running_number
+from palaver.sources.versioned import VersionedTable
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 FOLDER_FORMAT = "yyyy-MM-dd_HH'h'mm'm'ss's'"
@@ -385,6 +386,23 @@ def update_report(jobs: DataFrame, edits: DataFrame) -> DataFrame:
     ).drop("new_report")
 
 
+def apply_columns(table: VersionedTable, outcome: DataFrame, column: str, batch: int, source: str) -> None:
+    """Write ``column`` of the requests without an error back to the jobs table; a batch that was applied changes nothing."""
+    done = outcome.filter("error_code IS NULL").select("id", F.col(column).alias("_new"), F.lit(True).alias("_set"))
+
+    def change(rows: DataFrame) -> DataFrame:
+        joined = rows.join(done, "id", "left")
+        return joined.withColumn(column, F.when(F.col("_set"), F.col("_new")).otherwise(F.col(column))).select(*rows.columns)
+
+    table.apply(done, change, batch, source)
+
+
+def apply_delete(table: VersionedTable, outcome: DataFrame, batch: int, source: str = "delete") -> None:
+    """Take the jobs of requests without an error out of the table."""
+    done = outcome.filter("error_code IS NULL").select("id")
+    table.apply(done, lambda rows: rows.join(done, "id", "left_anti"), batch, source)
+
+
 def month_grid(year: int, month: int, jobs: DataFrame) -> DataFrame:
     """Monday-first month cells padded to full weeks, with the jobs of each day."""
     spark = jobs.sparkSession

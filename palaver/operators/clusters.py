@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import vectors
-from palaver.plans.scans import block_pass, exact_percentile
+from palaver.operators import pairs
+from palaver.plans.scans import block_pass
 from palaver.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -49,9 +50,9 @@ def bootstrap(vecs: DataFrame, size: int = BOOTSTRAP_SIZE) -> DataFrame:
 
 
 def means(vecs: DataFrame, by: list[str]) -> DataFrame:
-    """Mean vector and size per group; partial sums are formed before the shuffle."""
+    """Mean vector and size per group, of usable vectors; partial sums are formed before the shuffle."""
     mean = Summarizer.mean(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    return vecs.groupBy(*by).agg(vector_to_array(mean).alias("mean"), F.count("*").alias("n"))
+    return pairs.usable_only(vecs).groupBy(*by).agg(vector_to_array(mean).alias("mean"), F.count("*").alias("n"))
 
 
 def centroids(vecs: DataFrame, normalized: bool = True, eps: float = 1e-9) -> DataFrame:
@@ -63,7 +64,8 @@ def centroids(vecs: DataFrame, normalized: bool = True, eps: float = 1e-9) -> Da
 def nearest_centroid(vecs: DataFrame, cents: DataFrame) -> DataFrame:
     """Label and similarity of the closest centroid of the meeting, the lowest label on a tie.
 
-    Centroids are few per meeting and travel as one small array, so no vector is copied per centroid.
+    Centroids are few per meeting and travel as one small array, so no vector is copied per centroid. A vector that is not
+    usable has neither label nor similarity.
     """
     packed = cents.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_c"))
     joined = vecs.drop("label").join(packed, KEY)
@@ -71,7 +73,7 @@ def nearest_centroid(vecs: DataFrame, cents: DataFrame) -> DataFrame:
         "_c",
         lambda c: F.struct(vectors.dot(F.col("embedding"), c["centroid"]).alias("sim"), (-c["label"]).alias("neg")),
     )
-    best = F.array_max(scored)
+    best = F.when(pairs.usable(F.col("embedding")), F.array_max(scored))
     return joined.withColumn("_best", best).withColumns(
         {"label": -F.col("_best.neg"), "sim": F.col("_best.sim")}
     ).drop("_c", "_best")
@@ -147,12 +149,12 @@ def merge_close_centroids(vecs: DataFrame, threshold: float, rounds: int | None
 
 
 def silhouette(vecs: DataFrame) -> DataFrame:
-    """Mean cosine silhouette per meeting; NULL with fewer than two clusters or too few points.
+    """Mean cosine silhouette per meeting, of usable vectors; NULL with fewer than two clusters or too few points.
 
     The distance is (1 - cos) / 2, so the mean distance from a vector to a cluster is (1 - v.mean) / 2 over the unit
     vectors of that cluster; inside the own cluster the vector itself is taken out.
     """
-    unit = vecs.withColumn("embedding", vectors.l2_normalize(F.col("embedding"), 0.0))
+    unit = pairs.usable_only(vecs).withColumn("embedding", vectors.l2_normalize(F.col("embedding"), 0.0))
     cents = cut_lineage(means(unit, [*KEY, "label"]))
     packed = cents.groupBy(*KEY).agg(F.collect_list(F.struct("label", "mean", "n")).alias("_c"), F.sum("n").alias("_total"))
     joined = unit.join(packed, KEY)
@@ -205,6 +207,7 @@ def pairwise(vecs: DataFrame) -> DataFrame:
     Each vector goes to every block from its own on, so a task holds one block of others and a long meeting is spread.
     """
     own = F.floor(F.col("sub_idx") / PAIR_BLOCK)
+    vecs = pairs.usable_only(vecs)
     rows = vecs.select(*KEY, "sub_idx", "label", vectors.l2_normalize(F.col("embedding"), 0.0).alias("v"))
     blocks = rows.groupBy(*KEY, own.alias("_block")).agg(
         F.collect_list(F.struct(F.col("sub_idx").alias("j"), F.col("label").alias("lj"), F.col("v").alias("w"))).alias("_others")
@@ -220,24 +223,25 @@ def pairwise(vecs: DataFrame) -> DataFrame:
     )
 
 
-def pair_percentile(pairs: DataFrame, p: float) -> DataFrame:
-    """Interpolated percentile of the pair distances."""
-    return exact_percentile(pairs.withColumn("d", 1.0 - F.col("sim")), KEY, "d", p)
+def pair_percentile(vecs: DataFrame, p: float) -> DataFrame:
+    """(meeting_id, n, pct): number of pairs and interpolated percentile of their distances."""
+    near = pairs.percentiles(vecs, {pairs.ALL: 1.0 - p})
+    return near.select(*KEY, "n", (1.0 - F.col("pct")).alias("pct"))
 
 
-def single_speaker(pairs: DataFrame) -> DataFrame:
+def single_speaker(vecs: DataFrame) -> DataFrame:
     """Whether the median pair similarity says one speaker."""
-    median = exact_percentile(pairs, KEY, "sim", 0.5)
+    median = pairs.percentiles(vecs, {pairs.ALL: 0.5})
     return median.select(*KEY, F.col("pct").alias("median_sim"), (F.col("pct") >= SINGLE_SPEAKER_MEDIAN).alias("single"))
 
 
-def calibrate_threshold(pairs: DataFrame, meetings: DataFrame) -> DataFrame:
+def calibrate_threshold(vecs: DataFrame) -> DataFrame:
     """Midpoint of the 10th percentile within labels and the 90th across, kept in bounds; a default when one is
-    missing or a meeting has fewer than four vectors."""
-    pairs = cut_lineage(pairs.select(*KEY, "sim", "same"))
-    inner = exact_percentile(pairs.filter("same"), KEY, "sim", 0.1).select(*KEY, F.col("pct").alias("lo"))
-    outer = exact_percentile(pairs.filter("NOT same"), KEY, "sim", 0.9).select(*KEY, F.col("pct").alias("hi"))
-    out = meetings.select(*KEY, "n_vectors").join(inner, KEY, "left").join(outer, KEY, "left")
+    missing or a meeting has fewer than four usable vectors."""
+    found = pairs.percentiles(vecs, {pairs.SAME: 0.1, pairs.OTHER: 0.9})
+    sides = [F.max(F.when(F.col("cls") == c, F.col("pct"))).alias(n) for c, n in ((pairs.SAME, "lo"), (pairs.OTHER, "hi"))]
+    meetings = vecs.groupBy(*KEY).agg(F.count_if(pairs.usable(F.col("embedding"))).alias("n_vectors"))
+    out = meetings.join(found.groupBy(*KEY).agg(*sides), KEY, "left")
     mid = F.greatest(F.lit(MIN_THRESHOLD), F.least(F.lit(MAX_THRESHOLD), (F.col("lo") + F.col("hi")) / 2.0))
     known = (F.col("n_vectors") >= 4) & F.col("lo").isNotNull() & F.col("hi").isNotNull()
     return out.select(*KEY, F.when(known, mid).otherwise(F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
@@ -247,18 +251,19 @@ def calibrate_threshold(pairs: DataFrame, meetings: DataFrame) -> DataFrame:
 
 
 def affinity_edges(vecs: DataFrame, shifted: bool = True) -> DataFrame:
-    """Full affinity matrix of a meeting's vectors; 1 on the diagonal."""
-    pairs = pairwise(vecs)
+    """Full affinity matrix of a meeting's usable vectors; 1 on the diagonal."""
+    vecs = pairs.usable_only(vecs)
+    dense = pairwise(vecs)
     value = F.greatest((F.col("sim") + 1.0) / 2.0, F.lit(0.0)) if shifted else F.col("sim")
-    upper = pairs.select(*KEY, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e"), value.alias("v"))
+    upper = dense.select(*KEY, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e"), value.alias("v"))
     diagonal = vecs.select(*KEY, F.col("sub_idx").alias("i"), F.col("sub_idx").alias("j"), F.lit(1.0).alias("v"))
     return upper.select(*KEY, "e.i", "e.j", "v").unionByName(diagonal)
 
 
-def knn_graph(edges: DataFrame, p: int) -> DataFrame:
-    """Per row the entries at least as large as the p-th largest, value 1, transposed."""
-    rank = F.rank().over(Window.partitionBy(*KEY, "i").orderBy(F.col("v").desc()))
-    kept = edges.withColumn("_r", rank).filter(F.col("_r") <= p)
+def knn_graph(vecs: DataFrame, p: int) -> DataFrame:
+    """Per vector the affinities at least as large as its p-th largest, its own 1 included, value 1, transposed. Lists of at
+    most p entries and ties are kept per pair of blocks; the matrix is never a table."""
+    kept = pairs.nearest(vecs, p, lambda sims: np.maximum((sims + 1.0) / 2.0, 0.0))
     return kept.select(*KEY, F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1.0).alias("v"))
 
 
@@ -280,7 +285,7 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def affinity_degree(vecs: DataFrame) -> DataFrame:
     """Row sums of the cosine matrix without the diagonal, for any number of vectors: v . (sum of all) - v . v."""
-    unit = vecs.withColumn("embedding", vectors.l2_normalize(F.col("embedding"), 0.0))
+    unit = pairs.usable_only(vecs).withColumn("embedding", vectors.l2_normalize(F.col("embedding"), 0.0))
     total = means(unit, KEY)
     joined = unit.join(total, KEY)
     v = F.col("embedding")
@@ -288,20 +293,11 @@ def affinity_degree(vecs: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """Whether every node of a meeting is reachable from its first node, following edges in their direction."""
-    live = cut_lineage(edges.filter("v > 0 AND i <> j").select(*KEY, "i", "j").distinct())
-    nodes = cut_lineage(edges.select(*KEY, F.explode(F.array("i", "j")).alias("node")).distinct())
-    reached = nodes.groupBy(*KEY).agg(F.min("node").alias("node"))
-    front = reached
-    while True:
-        step = front.join(live.withColumnRenamed("i", "node"), [*KEY, "node"]).select(*KEY, F.col("j").alias("node")).distinct()
-        front = cut_lineage(step.join(reached, [*KEY, "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        reached = cut_lineage(reached.unionByName(front))
-    total = nodes.groupBy(*KEY).agg(F.count("*").alias("_n"))
-    seen = reached.groupBy(*KEY).agg(F.count("*").alias("_seen"))
-    return total.join(seen, KEY).select(*KEY, (F.col("_n") == F.col("_seen")).alias("connected"))
+    """Whether all nodes of a meeting's symmetric graph hang together; rounds grow with the logarithm of its longest chain."""
+    roots = pairs.reachable(edges.filter("v > 0"))
+    nodes = edges.select(*KEY, F.explode(F.array("i", "j")).alias("node")).distinct()
+    found = nodes.join(roots, [*KEY, "node"], "left").groupBy(*KEY).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("root").alias("n"), F.count("*").alias("all"))
+    return found.select(*KEY, (((F.col("n") == F.col("all")) & (F.col("lo") == F.col("hi"))) | (F.col("all") == 1)).alias("connected"))
 
 
 def diag_fill(edges: DataFrame) -> DataFrame:
@@ -380,7 +376,7 @@ def one_speaker(vecs: DataFrame) -> bool:
     the mean square is at least limit^2 / 2; if at least half are under it, the mean is at most (1 + limit) / 2. Only between
     the two all pairs are compared.
     """
-    rows = vecs.select(F.lit("all").alias("meeting_id"), F.lit(0).alias("label"), vectors.l2_normalize(F.col("embedding"), 0.0).alias("embedding"))
+    rows = pairs.usable_only(vecs).select(F.lit("all").alias("meeting_id"), F.lit(0).alias("label"), vectors.l2_normalize(F.col("embedding"), 0.0).alias("embedding"))
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -405,8 +401,7 @@ def one_speaker(vecs: DataFrame) -> bool:
     starts = np.append(0, np.cumsum([r["n"] for r in parts]))[:-1].tolist()
     first = F.create_map(*[F.lit(x) for r, at in zip(parts, starts) for x in (r["p"], at)])
     index = first[F.shiftright("id", 33)] + F.col("id").bitwiseAND((1 << 33) - 1)
-    pairs = pairwise(numbered.withColumn("sub_idx", index))
-    return bool(single_speaker(pairs).first()["single"])
+    return bool(single_speaker(numbered.withColumn("sub_idx", index)).first()["single"])
 
 
 def _one_gaussian(points: DataFrame, dims: int) -> float:
@@ -432,6 +427,7 @@ def cluster_count_bic(vecs: DataFrame, min_k: int = 1, max_k: int = 20, dims: in
     from pyspark.ml.clustering import GaussianMixture
 
     spark = vecs.sparkSession
+    vecs = pairs.usable_only(vecs)
     n = vecs.count()
     if n < 4 or (min_k <= 1 and one_speaker(vecs)):
         return spark.createDataFrame([(max(1, min_k), None, True)], "k int, bic double, best boolean")
@@ -592,7 +588,7 @@ def bootstrap_online(vecs: DataFrame, size: int = BOOTSTRAP_SIZE, create: bool =
     open a new label (``create``, the batch rule) or stay with the closest (the live rule)."""
     boot = bootstrap(vecs, size)
     cents = cut_lineage(centroids(boot))
-    limit = calibrate_threshold(pairwise(boot), embedding_stats(boot))
+    limit = calibrate_threshold(boot)
     packed = cents.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "centroid", "n"))).alias("cents"))
     setup = packed.join(limit, KEY)
     rest = vecs.filter(F.col("sub_idx") >= size)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.operators.alignment import fill_unlabelled, speaker_name
+from palaver.operators.assignment import optimal_map
 from palaver.plans.scans import by_index, by_time, islands, scan
 from palaver.session import cut_lineage
 
@@ -190,9 +191,10 @@ def greedy_speaker_map(overlaps: DataFrame, rounds: int | None = None) -> DataFr
 
 
 def der_components(
-    reference: DataFrame, hypothesis: DataFrame, mapping: DataFrame, collar_s: float = COLLAR_S, skip_overlap: bool = True
+    reference: DataFrame, hypothesis: DataFrame, mapping: DataFrame | None = None, collar_s: float = COLLAR_S, skip_overlap: bool = True
 ) -> DataFrame:
-    """Missed, false-alarm and confused seconds over the reference time, per meeting.
+    """Missed, false-alarm and confused seconds over the reference time, per meeting. Without a ``mapping`` of the hypothesis'
+    speakers, the one-to-one map with the longest overlap is used.
 
     The time line is cut at every edge. Around each reference edge a collar is left out, half of ``collar_s`` on each
     side, and so is overlapped reference speech. With a running count of open segments per side, every piece between
@@ -200,6 +202,8 @@ def der_components(
     counts on mapped names.
     """
     ref = reference.select("meeting_id", "speaker", "start", "end")
+    if mapping is None:
+        mapping = cut_lineage(optimal_map(speaker_cooccurrence(reference, hypothesis)))
     hyp = (
         hypothesis.select("meeting_id", F.col("speaker").alias("h_spk"), "start", "end")
         .join(mapping, ["meeting_id", "h_spk"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palaver.functions import text
-from palaver.operators import alignment, diarization, transcripts
+from palaver.operators import alignment, assignment, diarization, transcripts
 from palaver.queries import tables
 from palaver.queries.registry import query
 from palaver.queries.scalars import BLANKS
@@ -389,13 +389,28 @@ SELECT meeting_id, 'H' || ((label + CASE WHEN parent_idx = 2 THEN 1 ELSE 0 END)
          round(sum((greatest(nr, nh) - ok) * dur) / sum(nr * dur), 6) AS der FROM n GROUP BY 1""",
 )
 def der_components(spark, sf):
-    hyp = hypothesis(spark, sf)
-    names = hyp.select("meeting_id", F.col("speaker").alias("h_spk")).distinct()
-    mapping = names.withColumn("r_spk", F.concat(F.lit("R"), F.substr("h_spk", F.lit(2))))
-    out = diarization.der_components(reference(spark, sf), hyp, mapping)
+    out = diarization.der_components(reference(spark, sf), hypothesis(spark, sf))
     return out.select("meeting_id", *[F.round(c, 6).alias(c) for c in ("total_s", "miss", "false_alarm", "confusion", "der")])
 
 
+@query(
+    "der_optimal_map",
+    """WITH o AS (SELECT r.meeting_id, r.speaker AS r, h.speaker AS h, sum(least(r."end", h."end") - greatest(r.start, h.start)) AS w
+         FROM t_ref r JOIN t_hyp h ON h.meeting_id = r.meeting_id AND h.start < r."end" AND r.start < h."end" GROUP BY 1, 2, 3),
+       n AS (SELECT meeting_id, list(DISTINCT r ORDER BY r) AS rs, list(DISTINCT h ORDER BY h) AS hs FROM o GROUP BY 1),
+       s AS (SELECT meeting_id, rs, hs, u[1] AS a, u[2] AS b, u[3] AS c, u[4] AS d FROM n, (SELECT [a, b, c, d] AS u FROM range(4) x(a), range(4) y(b), range(4) z(c), range(4) w(d)
+         WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d)),
+       k AS (SELECT meeting_id, a, b, c, d, unnest([{'r': rs[1], 'h': hs[a + 1]}, {'r': rs[2], 'h': hs[b + 1]}, {'r': rs[3], 'h': hs[c + 1]}, {'r': rs[4], 'h': hs[d + 1]}]) AS p FROM s)
+       SELECT meeting_id, round(max(w), 6) AS overlap_s FROM (
+         SELECT k.meeting_id, a, b, c, d, sum(coalesce(o.w, 0)) AS w FROM k LEFT JOIN o ON o.meeting_id = k.meeting_id AND o.r = p.r AND o.h = p.h GROUP BY 1, 2, 3, 4, 5) GROUP BY 1""",
+)
+def der_optimal_map(spark, sf):
+    """Seconds that agree under the best one-to-one map of the speakers of each meeting."""
+    met = diarization.speaker_cooccurrence(reference(spark, sf), hypothesis(spark, sf))
+    best = met.join(assignment.optimal_map(met), ["meeting_id", "r_spk", "h_spk"])
+    return best.groupBy("meeting_id").agg(F.round(F.sum("overlap_s"), 6).alias("overlap_s"))
+
+
 @query("der_greedy_map")
 def der_greedy_map(spark, sf):
     ref, hyp = reference(spark, sf), hypothesis(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palaver.functions.dates import day_key
@@ -9,6 +11,8 @@ from palaver.operators import catalog
 from palaver.queries import tables
 from palaver.queries.registry import query
 from palaver.queries.scalars import SQL_DISPLAY
+from palaver.session import cut_lineage, shared_dir
+from palaver.sources.versioned import VersionedTable
 
 SQL = tables.SQL
 NOW = tables.NOW
@@ -16,6 +20,20 @@ PARSE = "strptime(substr({}, 1, 19), '%Y-%m-%dT%H:%M:%S')"
 SQL["t_open"] = "SELECT * FROM t_cal WHERE id NOT IN (SELECT event_id FROM t_jobs WHERE event_id IS NOT NULL)"
 
 
+def jobs_table(spark, sf, **more):
+    """The jobs as a versioned table in the shared folder."""
+    rows = jobs(spark, sf).withColumns(more) if more else jobs(spark, sf)
+    return VersionedTable.create(rows, f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}", "id")
+
+
+def written_back(table, outcome, column, source):
+    """The outcome with the column as the table has it after the change; the batch is sent twice, as after a failure."""
+    judged = cut_lineage(outcome)
+    for _ in range(2):
+        catalog.apply_columns(table, judged, column, 0, source)
+    return judged.select("id", "error_code").join(table.read().select("id", column), "id", "left")
+
+
 def jobs(spark, sf):
     return tables.jobs(spark, sf)
 
@@ -253,7 +271,7 @@ def cat_rename(spark, sf):
     )
     shift = F.when(F.col("o_orderpriority") == "5-LOW", 100000000).otherwise(0)
     q = o.select(F.concat(F.lit("j"), F.col("o_orderkey") + shift).alias("id"), wanted.alias("new_label"))
-    return catalog.rename(jobs(spark, sf), q)
+    return written_back(jobs_table(spark, sf), catalog.rename(jobs(spark, sf), q), "label", "rename")
 
 
 @query(
@@ -273,7 +291,8 @@ def cat_move(spark, sf):
     wanted = F.when(F.col("o_totalprice") > 300000, F.lit(None).cast("string")).when(F.col("o_totalprice") > 200000, "2-HIGH").otherwise(
         F.concat(F.lit("Neuf "), "o_custkey")
     )
-    return catalog.move(jobs(spark, sf), o.select(F.concat(F.lit("j"), "o_orderkey").alias("id"), wanted.alias("new_folder")))
+    asked = o.select(F.concat(F.lit("j"), "o_orderkey").alias("id"), wanted.alias("new_folder"))
+    return written_back(jobs_table(spark, sf), catalog.move(jobs(spark, sf), asked), "folder", "move")
 
 
 @query(
@@ -298,12 +317,15 @@ def cat_folder_create_delete(spark, sf):
 
 @query(
     "cat_delete",
-    """SELECT q.id, CASE WHEN status IS NULL THEN 'not_found' WHEN status IN ('queued', 'running') THEN 'busy' END AS error_code
-       FROM (SELECT 'j' || (o_orderkey * 2) AS id FROM orders) q LEFT JOIN t_jobs j ON j.id = q.id""",
+    """SELECT q.id, CASE WHEN status IS NULL THEN 'not_found' WHEN status IN ('queued', 'running') THEN 'busy' END AS error_code,
+         coalesce(status IN ('queued', 'running'), false) AS still_there FROM (SELECT 'j' || (o_orderkey * 2) AS id FROM orders) q LEFT JOIN t_jobs j ON j.id = q.id""",
 )
 def cat_delete(spark, sf):
     q = tables.read(spark, sf, "orders").select(F.concat(F.lit("j"), F.col("o_orderkey") * 2).alias("id"))
-    return catalog.delete(jobs(spark, sf), q)
+    table, judged = jobs_table(spark, sf), cut_lineage(catalog.delete(jobs(spark, sf), q))
+    catalog.apply_delete(table, judged, 0)
+    left = table.read().select("id", F.lit(True).alias("still_there"))
+    return judged.join(left, "id", "left").withColumn("still_there", F.coalesce("still_there", F.lit(False)))
 
 
 @query(
@@ -316,7 +338,10 @@ def cat_report_update(spark, sf):
     o = tables.read(spark, sf, "orders").filter("o_totalprice > 100000")
     edits = o.select(F.concat(F.lit("j"), "o_orderkey").alias("id"), F.concat(F.lit("new "), "o_custkey").alias("new_report"))
     j = jobs(spark, sf).withColumn("report_md", F.concat(F.lit("old "), "id"))
-    return catalog.update_report(j, edits).select("id", "error_code", "report_md")
+    table = jobs_table(spark, sf, report_md=F.concat(F.lit("old "), "id"))
+    judged = cut_lineage(catalog.update_report(j, edits).select("id", "error_code", "report_md"))
+    catalog.apply_columns(table, judged, "report_md", 0, "report")
+    return judged.select("id", "error_code").join(table.read().select("id", "report_md"), "id", "left")
 
 
 @query(

@@ -115,7 +115,7 @@ def pairwise_similarity(spark, sf):
     "SELECT meeting_id, count(*) AS n, round(quantile_cont(1 - sim, 0.3), 6) AS pct FROM t_pairs GROUP BY 1",
 )
 def pair_percentile_threshold(spark, sf):
-    return rounded(clusters.pair_percentile(clusters.pairwise(sub(spark, sf)), 0.3), "pct")
+    return rounded(clusters.pair_percentile(sub(spark, sf), 0.3), "pct")
 
 
 @query(
@@ -126,8 +126,7 @@ def pair_percentile_threshold(spark, sf):
        ON q.meeting_id = n.meeting_id""",
 )
 def calibrate_threshold(spark, sf):
-    s = sub(spark, sf)
-    return rounded(clusters.calibrate_threshold(clusters.pairwise(s), clusters.embedding_stats(s)), "threshold")
+    return rounded(clusters.calibrate_threshold(sub(spark, sf)), "threshold")
 
 
 @query(
@@ -135,7 +134,7 @@ def calibrate_threshold(spark, sf):
     "SELECT meeting_id, round(median(sim), 6) AS median_sim, median(sim) >= 0.75 AS single FROM t_pairs GROUP BY 1",
 )
 def single_speaker_test(spark, sf):
-    return rounded(clusters.single_speaker(clusters.pairwise(sub(spark, sf))), "median_sim")
+    return rounded(clusters.single_speaker(sub(spark, sf)), "median_sim")
 
 
 @query(
@@ -163,7 +162,7 @@ SELECT meeting_id, i, j, sum(v) / 2 AS v FROM (SELECT * FROM t_knn UNION ALL SEL
 
 
 def knn(spark, sf):
-    return clusters.knn_graph(edges(spark, sf), 6)
+    return clusters.knn_graph(sub(spark, sf), 6)
 
 
 @query("knn_graph", "SELECT * FROM t_knn")
@@ -193,11 +192,11 @@ def affinity_degree(spark, sf):
 @query(
     "graph_connected",
     """WITH RECURSIVE r AS (SELECT meeting_id, min(i) AS node FROM t_aff GROUP BY 1
-         UNION SELECT r.meeting_id, e.j FROM r JOIN (SELECT * FROM t_knn WHERE v > 0) e ON e.meeting_id = r.meeting_id AND e.i = r.node)
+         UNION SELECT r.meeting_id, e.j FROM r JOIN (SELECT * FROM t_sym WHERE v > 0) e ON e.meeting_id = r.meeting_id AND e.i = r.node)
        SELECT r.meeting_id, count(*) = any_value(n) AS connected FROM r JOIN (SELECT meeting_id, count(*) AS n FROM t_unit GROUP BY 1) t ON t.meeting_id = r.meeting_id GROUP BY 1""",
 )
 def graph_connected(spark, sf):
-    return clusters.connected(knn(spark, sf))
+    return clusters.connected(clusters.symmetrize_mean(knn(spark, sf)))
 
 
 @query(

@@ -190,7 +190,7 @@ def st_online_clusterer(spark, sf):
 def online_labels(vecs, size, **kw):
     boot = clusters.bootstrap(vecs, size)
     packed = clusters.centroids(boot).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("label", "centroid", "n"))).alias("cents"))
-    limit = clusters.calibrate_threshold(clusters.pairwise(boot), clusters.embedding_stats(boot))
+    limit = clusters.calibrate_threshold(boot)
     rows = with_end(vecs.select("meeting_id", "sub_idx", "embedding"), "meeting_id", "sub_idx")
     return jobs.run_to_table(jobs.assign_online(jobs.as_stream(rows, ["sub_idx"], **kw), packed.join(limit, "meeting_id"), boot, size))
 

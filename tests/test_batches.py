@@ -31,7 +31,7 @@ def test_pairs_cover_a_long_meeting(spark):
     vecs = spark.createDataFrame([("m", i, i % 3, [float(x) for x in v[i]]) for i in range(n)], "meeting_id string, sub_idx int, label int, embedding array<double>")
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     sims = (unit @ unit.T)[np.triu_indices(n, 1)]
-    got = clusters.pair_percentile(clusters.pairwise(vecs), 0.3).first()
+    got = clusters.pair_percentile(vecs, 0.3).first()
     assert got["n"] == n * (n - 1) // 2
     assert abs(got["pct"] - np.quantile(1 - sims, 0.3)) < 1e-9
-    assert clusters.knn_graph(clusters.affinity_edges(vecs), 6).select("j").distinct().count() == n
+    assert clusters.knn_graph(vecs, 6).select("j").distinct().count() == n

@@ -193,7 +193,7 @@ VEC = "meeting_id string, sub_idx int, embedding array<double>, label int"
 def test_threshold_defaults(spark):
     rows = unit_rows(1, 3, [0, 1], meeting="few") + unit_rows(2, 6, [0], meeting="one")
     df = spark.createDataFrame(rows, VEC)
-    got = {r.meeting_id: r.threshold for r in clusters.calibrate_threshold(clusters.pairwise(df), clusters.embedding_stats(df)).collect()}
+    got = {r.meeting_id: r.threshold for r in clusters.calibrate_threshold(df).collect()}
     assert got == {"few": 0.6, "one": 0.6}
 
 
