@@ -126,7 +126,8 @@ def spelling_docs(seed):
             w = rng.choice([w, w, w.upper(), w[:at] + w[at + 1 :], w[:at] + rng.choice(letters) + w[at:], w[:at] + rng.choice(letters) + w[at + 1 :]])
             words.append(w)
         docs.append((i, rng.choice([" ", "-", "1"]).join(words)))
-    return docs + [docs[-1]] * 2
+    chain = [(500, "stone " * 4 + "stoney " * 10 + "stoneyy " * 30)]  # forms that lead on to a further form
+    return docs + [docs[-1]] * 2 + chain
 
 
 @pytest.mark.parametrize("node_words", [spelling.NODE_WORDS, 3])
