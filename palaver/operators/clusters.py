@@ -9,10 +9,7 @@ the nearest centroid.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -366,101 +363,6 @@ def enhance(edges: DataFrame) -> DataFrame:
     return symmetrize_max(cut_lineage(row_max_norm(out)))
 
 
-# --- corpus-wide models -----------------------------------------------------------------------------------------
-
-
-def one_speaker(vecs: DataFrame) -> bool:
-    """Whether the median cosine over all pairs of vectors, of whatever meeting, says one speaker.
-
-    The means of the cosine and of its square over all pairs come from sums over vectors. If half of the cosines reach the limit,
-    the mean square is at least limit^2 / 2; if at least half are under it, the mean is at most (1 + limit) / 2. Only between
-    the two all pairs are compared.
-    """
-    rows = pairs.usable_only(vecs).select(F.lit("all").alias("meeting_id"), F.lit(0).alias("label"), vectors.l2_normalize(F.col("embedding"), 0.0).alias("embedding"))
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])
-                gram = np.concatenate([[float(len(x))], x.sum(axis=0), (x.T @ x).ravel()])
-                yield pd.DataFrame({"i": np.arange(len(gram)), "v": gram})
-
-    sums = rows.select("embedding").mapInPandas(moments, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    found = sums.orderBy("i").toPandas()["v"].to_numpy()  # 1 + dim + dim^2 numbers
-    n = found[0]
-    dim = int((np.sqrt(4 * len(found) - 3) - 1) / 2)
-    total, gram = found[1 : 1 + dim], found[1 + dim :]
-    mean, square = (total @ total - n) / (n * (n - 1)), (gram @ gram - n) / (n * (n - 1))
-    slack = 1e-9
-    if square < SINGLE_SPEAKER_MEDIAN**2 / 2 - slack:
-        return False
-    if mean > (1 + SINGLE_SPEAKER_MEDIAN) / 2 + slack:
-        return True
-    numbered = cut_lineage(rows.withColumn("id", F.monotonically_increasing_id()))
-    parts = numbered.groupBy(F.shiftright("id", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
-    starts = np.append(0, np.cumsum([r["n"] for r in parts]))[:-1].tolist()
-    first = F.create_map(*[F.lit(x) for r, at in zip(parts, starts) for x in (r["p"], at)])
-    index = first[F.shiftright("id", 33)] + F.col("id").bitwiseAND((1 << 33) - 1)
-    return bool(single_speaker(numbered.withColumn("sub_idx", index)).first()["single"])
-
-
-def _one_gaussian(points: DataFrame, dims: int) -> float:
-    """Log likelihood of one Gaussian, which has a closed form. Flat directions count as in the mixtures: not at all."""
-    x = points.select(vector_to_array("features").alias("x"))
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    row = x.agg(F.count("*"), *[F.covar_pop(F.col("x")[i], F.col("x")[j]) for i, j in pairs]).first()
-    cov = np.zeros((dims, dims))
-    for (i, j), v in zip(pairs, row[1:]):
-        cov[i, j] = cov[j, i] = v
-    values = np.linalg.eigvalsh(cov)
-    values = values[values > np.finfo(float).eps * values.max() * dims]
-    return float(-0.5 * row[0] * (dims * np.log(2 * np.pi) + np.log(values).sum() + len(values)))
-
-
-def cluster_count_bic(vecs: DataFrame, min_k: int = 1, max_k: int = 20, dims: int = 8, seed: int = 42) -> DataFrame:
-    """BIC of Gaussian mixtures over k on the first principal components of all vectors; the lowest is ``best``.
-
-    Fewer than four vectors, or a high median cosine if one speaker is allowed, decide without a mixture: one row without BIC.
-    There are at most half as many speakers as vectors.
-    """
-    from pyspark.ml.feature import PCA, Normalizer
-    from pyspark.ml.clustering import GaussianMixture
-
-    spark = vecs.sparkSession
-    vecs = pairs.usable_only(vecs)
-    n = vecs.count()
-    if n < 4 or (min_k <= 1 and one_speaker(vecs)):
-        return spark.createDataFrame([(max(1, min_k), None, True)], "k int, bic double, best boolean")
-    raw = vecs.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="unit").transform(raw)
-    dims = min(dims, n - 1, raw.first()["raw"].size)
-    points = cut_lineage(PCA(k=dims, inputCol="unit", outputCol="features").fit(unit).transform(unit).select("features"))
-    scores = []
-    for k in range(max(min_k, 1), max(min_k + 1, min(max_k + 1, n // 2 + 1))):
-        likelihood = _one_gaussian(points, dims) if k == 1 else GaussianMixture(k=k, seed=seed, maxIter=50).fit(points).summary.logLikelihood
-        free = k * dims + k * dims * (dims + 1) // 2 + k - 1
-        scores.append((k, float(-2.0 * likelihood + free * np.log(n))))
-    out = spark.createDataFrame(scores, "k int, bic double")
-    return out.withColumn("best", F.col("bic") == F.min("bic").over(Window.partitionBy(F.lit(1))))
-
-
-def cluster_affinity(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:
-    """k clusters of one affinity graph over all meetings' nodes by power iteration."""
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    ids = F.xxhash64(F.col("meeting_id"), F.lit("/"), F.col("node").cast("string"))
-    upper = edges.filter("i < j AND v > 0")
-    pic = PowerIterationClustering(k=k, maxIter=iterations, srcCol="src", dstCol="dst", weightCol="v")
-    ready = upper.select(
-        F.xxhash64("meeting_id", F.lit("/"), F.col("i").cast("string")).alias("src"),
-        F.xxhash64("meeting_id", F.lit("/"), F.col("j").cast("string")).alias("dst"),
-        "v",
-    )
-    assigned = pic.assignClusters(ready)
-    nodes = edges.select(*KEY, F.col("i").alias("node")).distinct().withColumn("id", ids)
-    return nodes.join(assigned, "id").select(*KEY, F.col("node").alias("sub_idx"), F.col("cluster").alias("label"))
-
-
 # --- keyed sequential clustering --------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.operators import clusters
+from palaver.operators import clusters, spectral
 from palaver.queries import tables
 from palaver.queries.registry import query
 
@@ -289,9 +289,10 @@ def bootstrap_online(spark, sf):
 
 @query("cluster_count_bic")
 def cluster_count_bic(spark, sf):
-    return clusters.cluster_count_bic(sub(spark, sf))
+    s = sub(spark, sf)
+    return spectral.cluster_count_bic(s, clusters.single_speaker(s))
 
 
 @query("cluster_affinity")
 def cluster_affinity(spark, sf):
-    return clusters.cluster_affinity(edges(spark, sf), 4)
+    return spectral.cluster_affinity(sub(spark, sf), 4)

@@ -248,34 +248,6 @@ def voices(seed, n, k, spread, dim=12):
     return [("m", i, [float(x) for x in v[i]], int(i % k)) for i in range(n)]
 
 
-def test_speaker_count_of_one(spark):
-    """One voice is found by the median cosine, sure from the means or by all pairs, or by the single Gaussian."""
-    for spread, sure in ((0.05, True), (0.15, False)):
-        rows = voices(1, 60, 1, spread)
-        x = np.array([r[2] for r in rows])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        sims = (x @ x.T)[np.triu_indices(60, 1)]
-        assert (sims.mean() > 0.875) == sure and (sims**2).mean() > 0.28125
-        df = spark.createDataFrame(rows, VEC)
-        assert clusters.one_speaker(df) == (np.median(sims) >= 0.75)
-    out = clusters.cluster_count_bic(spark.createDataFrame(voices(1, 60, 1, 0.05), VEC)).collect()
-    assert [(r.k, r.best) for r in out] == [(1, True)]
-    rows = [("m", i, [float(x) for x in v], 0) for i, v in enumerate(np.random.default_rng(4).normal(size=(80, 6)))]
-    out = clusters.cluster_count_bic(spark.createDataFrame(rows, VEC), max_k=2).collect()
-    assert [(r.k, r.best) for r in out] == [(1, True), (2, False)]
-    x = np.array([r[2] for r in rows])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cov = np.cov(x.T, bias=True)
-    plain = 80 * (6 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + 6) + 27 * np.log(80)
-    assert abs(out[0].bic - plain) < 1e-6 * abs(plain)
-
-
-def test_speaker_count_sweep_is_whole(spark):
-    assert clusters.cluster_count_bic(spark.createDataFrame(unit_rows(9, 3, [0]), VEC)).first().k == 1
-    out = clusters.cluster_count_bic(spark.createDataFrame(unit_rows(9, 16, [0]), VEC), dims=2).collect()
-    assert [r.k for r in out] == list(range(1, 9))
-
-
 def plain_chunks(n_segments, boundaries, lens, sims, limit):
     """Chunk starts after the recursive re-split, for segments that all have text and windows of three."""
     from math import exp
