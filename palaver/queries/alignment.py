@@ -8,7 +8,7 @@ from palaver.functions import text
 from palaver.operators import alignment, assignment, diarization, transcripts
 from palaver.queries import tables
 from palaver.queries.registry import query
-from palaver.queries.scalars import BLANKS
+from palaver.queries.scalars import sql_normalized
 
 SQL = tables.SQL
 SQL["t_turns"] = """
@@ -330,19 +330,17 @@ def real_time_factor(spark, sf):
     return diarization.real_time_factor(runs).select("meeting_id", F.round("rtf", 6).alias("rtf"))
 
 
+SQL["t_doc_normal"] = sql_normalized("t_doc_lines")
+
+
 @query(
     "split_ratio",
-    """SELECT meeting_id, n_in, n_out, n_out / CAST(n_in AS DOUBLE) AS ratio FROM (SELECT meeting_id, count(*) AS n_in FROM t_doc_lines GROUP BY 1)
-       JOIN (SELECT meeting_id, sum(CASE WHEN trim(raw, {b}) = '' THEN 0 WHEN regexp_matches(rtrim(raw, {b}), '^(.+?):\\s+(.+)$')
-          THEN len({s}) ELSE 1 END) AS n_out FROM t_doc_lines GROUP BY 1) USING (meeting_id)""".format(
-        b=BLANKS,
-        s=__import__("palaver.queries.scalars", fromlist=["sql_sentences"]).sql_sentences(
-            r"regexp_extract(rtrim(raw, " + BLANKS + r"), '^(.+?):\s+(.+)$', 2)"
-        ),
-    ),
+    """SELECT meeting_id, n_in, coalesce(n_out, 0) AS n_out, coalesce(n_out, 0) / CAST(n_in AS DOUBLE) AS ratio
+       FROM (SELECT meeting_id, count(*) AS n_in FROM t_doc_lines GROUP BY 1)
+       LEFT JOIN (SELECT meeting_id, count(*) AS n_out FROM t_doc_normal GROUP BY 1) USING (meeting_id)""",
 )
 def split_ratio(spark, sf):
-    return transcripts.split_ratio(tables.document_lines(spark, sf), max_chars=None)
+    return transcripts.split_ratio(tables.document_lines(spark, sf))
 
 
 # --- quality ----------------------------------------------------------------------------------------------------

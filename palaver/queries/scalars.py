@@ -94,29 +94,44 @@ def ordinal_time(spark, sf):
     return parsed.filter("kind = 'bare'").select("meeting_id", "line_no", "start", "end")
 
 
+def sql_wrapped(keys: str, source: str, limit: int = 300) -> str:
+    """Recursive members ``w``: pieces of at most ``limit`` characters (keys, pos, piece, part) of the sentences of ``source``
+    (keys, pos, sentence)."""
+    space = f"strpos(reverse(substr(rest, 2, {limit - 1})), ' ')"
+    return f"""w AS (SELECT {keys}, pos, 0 AS piece, CAST(NULL AS VARCHAR) AS part, sentence AS rest FROM {source}
+      UNION ALL
+      SELECT {keys}, pos, piece + 1, trim(substr(rest, 1, cut), {BLANKS}), trim(substr(rest, cut + 1), {BLANKS}) FROM (
+        SELECT *, CASE WHEN length(rest) <= {limit} THEN length(rest) WHEN {space} > 0 THEN {limit} - {space} ELSE {limit} END AS cut
+        FROM w WHERE rest <> ''))"""
+
+
 def sql_normalized(lines: str) -> str:
-    """Normalised lines without hard wrap, one row each."""
+    """Normalised lines, one row each; sentences over 300 characters are wrapped, lines without a grammar are not."""
     return f"""
-SELECT meeting_id, line_no, pos, CASE WHEN sp IS NULL THEN out[pos] ELSE trim(sp, {BLANKS}) || ': ' || out[pos] END AS line
-FROM (SELECT *, unnest(range(1, len(out) + 1)) AS pos FROM (
- SELECT meeting_id, line_no, sp, CASE WHEN sp IS NULL THEN [l] ELSE {sql_sentences('tx')} END AS out FROM (
+WITH RECURSIVE read AS (
   SELECT *, CASE kind WHEN 'range' THEN {rx(R_LOOSE, 1)} WHEN 'long' THEN {rx(R_LONG, 4)}
       WHEN 'short' THEN {rx(R_SHORT, 3)} WHEN 'bare' THEN {rx(R_BARE, 1)} END AS sp,
     CASE kind WHEN 'range' THEN {rx(R_LOOSE, 2)} WHEN 'long' THEN {rx(R_LONG, 5)}
       WHEN 'short' THEN {rx(R_SHORT, 4)} WHEN 'bare' THEN {rx(R_BARE, 2)} END AS tx
   FROM (SELECT *, CASE WHEN regexp_matches(l, '{R_LOOSE}') THEN 'range' WHEN regexp_matches(l, '{R_LONG}') THEN 'long'
       WHEN regexp_matches(l, '{R_SHORT}') THEN 'short' WHEN regexp_matches(l, '{R_BARE}') THEN 'bare' END AS kind
-    FROM (SELECT meeting_id, line_no, rtrim(raw, {BLANKS}) AS l FROM {lines}) WHERE trim(l, {BLANKS}) <> ''))))"""
+    FROM (SELECT meeting_id, line_no, rtrim(raw, {BLANKS}) AS l FROM {lines}) WHERE trim(l, {BLANKS}) <> '')),
+said AS (SELECT meeting_id, line_no, sp, pos, ss[pos] AS sentence FROM (
+  SELECT *, unnest(range(1, len(ss) + 1)) AS pos FROM (SELECT meeting_id, line_no, sp, {sql_sentences('tx')} AS ss FROM read WHERE sp IS NOT NULL))),
+{sql_wrapped('meeting_id, line_no, sp', 'said')}
+SELECT meeting_id, line_no, 1 AS pos, l AS line FROM read WHERE sp IS NULL
+UNION ALL
+SELECT meeting_id, line_no, row_number() OVER (PARTITION BY meeting_id, line_no ORDER BY pos, piece), trim(sp, {BLANKS}) || ': ' || part FROM w WHERE piece > 0"""
 
 
 @query("normalize_lines", sql_normalized("t_lines"))
 def normalize_lines(spark, sf):
-    return transcripts.normalize_lines(tables.transcript_lines(spark, sf), max_chars=None)
+    return transcripts.normalize_lines(tables.transcript_lines(spark, sf))
 
 
 @query("normalize_document_lines", sql_normalized("t_doc_lines"))
 def normalize_document_lines(spark, sf):
-    return transcripts.normalize_lines(tables.document_lines(spark, sf), max_chars=None)
+    return transcripts.normalize_lines(tables.document_lines(spark, sf))
 
 
 @query(
@@ -153,19 +168,20 @@ def hard_wrap(spark, sf):
 
 @query(
     "apportion_sentence_time",
-    f"""WITH s AS (SELECT meeting_id, seg_idx, start, "end" AS e, speaker, text, {sql_sentences('text')} AS ss FROM t_segments),
-      one AS (SELECT meeting_id, seg_idx, 1 AS pos, speaker, start, e AS "end", text FROM s WHERE len(ss) <= 1),
-      many AS (SELECT meeting_id, seg_idx, start, e, speaker, ss, unnest(range(1, len(ss) + 1)) AS pos FROM s WHERE len(ss) > 1),
-      lens AS (SELECT *, ss[pos] AS txt, length(ss[pos]) AS n,
-        sum(length(ss[pos])) OVER (PARTITION BY meeting_id, seg_idx ORDER BY pos) AS cum,
-        sum(length(ss[pos])) OVER (PARTITION BY meeting_id, seg_idx) AS total FROM many)
-      SELECT meeting_id, seg_idx, pos, speaker, round(start, 6) AS start, round("end", 6) AS "end", text FROM one
+    f"""WITH RECURSIVE s AS (SELECT meeting_id, seg_idx, start, "end" AS e, speaker, text, {sql_sentences('text')} AS ss FROM t_segments),
+      said AS (SELECT meeting_id, seg_idx, pos, ss[pos] AS sentence FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS pos FROM s)),
+      {sql_wrapped('meeting_id, seg_idx', 'said')},
+      p AS (SELECT meeting_id, seg_idx, part AS txt, length(part) AS n, row_number() OVER o AS pos, count(*) OVER g AS k,
+        sum(length(part)) OVER o AS cum, sum(length(part)) OVER g AS total FROM w WHERE piece > 0
+        WINDOW o AS (PARTITION BY meeting_id, seg_idx ORDER BY pos, piece), g AS (PARTITION BY meeting_id, seg_idx))
+      SELECT meeting_id, seg_idx, 1 AS pos, speaker, round(start, 6) AS start, round(e, 6) AS "end", text FROM s
+      WHERE (meeting_id, seg_idx) NOT IN (SELECT (meeting_id, seg_idx) FROM p WHERE k > 1)
       UNION ALL
       SELECT meeting_id, seg_idx, pos, speaker, round(start + (e - start) * (cum - n) / total, 6),
-        round(CASE WHEN pos = len(ss) THEN e ELSE start + (e - start) * cum / total END, 6), txt FROM lens""",
+        round(CASE WHEN pos = k THEN e ELSE start + (e - start) * cum / total END, 6), txt FROM p JOIN s USING (meeting_id, seg_idx) WHERE k > 1""",
 )
 def apportion_sentence_time(spark, sf):
-    out = transcripts.sentence_turns(tables.segments(spark, sf), max_chars=None)
+    out = transcripts.sentence_turns(tables.segments(spark, sf))
     return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
