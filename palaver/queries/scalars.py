@@ -166,20 +166,20 @@ def hard_wrap(spark, sf):
     ).withColumn("piece", F.col("piece") + 1)
 
 
-@query(
-    "apportion_sentence_time",
-    f"""WITH RECURSIVE s AS (SELECT meeting_id, seg_idx, start, "end" AS e, speaker, text, {sql_sentences('text')} AS ss FROM t_segments),
-      said AS (SELECT meeting_id, seg_idx, pos, ss[pos] AS sentence FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS pos FROM s)),
-      {sql_wrapped('meeting_id, seg_idx', 'said')},
-      p AS (SELECT meeting_id, seg_idx, part AS txt, length(part) AS n, row_number() OVER o AS pos, count(*) OVER g AS k,
-        sum(length(part)) OVER o AS cum, sum(length(part)) OVER g AS total FROM w WHERE piece > 0
-        WINDOW o AS (PARTITION BY meeting_id, seg_idx ORDER BY pos, piece), g AS (PARTITION BY meeting_id, seg_idx))
-      SELECT meeting_id, seg_idx, 1 AS pos, speaker, round(start, 6) AS start, round(e, 6) AS "end", text FROM s
-      WHERE (meeting_id, seg_idx) NOT IN (SELECT (meeting_id, seg_idx) FROM p WHERE k > 1)
-      UNION ALL
-      SELECT meeting_id, seg_idx, pos, speaker, round(start + (e - start) * (cum - n) / total, 6),
-        round(CASE WHEN pos = k THEN e ELSE start + (e - start) * cum / total END, 6), txt FROM p JOIN s USING (meeting_id, seg_idx) WHERE k > 1""",
-)
+SQL_SENTENCE_TURNS = f"""WITH RECURSIVE s AS (SELECT meeting_id, seg_idx, start, "end" AS e, speaker, text, {sql_sentences('text')} AS ss FROM t_segments),
+  said AS (SELECT meeting_id, seg_idx, pos, ss[pos] AS sentence FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS pos FROM s)),
+  {sql_wrapped('meeting_id, seg_idx', 'said')},
+  p AS (SELECT meeting_id, seg_idx, part AS txt, length(part) AS n, row_number() OVER o AS pos, count(*) OVER g AS k,
+    sum(length(part)) OVER o AS cum, sum(length(part)) OVER g AS total FROM w WHERE piece > 0
+    WINDOW o AS (PARTITION BY meeting_id, seg_idx ORDER BY pos, piece), g AS (PARTITION BY meeting_id, seg_idx))
+  SELECT meeting_id, seg_idx, 1 AS pos, speaker, round(start, 6) AS start, round(e, 6) AS "end", text FROM s
+  WHERE (meeting_id, seg_idx) NOT IN (SELECT (meeting_id, seg_idx) FROM p WHERE k > 1)
+  UNION ALL
+  SELECT meeting_id, seg_idx, pos, speaker, round(start + (e - start) * (cum - n) / total, 6),
+    round(CASE WHEN pos = k THEN e ELSE start + (e - start) * cum / total END, 6), txt FROM p JOIN s USING (meeting_id, seg_idx) WHERE k > 1"""
+
+
+@query("apportion_sentence_time", SQL_SENTENCE_TURNS)
 def apportion_sentence_time(spark, sf):
     out = transcripts.sentence_turns(tables.segments(spark, sf))
     return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})

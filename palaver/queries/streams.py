@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palaver.operators import clusters, live, transcripts
 from palaver.queries import tables
 from palaver.queries.registry import query
+from palaver.queries.scalars import SQL_SENTENCE_TURNS
 from palaver.session import shared_dir
 from palaver.streaming import jobs
 
@@ -102,7 +103,13 @@ def st_words_source(spark, sf):
     return jobs.run_to_table(jobs.new_words(jobs.as_stream(twice, ["ts", "word_idx"]), "1 day")).select("meeting_id", "word_idx", "word")
 
 
-@query("st_sliding_vectors")
+@query(
+    "st_sliding_vectors",
+    """SELECT meeting_id, start_ms, start_ms + 1200 AS end_ms FROM (
+         SELECT series_id AS meeting_id, rss_mb, 600 * (ms // 600 - k) AS start_ms FROM (
+           SELECT *, 1704067200000 + CAST(floor(round(t * 1000000) / 1000) AS BIGINT) AS ms, unnest([0, 1]) AS k FROM t_samples))
+       GROUP BY 1, 2 HAVING bool_or(least(rss_mb / 100, 1.0e0) >= 0.4e0)""",
+)
 def st_sliding_vectors(spark, sf):
     s = tables.samples(spark, sf)
     f = s.select(F.col("series_id").alias("meeting_id"), F.least(F.col("rss_mb") / 100, F.lit(1.0)).alias("prob"), at(F.col("t")).alias("ts"))
@@ -121,9 +128,10 @@ def st_turn_builder(spark, sf):
     return jobs.run_to_table(jobs.build_turns(jobs.as_stream(w, ["word_idx"])))
 
 
-@query("st_sentence_split")
+@query("st_sentence_split", SQL_SENTENCE_TURNS)
 def st_sentence_split(spark, sf):
-    return jobs.run_to_table(jobs.split_turns(jobs.as_stream(tables.segments(spark, sf), ["seg_idx"])))
+    out = jobs.run_to_table(jobs.split_turns(jobs.as_stream(tables.segments(spark, sf), ["seg_idx"])))
+    return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
 def topic_turns(spark, sf):
@@ -142,7 +150,7 @@ def stream_chunks(spark, sf, **kw):
 
 @query("st_topic_chunker")
 def st_topic_chunker(spark, sf):
-    return stream_chunks(spark, sf, k_sigma=1.0, max_chars=1 << 30)
+    return stream_chunks(spark, sf, k_sigma=1.0)
 
 
 @query("st_size_cap")
@@ -152,12 +160,19 @@ def st_size_cap(spark, sf):
 
 @query(
     "st_finalize",
-    """SELECT meeting_id, 0 AS chunk_id, min(start) AS start_time, max("end") AS end_time, count(*) AS n_turns, string_agg('[' || coalesce(speaker, '?') || ']: ' || text, chr(10) ORDER BY seg_idx) AS text
-       FROM t_topic GROUP BY 1""",
+    """WITH RECURSIVE t AS (SELECT *, coalesce(speaker, '?') AS sp, length(text) + length(coalesce(speaker, '?')) + 4 AS size,
+         row_number() OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS rn FROM t_topic),
+       r AS (SELECT meeting_id, rn, 0 AS chunk_id, size AS held, size >= 15000 AS closed FROM t WHERE rn = 1
+         UNION ALL
+         SELECT t.meeting_id, t.rn, r.chunk_id + CAST(r.closed AS INTEGER), CASE WHEN r.closed THEN 0 ELSE r.held END + t.size,
+           CASE WHEN r.closed THEN 0 ELSE r.held END + t.size >= 15000
+         FROM r JOIN t ON t.meeting_id = r.meeting_id AND t.rn = r.rn + 1)
+       SELECT meeting_id, chunk_id, min(start) AS start_time, max("end") AS end_time, count(*) AS n_turns,
+         string_agg('[' || sp || ']: ' || text, chr(10) ORDER BY rn) AS text FROM r JOIN t USING (meeting_id, rn) GROUP BY 1, 2""",
 )
 def st_finalize(spark, sf):
-    """Chunks that only the end of the meeting closes."""
-    return stream_chunks(spark, sf, k_sigma=100.0, max_chars=1 << 30)
+    """Chunks that only the size cap or the end of the meeting closes: no valley is that deep."""
+    return stream_chunks(spark, sf, k_sigma=100.0)
 
 
 @query(
