@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from palaver.functions import dates
 from palaver.operators import clusters, live, transcripts
 from palaver.queries import tables
 from palaver.queries.registry import query
@@ -128,6 +129,23 @@ def st_turn_builder(spark, sf):
     return jobs.run_to_table(jobs.build_turns(jobs.as_stream(w, ["word_idx"])))
 
 
+def silent_turns(words, idle=600_000, beat=3600, **kw):
+    """Turns of meetings that nobody ends. A last row of another meeting, ``beat`` seconds later, moves the watermark on."""
+    rows = words.withColumn("ts", at(F.col("start")))
+    beats = rows.agg(F.max("start").alias("start"), F.max("ts").alias("ts"), F.max("word_idx").alias("word_idx")).select(
+        F.lit("~").alias("meeting_id"), "word_idx", F.lit("").alias("word"), "start", F.col("start").alias("end"), F.lit("?").alias("speaker"),
+        (F.col("ts") + F.make_dt_interval(secs=F.lit(beat))).alias("ts"),
+    )
+    stream = jobs.as_stream(rows.select(*beats.columns).unionByName(beats), ["ts"], **kw)
+    return jobs.run_to_table(jobs.build_turns(stream, idle))
+
+
+@query("st_silent_meeting", "SELECT * FROM t_built")
+def st_silent_meeting(spark, sf):
+    """Every meeting is ended by its silence of ten minutes."""
+    return silent_turns(tables.words(spark, sf))
+
+
 @query("st_sentence_split", SQL_SENTENCE_TURNS)
 def st_sentence_split(spark, sf):
     out = jobs.run_to_table(jobs.split_turns(jobs.as_stream(tables.segments(spark, sf), ["seg_idx"])))
@@ -232,6 +250,27 @@ def st_end_reminder(spark, sf):
     return jobs.run_to_table(jobs.end_reminders(jobs.as_stream(rows, ["ts"], "job_id")))
 
 
+@query(
+    "st_notify_timers",
+    """WITH r AS (SELECT series_id AS calendar_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 5400000000 AS slot, label = 'error' AS rec FROM t_samples WHERE label IN ('view', 'click', 'error')),
+       e AS (SELECT *, (slot + 1) * 5400000 - 300000 AS due FROM r),
+       f AS (SELECT calendar_id, slot, due, min(ms) FILTER (WHERE NOT rec AND due - ms BETWEEN -60000 AND 3600000) AS p, min(ms) FILTER (WHERE rec) AS begun FROM e GROUP BY 1, 2, 3)
+       SELECT calendar_id, 'e' || CAST(slot AS VARCHAR) AS event_id, greatest(due, p) AS at_ms FROM f
+       WHERE p IS NOT NULL AND slot % 7 <> 0 AND (begun IS NULL OR (begun >= greatest(due, p) AND begun > p)) AND greatest(due, p) <= (SELECT max(ms) FROM r)""",
+)
+def st_notify_timers(spark, sf):
+    """Each user's events as a calendar: a view or click lists the event that starts at the end of its 90 minutes, an error is
+    the start of its recording. Of every seventh event the notice was told before."""
+    s = tables.samples(spark, sf).filter(F.col("label").isin("view", "click", "error")).withColumn("ts", F.timestamp_millis(dates.epoch_ms(F.col("ts"))))
+    slot = F.floor(F.unix_millis("ts") / 5400000)
+    rows = s.select(
+        F.col("series_id").alias("calendar_id"), "ts", (F.col("label") == "error").alias("recorded"),
+        F.concat(F.lit("e"), slot.cast("string")).alias("event_id"), ((slot + 1) * 5400000).cast("long").alias("start_ms"),
+    )
+    told = s.filter(slot % 7 == 0).select(F.col("series_id").alias("calendar_id"), F.concat(F.lit("e"), slot.cast("string")).alias("event_id"), ((slot + 1) * 5400000 - 300000).cast("long").alias("at_ms"))
+    return jobs.run_to_table(jobs.due_notices(jobs.as_stream(rows, ["ts"], "calendar_id"), told.distinct(), delay="0 seconds"))
+
+
 @query("st_sections_out_of_order", "SELECT meeting_id, chunk_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_time, chunk_id) AS no FROM t_sections")
 def st_sections_out_of_order(spark, sf):
     """Sections arrive by length of their text; order comes back on read."""

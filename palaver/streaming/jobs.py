@@ -1,6 +1,7 @@
 """Streaming forms of the live path. Each function takes and returns streaming DataFrames.
 
-Input is keyed by meeting (or job). A producer marks the end of a meeting with a row whose ``ended`` is true.
+Input is keyed by meeting (or job). A producer marks the end of a meeting with a row whose ``ended`` is true; with ``idle``
+(milliseconds) a meeting also ends by silence, as event time in ``ts`` tells.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palaver.operators import clusters, live, transcripts
 from palaver.session import STATE_STORE, cut_lineage, shared_dir
-from palaver.streaming.processors import EndReminder, RuleProcessor
+from palaver.streaming.processors import DueNotices, EndReminder, RuleProcessor
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -21,9 +22,12 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _keyed(df: DataFrame, key: str, processor: RuleProcessor, schema: str) -> DataFrame:
+def _keyed(df: DataFrame, key: str, processor: RuleProcessor, schema: str, delay: str = "10 seconds") -> DataFrame:
     use_state_store(df.sparkSession)
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "None")
+    timed = processor.idle_ms is not None
+    if timed:
+        df = df.withColumn(processor.CLOCK, F.unix_millis("ts")).withWatermark("ts", delay)
+    return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime" if timed else "None")
 
 
 def new_words(words: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -41,25 +45,26 @@ def sliding_speech(frames: DataFrame, threshold: float = 0.4, delay: str = "10 s
     )
 
 
-def build_turns(words: DataFrame) -> DataFrame:
+def build_turns(words: DataFrame, idle: int | None = None, delay: str = "10 seconds") -> DataFrame:
     p = RuleProcessor(
         "meeting_id", ["word_idx"], ["word", "start", "end", "speaker"], ["start", "end", "speaker", "text"],
-        live.Turns, "ended",
+        live.Turns, "ended" if "ended" in words.columns else None, idle,
     )
-    return _keyed(words, "meeting_id", p, "meeting_id string, start double, end double, speaker string, text string")
+    return _keyed(words, "meeting_id", p, "meeting_id string, start double, end double, speaker string, text string", delay)
 
 
 def split_turns(turns: DataFrame, max_chars: int | None = 300) -> DataFrame:
     return transcripts.sentence_turns(turns, max_chars)
 
 
-def chunk_topics(turns: DataFrame, k_sigma: float = live.CHUNK_K, max_chars: int = live.CHUNK_MAX_CHARS, min_turns: int = live.CHUNK_MIN_TURNS) -> DataFrame:
+def chunk_topics(turns: DataFrame, k_sigma: float = live.CHUNK_K, max_chars: int = live.CHUNK_MAX_CHARS, min_turns: int = live.CHUNK_MIN_TURNS,
+                 idle: int | None = None, delay: str = "10 seconds") -> DataFrame:
     p = RuleProcessor(
         "meeting_id", ["seg_idx"], live.CHUNK_COLUMNS, ["chunk_id", "start_time", "end_time", "n_turns", "text"],
-        partial(live.TopicChunks, k_sigma, max_chars, min_turns), "ended",
+        partial(live.TopicChunks, k_sigma, max_chars, min_turns), "ended" if "ended" in turns.columns else None, idle,
     )
     return _keyed(
-        turns, "meeting_id", p, "meeting_id string, chunk_id int, start_time double, end_time double, n_turns int, text string"
+        turns, "meeting_id", p, "meeting_id string, chunk_id int, start_time double, end_time double, n_turns int, text string", delay
     )
 
 
@@ -108,6 +113,22 @@ def end_reminders(states: DataFrame, delay: str = "0 seconds") -> DataFrame:
     )
 
 
+def due_notices(
+    rows: DataFrame, told: DataFrame | None = None, lead_ms: int = 300_000, ahead_ms: int = 3_600_000, late_ms: int = 60_000, keep_ms: int = 86_400_000, delay: str = "10 seconds"
+) -> DataFrame:
+    """Notices (calendar_id, event_id, at_ms) ahead of the events of each calendar, by timers.
+
+    ``rows`` are (calendar_id, ts, recorded, event_id, start_ms) polls and recordings; ``told`` is a batch table
+    (calendar_id, event_id, at_ms) of earlier notices, taken in as initial state. Rows more than ``delay`` behind are left out.
+    """
+    use_state_store(rows.sparkSession)
+    timed = rows.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay)
+    before = told.select("calendar_id", "event_id", "at_ms").groupBy("calendar_id") if told is not None else None
+    return timed.groupBy("calendar_id").transformWithStateInPandas(
+        DueNotices(lead_ms, ahead_ms, late_ms, keep_ms), "calendar_id string, event_id string, at_ms long", "Append", "EventTime", before
+    )
+
+
 # --- running ----------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -20,34 +21,68 @@ class RuleProcessor(StatefulProcessor):
 
     Rows of one key within a micro-batch are put in order first. A row whose ``end`` column is set closes the rule, and
     rows behind it open a new one, in the same micro-batch as in a later one.
+
+    With ``idle_ms`` a key that is silent for longer than that is closed as well: by a timer once the watermark has passed
+    its last row by that much, or by the first row behind the silence, whichever comes first, so the result does not depend
+    on how rows fall into micro-batches. The column ``CLOCK`` then has the event time in milliseconds, and the state of a
+    silent key is dropped.
     """
 
-    def __init__(self, key: str, order: list[str], columns: list[str], out: list[str], rule: Callable[[], object], end: str | None = None) -> None:
-        self.key, self.order, self.columns, self.out, self.rule, self.end = key, order, columns, out, rule, end
+    CLOCK = "clock_ms"
+
+    def __init__(self, key: str, order: list[str], columns: list[str], out: list[str], rule: Callable[[], object], end: str | None = None, idle_ms: int | None = None) -> None:
+        self.key, self.order, self.columns, self.out, self.rule, self.end, self.idle_ms = key, order, columns, out, rule, end, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "data binary")
+        self.handle = handle
+        self.state = handle.getValueState("state", "data binary, last_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
         cols = {c: frame[c].to_numpy() for c in self.columns}
         ends = np.flatnonzero(frame[self.end].to_numpy().astype(bool)).tolist() if self.end else []
-        rule = pickle.loads(self.state.get()[0]) if self.state.exists() else None
+        known = self.state.get() if self.state.exists() else None
+        rule, last = (pickle.loads(known[0]), known[1]) if known else (None, None)
+        pauses, latest = self._pauses(frame, last)
         out: list[tuple] = []
         a = 0
-        for b in [*ends, len(frame)]:
+        # an end mark is left out, a pause stands before its row; the open rest of the micro-batch is kept
+        for b, width in sorted([*((e, 1) for e in ends), *((p, 0) for p in pauses), (len(frame), 0)]):
             if a < b:
                 rule = rule or self.rule()
                 out += rule.feed({c: v[a:b] for c, v in cols.items()})
             if b < len(frame) and rule:
                 out += rule.close()
                 rule = None
-            a = b + 1
+            a = b + width
+        self._keep(rule, last, latest)
+        yield as_frame([(key[0], *r) for r in out], [self.key, *self.out])
+
+    def _pauses(self, frame: pd.DataFrame, last: int | None) -> tuple[list[int], int | None]:
+        """Rows that come after a silence, and the latest event time of the key."""
+        if self.idle_ms is None:
+            return [], None
+        reached = np.maximum.accumulate(frame[self.CLOCK].to_numpy().astype(np.int64))
+        if last is not None:
+            reached = np.maximum(reached, last)
+        before = np.append(reached[0] if last is None else last, reached[:-1])
+        return np.flatnonzero(reached - before > self.idle_ms).tolist(), int(reached[-1])
+
+    def _keep(self, rule: object | None, last: int | None, latest: int | None) -> None:
+        if last is not None:
+            self.handle.deleteTimer(last + self.idle_ms)
         if rule is None:
             self.state.clear()
-        else:
-            self.state.update((pickle.dumps(rule),))
-        yield as_frame([(key[0], *r) for r in out], [self.key, *self.out])
+            return
+        self.state.update((pickle.dumps(rule), latest))
+        if latest is not None:
+            self.handle.registerTimer(latest + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.state.get() if self.state.exists() else None
+        if known is not None and known[1] + self.idle_ms == expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield as_frame([(key[0], *r) for r in pickle.loads(known[0]).close()], [self.key, *self.out])
 
     def close(self) -> None:
         pass
@@ -103,3 +138,87 @@ class EndReminder(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class DueNotices(StatefulProcessor):
+    """One notice per calendar event, ahead of its start.
+
+    Rows are (calendar_id, ms, recorded, event_id, start_ms): a poll that lists an event, or the start of its recording. A
+    poll sets a timer ``lead_ms`` before the start if that is at most ``ahead_ms`` away and at most ``late_ms`` ago; a past
+    one is told at once. A recording takes a notice back that has not been told, and an event that was recorded or told
+    gets no other one. Notices that were told before the stream began come in as initial state.
+
+    Entries are (at_ms, told): ``at_ms`` is the time of the notice, or of the recording. They are dropped ``keep_ms`` later,
+    so the state of a calendar holds what is scheduled and the last day. At one time a recording goes before a poll, and a
+    notice that is due before both, so the result does not depend on how rows fall into micro-batches.
+    """
+
+    COLUMNS = ["calendar_id", "event_id", "at_ms"]
+
+    def __init__(self, lead_ms: int, ahead_ms: int, late_ms: int, keep_ms: int) -> None:
+        self.lead_ms, self.ahead_ms, self.late_ms, self.keep_ms = lead_ms, ahead_ms, late_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getMapState("events", "event_id string", "at_ms long, told boolean")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for event_id, at_ms in initialState[["event_id", "at_ms"]].itertuples(index=False):
+            self._note(event_id, int(at_ms), True)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values(["ms", "recorded"], ascending=[True, False], kind="stable")
+        known = {k[0]: (int(v[0]), bool(v[1])) for k, v in self.events.iterator()}
+        waiting = [(at, e) for e, (at, told) in known.items() if not told]
+        heapq.heapify(waiting)
+        told: list[tuple[str, int]] = []
+
+        def tell(until: int) -> None:
+            while waiting and waiting[0][0] <= until:
+                at, e = heapq.heappop(waiting)
+                if known.get(e) == (at, False):
+                    told.append((e, at))
+                    known[e] = self._note(e, at, True)
+                    self._untimed(known, at)
+
+        for ms, recorded, event_id, start_ms in frame[["ms", "recorded", "event_id", "start_ms"]].itertuples(index=False):
+            tell(int(ms))
+            if not isinstance(event_id, str) or not event_id:
+                continue
+            before = known.get(event_id)
+            if recorded:
+                if before is None or not before[1]:
+                    known[event_id] = self._note(event_id, int(ms), True)
+                    if before is not None:
+                        self._untimed(known, before[0])
+            elif before is None and not pd.isna(start_ms):
+                at = int(start_ms) - self.lead_ms
+                if -self.late_ms <= at - ms <= self.ahead_ms:
+                    known[event_id] = self._note(event_id, max(at, int(ms)), False)
+                    heapq.heappush(waiting, (known[event_id][0], event_id))
+                    tell(int(ms))
+        yield as_frame([(key[0], e, at) for e, at in told], self.COLUMNS)
+
+    def _note(self, event_id: str, at_ms: int, told: bool) -> tuple[int, bool]:
+        self.events.updateValue((event_id,), (at_ms, told))
+        self.handle.registerTimer(at_ms + self.keep_ms if told else at_ms)
+        return at_ms, told
+
+    def _untimed(self, known: dict[str, tuple[int, bool]], at: int) -> None:
+        """Take the timer of a notice back unless another event or a drop stands at the same time."""
+        if not any(at == (a + self.keep_ms if told else a) for a, told in known.values()):
+            self.handle.deleteTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        entries = [(k[0], int(v[0]), bool(v[1])) for k, v in self.events.iterator()]
+        due = [(e, at) for e, at, told in entries if not told and at <= now]
+        for e, at in due:
+            self._note(e, at, True)
+        for e, at, told in entries:
+            if told and at + self.keep_ms <= now:
+                self.events.removeKey((e,))
+        yield as_frame([(key[0], e, at) for e, at in due], self.COLUMNS)
+
+    def close(self) -> None:
+        pass

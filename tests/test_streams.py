@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_rules import VEC, random_words, unit_rows
 
 from palaver.operators import clusters, live, transcripts
-from palaver.queries.streams import online_labels, with_end
+from palaver.queries.streams import online_labels, silent_turns, with_end
 from palaver.streaming import jobs
 
 
@@ -109,3 +109,42 @@ def test_online_clusterer_labels_every_vector(spark, slices):
     want = sorted((r.meeting_id, r.sub_idx, r.label) for r in clusters.bootstrap_online(df, 20, create=False).collect())
     assert len(want) == 57
     assert sorted((r.meeting_id, r.sub_idx, r.label) for r in online_labels(df, 20, slices=slices).collect()) == want
+
+
+@pytest.mark.parametrize("slices", [1, 3, 7])
+def test_silent_meetings_are_closed_by_the_watermark(spark, slices):
+    rows = [(m, i, *w) for m, seed in (("a", 4), ("b", 5)) for i, w in enumerate(random_words(seed, 60))]
+    df = spark.createDataFrame(rows, "meeting_id string, word_idx long, word string, start double, end double, speaker string")
+    batch = sorted((r.meeting_id, r.start, r.text) for r in transcripts.turn_builder(df).collect())
+    got = silent_turns(df, slices=slices)
+    assert sorted((r.meeting_id, r.start, r.text) for r in got.collect()) == batch
+    open_still = silent_turns(df, beat=1, slices=slices).collect()  # the watermark stays inside the ten minutes
+    assert len(open_still) == len(batch) - 2
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_a_pause_closes_before_the_row_behind_it(spark, slices):
+    """Words of one turn by their times, but sent a quarter of an hour apart."""
+    rows = [("m", i, w, i / 2, i / 2 + 0.4, "S", s) for i, (w, s) in enumerate([("a", 0), ("b", 1), ("c", 900), ("d", 901)])] + [("~", 9, "", 9.0, 9.0, "?", 9000)]
+    df = spark.createDataFrame(rows, "meeting_id string, word_idx long, word string, start double, end double, speaker string, s long")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + 60)).drop("s")
+    out = jobs.run_to_table(jobs.build_turns(jobs.as_stream(df, ["ts"], slices=slices), 600_000))
+    assert sorted(r.text for r in out.collect()) == ["a b", "c d"]
+
+
+@pytest.mark.parametrize("slices", [1, 3, 7])
+def test_due_notices(spark, slices):
+    """Told at its time by timer or row, once; taken back by a recording; too early, too late, told before, recorded first."""
+    minute, base = 60, 1704067200
+    rows = [
+        ("c", 0, False, "timer", 30), ("c", 1, False, "timer", 30), ("c", 2, False, "back", 40), ("c", 3, False, "far", 500),
+        ("c", 10, True, "back", None), ("c", 11, False, "back", 40), ("c", 20, True, "before", None), ("c", 21, False, "before", 50),
+        ("c", 22, False, "old", 50), ("c", 30, False, "now", 34), ("c", 30, True, "now2", None), ("c", 30, False, "now2", 35), ("c", 40, False, "late", 41),
+        ("c", 45, True, "timer", None), ("c", 46, False, None, 60), ("c", 47, False, "", 60), ("c", 48, False, "no start", None),
+        ("d", 5, False, "other", 30), ("d", 5, False, "pair", 30), ("d", 6, True, "pair", None), ("d", 7, False, "open", 66), ("d", 60, False, None, None),
+    ]
+    df = spark.createDataFrame(rows, "calendar_id string, m int, recorded boolean, event_id string, start int")
+    df = df.select("calendar_id", F.timestamp_seconds(F.col("m") * minute + base).alias("ts"), "recorded", "event_id", ((F.col("start").cast("long") * minute + base) * 1000).alias("start_ms"))
+    told = spark.createDataFrame([("c", "old", (40 * minute + base) * 1000)], "calendar_id string, event_id string, at_ms long")
+    out = jobs.run_to_table(jobs.due_notices(jobs.as_stream(df, ["ts"], "calendar_id", slices=slices), told)).collect()
+    assert sorted((r.calendar_id, r.event_id, (r.at_ms // 1000 - base) // minute) for r in out) == [("c", "now", 30), ("c", "timer", 25), ("d", "other", 25)]
