@@ -148,3 +148,17 @@ def test_due_notices(spark, slices):
     told = spark.createDataFrame([("c", "old", (40 * minute + base) * 1000)], "calendar_id string, event_id string, at_ms long")
     out = jobs.run_to_table(jobs.due_notices(jobs.as_stream(df, ["ts"], "calendar_id", slices=slices), told)).collect()
     assert sorted((r.calendar_id, r.event_id, (r.at_ms // 1000 - base) // minute) for r in out) == [("c", "now", 30), ("c", "timer", 25), ("d", "other", 25)]
+
+
+def test_silent_meetings_end_their_topic_chunks(spark):
+    """As with an end row, in several micro-batches."""
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(40, 4))
+    vec = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = [("m", i, float(i), i + 1.0, "S", "t" * 30, [float(x) for x in vec[i]], i + 60) for i in range(40)]
+    rows.append(("~", 40, 40.0, 41.0, "S", "t", [1.0, 0.0, 0.0, 0.0], 9000))
+    df = spark.createDataFrame(rows, "meeting_id string, seg_idx int, start double, end double, speaker string, text string, embedding array<double>, s long")
+    want = [tuple(r) for r in live.topic_chunker(df.filter("meeting_id = 'm'").drop("s"), 1.0, 400).select("chunk_id", "end_time", "text").orderBy("chunk_id").collect()]
+    stream = jobs.as_stream(df.withColumn("ts", F.timestamp_seconds("s")).drop("s"), ["ts"], slices=3)
+    got = jobs.run_to_table(jobs.chunk_topics(stream, 1.0, 400, idle=600_000)).select("chunk_id", "end_time", "text").orderBy("chunk_id")
+    assert [tuple(r) for r in got.collect()] == want and len(want) > 1
