@@ -154,6 +154,22 @@ def test_pii_spans():
     assert not [s for s in pii.base_spans("pay 4111 1111 1111 1112 now") if s[0] == 2]
 
 
+def test_pii_counts_by_kind(spark, tmp_path):
+    """Each count is of its own kind, whatever the place of a span among the others."""
+    from palaver.llm.queries import op9
+
+    spans = {1: ["a.b@c.de", "10.0.0.1", "4111 1111-1111 1111", "+49 30 1234567", "+33 1 22 33 44 55"], 2: ["1.2.3.4", "5.6.7.8", "x@y.z"], 3: [], 4: ["a@b.c", "d@e.f"]}
+    rows = [(i, " or ".join(s)) for i, s in spans.items()] + [(5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in op9(spark, str(tmp_path)).collect()}
+    assert {i: (r.n_email, r.n_ip, r.n_card, r.n_phone) for i, r in found.items()} == {1: (1, 1, 1, 2), 2: (1, 2, 0, 0), 3: (0, 0, 0, 0), 4: (2, 0, 0, 0), 5: (0, 0, 0, 0)}
+    texts = dict(rows)
+    for i, r in found.items():
+        base = [x for x in r.spans.split(",") if x and not x.startswith("term")]
+        assert sorted(texts[i][int(a) : int(b)] for _, a, b in (x.split(":") for x in base)) == sorted(spans.get(i, []))
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
 def test_pii_disclosing_words(spark, docs, nothing):
     """A word that stands beside one address in different windows only gives it away; a common word does not."""
     filler = ["alpha", "beta", "gamma", "delta", "epsilon", "kappa"]
