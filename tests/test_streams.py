@@ -94,6 +94,22 @@ def test_end_reminder(spark):
         assert sorted((r.event_id, (r.at_ms - base) // 1000) for r in out.collect()) == [("e1", 60), ("e4", 400)]
 
 
+def test_a_slice_of_many_files_is_one_micro_batch(spark, monkeypatch):
+    """No row of a slice comes behind the watermark that another of its files has moved, and batches do not grow with files."""
+    monkeypatch.setattr(jobs, "ROWS_PER_FILE", 40)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        base = 1704067200000
+        states = spark.range(600).select(
+            F.concat(F.lit("j"), F.col("id") % 60).alias("job_id"), F.timestamp_millis(F.lit(base) + F.col("id") * 1000).alias("ts"), F.lit(True).alias("recording"),
+            F.concat(F.lit("e"), F.floor(F.col("id") / 300)).alias("event_id"), (F.lit(base) + (F.floor(F.col("id") / 300) * 300 + 270) * 1000).alias("end_ms"),
+        )
+        out = jobs.run_to_table(jobs.end_reminders(jobs.as_stream(states, ["ts"], "job_id")))
+        assert sorted((r.job_id, r.event_id, (r.at_ms - base) // 1000) for r in out.collect()) == sorted((f"j{i}", e, t) for i in range(60) for e, t in (("e0", 270), ("e1", 570)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 @pytest.mark.parametrize("slices", [1, 3])
 def test_words_after_an_end_mark(spark, slices):
     rows = [("m", 0, "a", 0.0, 0.4, "S", False), ("m", 1, None, None, None, None, True), ("m", 2, "b", 1.0, 1.4, "S", False), ("m", 3, None, None, None, None, True)]
