@@ -24,6 +24,8 @@ from palaver.functions import vectors
 from palaver.session import cut_lineage
 
 BLOCK = 256
+#: Rows of long arrays that a task turns into Python objects at once.
+ROWS_AT_ONCE = 64
 BIN_BITS, PASSES = 13, 3
 BINS = 1 << BIN_BITS
 #: Pairs of equal labels, of different ones, and all.
@@ -65,10 +67,17 @@ def met(packed: DataFrame) -> DataFrame:
     return both.join(left, [*KEY, "block"]).join(right, [*KEY, "other"])
 
 
+def few(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows, some at a time: a row with long arrays takes many times its size as Python objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _products(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
     """The columns of each row but the values, and the cosines. Every cosine is summed in the same order, so equal vectors have
     equal ones."""
-    for batch in batches:
+    for batch in few(batches):
         values = [batch.column(f"values_{s}") for s in "ab"]
         rest = batch.select([n for n in batch.schema.names if not n.startswith("values_")])
         for i, row in enumerate(rest.to_pylist()):

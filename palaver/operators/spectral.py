@@ -78,7 +78,7 @@ def leading(grams: DataFrame, axes: Callable[[dict], np.ndarray], others: str) -
     """(meeting_id, axes): the columns that ``axes`` makes of each meeting's row, as a list of arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pairs.few(batches):
             rows = batch.to_pylist()
             found = [axes(r).T.tolist() for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["meeting_id"] for r in rows], pa.string()), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["meeting_id", "axes"])
@@ -274,7 +274,7 @@ def _first_mixtures(points: DataFrame, min_k: int, max_k: int, seed: int) -> Dat
     per_k = some.select(*KEY, "n", F.transform("p", lambda p: p["y"]).alias("p"), F.explode(F.sequence(F.lit(min_k), F.greatest(F.lit(min_k), F.least(F.lit(max_k), F.floor(F.col("n") / 2).cast("int"))))).alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pairs.few(batches):
             for r in batch.to_pylist():
                 x = np.array(r["p"])
                 params = _started(x, r["k"], seed).flat()
@@ -305,7 +305,7 @@ def _maximised(rows: DataFrame) -> DataFrame:
     """The mixtures of the summed rows, with the likelihood of those that made the sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pairs.few(batches):
             rows = batch.to_pylist()
             new = [Mixture.of_sums(np.array(r["sums"][:-1]), r["k"], r["dims"]).flat() for r in rows]
             likelihood = [r["sums"][-1] for r in rows]

@@ -1,10 +1,11 @@
 """Clusters and speaker counts of each meeting against dense matrices and planted voices."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.operators import clusters, spectral
+from palaver.operators import clusters, pairs, spectral
 
 VEC = "meeting_id string, sub_idx int, label int, embedding array<double>"
 BAD = [("a", 900, 0, None), ("a", 901, 0, []), ("b", 902, 0, [0.0] * 12), ("a", 903, 1, [1.0, None] + [0.0] * 10), ("z", 0, 0, None), ("b", 904, 1, [1.0, 2.0])]
@@ -111,3 +112,11 @@ def test_repeated_vectors_and_many_partitions(spark):
     table = spark.range(30).select(F.lit("m").alias("meeting_id"), F.col("id").cast("int").alias("sub_idx"), F.lit(0).alias("label"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("embedding")).repartition(9)
     got = {r.sub_idx: r.label for r in spectral.cluster_affinity(table, 2).collect()}
     assert got == {i: i % 2 for i in range(30)}
+
+
+def test_long_rows_are_taken_some_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array([[float(i)] * 3 for i in range(150)])], ["i", "v"])
+    parts = list(pairs.few([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [64, 64, 22]
+    assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist()
+
