@@ -127,6 +127,14 @@ def test_online_clusterer_labels_every_vector(spark, slices):
     assert sorted((r.meeting_id, r.sub_idx, r.label) for r in online_labels(df, 20, slices=slices).collect()) == want
 
 
+def test_bootstrap_tables_are_not_broadcast(spark):
+    df = spark.createDataFrame(unit_rows(11, 30, [0, 1], meeting="a"), VEC)
+    boot = clusters.bootstrap(df, 20)
+    setup = clusters.centroids(boot).select("meeting_id", "centroid")
+    plan = jobs.with_setup(df.select("meeting_id", "sub_idx", "embedding"), setup, boot)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("slices", [1, 3, 7])
 def test_silent_meetings_are_closed_by_the_watermark(spark, slices):
     rows = [(m, i, *w) for m, seed in (("a", 4), ("b", 5)) for i, w in enumerate(random_words(seed, 60))]
