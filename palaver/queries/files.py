@@ -43,7 +43,7 @@ def src_segments_json(spark, sf):
     path = scratch(spark, "segments")
     s = tables.segments(spark, sf)
     docs = s.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "speaker", "text"))).alias("segments"))
-    docs.repartition("meeting_id").write.partitionBy("meeting_id").option("maxRecordsPerFile", 1).json(path)
+    docs.repartition(writers.writing_tasks(docs), "meeting_id").write.options(**writers.MOVED_BY_TASKS).partitionBy("meeting_id").option("maxRecordsPerFile", 1).json(path)
     out = readers.segments_json(spark, path).withColumn("meeting_id", by_meeting(F.col("meeting_id")))
     return transcripts.to_segments(out.withColumnRenamed("pos", "line_no"))
 
@@ -56,7 +56,9 @@ def src_turns_json(spark, sf):
     body = turns.select("meeting_id", F.to_json(F.struct("start", "end", "speaker", "text")).alias("line"), "turn_idx")
     writers.write_lines(body, f"{root}/t", "turn_idx")
     # Spark names its files itself, so the array reader is given the line form of the same rows
-    rows = spark.read.schema("start double, end double, speaker string, text string").option("recursiveFileLookup", "true").json(f"{root}/t").select(
+    with readers.listing(spark):
+        read = spark.read.schema("start double, end double, speaker string, text string").option("recursiveFileLookup", "true").json(f"{root}/t")
+    rows = read.select(
         by_meeting(readers.meeting_of(F.col("_metadata.file_path"))).alias("meeting_id"), "start", "end", "speaker", "text"
     )
     names = turns.filter("speaker = 'user'").select("meeting_id", F.col("speaker").alias("label"), F.lit("Ana").alias("name")).distinct()
@@ -133,7 +135,7 @@ def src_variant_metrics(spark, sf):
     root = scratch(spark, "variants")
     v = telemetry.variants(spark, sf)
     m = v.groupBy("bench").agg(F.map_from_entries(F.collect_list(F.struct("variant", F.struct("compress_s", "resume_wall_s", "extraction_wall_s", "plan_wall_s")))).alias("m"))
-    m.select("bench", F.to_json("m").alias("value")).write.partitionBy("bench").text(root)
+    m.select("bench", F.to_json("m").alias("value")).repartition(writers.writing_tasks(m), "bench").write.options(**writers.MOVED_BY_TASKS).partitionBy("bench").text(root)
     out = readers.variant_metrics(spark, root)
     return out.select(by_meeting(F.col("bench"), "bench").cast("long").alias("bench"), "variant", "compress_s", "resume_wall_s")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,18 @@ def meeting_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed when a reader is made, by default in a task each; here a task lists many."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stable_id(path: Column) -> Column:
     return F.sha2(path, 256)
 
@@ -28,10 +43,11 @@ def transcript_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def segments_json(spark: SparkSession, root: str) -> DataFrame:
     """Segments of ``{segments: [...]}`` documents, a missing start counting as 0."""
-    docs = (
-        spark.read.schema(schemas.SEGMENT_DOC).option("multiLine", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json").json(root).select("*", F.col("_metadata.file_path").alias("path"))
-    )
+    with listing(spark):
+        docs = (
+            spark.read.schema(schemas.SEGMENT_DOC).option("multiLine", "true").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.json").json(root).select("*", F.col("_metadata.file_path").alias("path"))
+        )
     rows = docs.select(meeting_of(F.col("path")).alias("meeting_id"), F.posexplode("segments").alias("pos", "s"))
     return rows.select("meeting_id", "pos", F.coalesce("s.start", F.lit(0.0)).alias("start"), "s.end", "s.speaker", "s.text")
 
@@ -143,9 +159,10 @@ def _breakdown(read: DataFrame) -> DataFrame:
 
 def variant_metrics(spark: SparkSession, root: str) -> DataFrame:
     """One row per benchmark and variant of ``{variant: {...}}`` documents."""
-    docs = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root).select(
-        "value", F.col("_metadata.file_path").alias("path")
-    )
+    with listing(spark):
+        docs = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root).select(
+            "value", F.col("_metadata.file_path").alias("path")
+        )
     parsed = docs.select(meeting_of(F.col("path")).alias("bench"), F.from_json("value", f"map<string, {schemas.VARIANT}>").alias("m"))
     return parsed.select("bench", F.explode("m").alias("variant", "v")).select("bench", "variant", "v.*")
 
@@ -170,9 +187,10 @@ def text_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
     Files are read line by line and large ones in several splits. Rows of a split come in file order, so a line's number
     is its place in the split plus the lines of the splits before it. The files of a meeting count on in name order.
     """
+    with listing(spark):
+        read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
     lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-        .select(
+        read.select(
             "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
             F.monotonically_increasing_id().alias("id"),
         )

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from palaver.functions import text
 from palaver.plans.scans import ROWS_PER_BUCKET
 
+#: Files are moved to their place by the tasks, not one after the other by the driver: there is at least one per meeting.
+MOVED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def writing_tasks(df: DataFrame) -> int:
+    """Tasks that write a file per meeting. Small meetings are few bytes but as many files, so they are not to be coalesced."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
 
 def write_lines(lines: DataFrame, path: str, order: str, line: str = "line", name: str = "part") -> None:
     """One directory per meeting with its lines in order; a long meeting becomes several files in name order."""
     sliced = lines.withColumn("_slice", F.floor(F.col(order) / ROWS_PER_BUCKET))
-    sliced.repartitionByRange("meeting_id", "_slice").sortWithinPartitions("meeting_id", order).select(
+    sliced.repartitionByRange(writing_tasks(lines), "meeting_id", "_slice").sortWithinPartitions("meeting_id", order).select(
         "meeting_id", F.col(line).alias("value")
-    ).write.mode("overwrite").partitionBy("meeting_id").text(path)
+    ).write.options(**MOVED_BY_TASKS).mode("overwrite").partitionBy("meeting_id").text(path)
 
 
 def write_transcript(turns: DataFrame, path: str, with_times: bool = True) -> None:
