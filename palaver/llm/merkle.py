@@ -134,13 +134,13 @@ def _in_blocks(items: DataFrame) -> DataFrame:
     return items.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long"))
 
 
-def _append_all(nodes: list[str], order: np.ndarray, total: int) -> tuple[list[list], str]:
-    """Nodes of a block, in order of position, and its root."""
+def _append_all(nodes: list[str], order: np.ndarray, total: int, size: int, levels: int) -> tuple[list[list], str]:
+    """Nodes of a block, in order of position, and its root. The size and levels of a block come from the driver, which cut them."""
     block = Appender()
     made: list = [None] * len(nodes)
     for i in order.tolist():
         made[i] = block.append(nodes[i])
-    return made, block.finish(BLOCK_LEVELS if total > BLOCK else None)
+    return made, block.finish(levels if total > size else None)
 
 
 def _roots(items: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _roots(items: DataFrame) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         total = table.column("total")[0].as_py()
-        _, root = _append_all(table.column("node").to_pylist(), np.argsort(table.column("pos").to_numpy()), total)
+        _, root = _append_all(table.column("node").to_pylist(), np.argsort(table.column("pos").to_numpy()), total, BLOCK, BLOCK_LEVELS)
         return pa.table({"group": [key[0].as_py()], "pos": pa.array([key[1].as_py()], pa.int64()), "total": pa.array([-(-total // BLOCK)], pa.int64()), "node": [root]})
 
     return items.select("group", "block", "pos", "total", "node").groupBy("group", "block").applyInArrow(run, "group string, pos long, total long, node string")
@@ -167,7 +167,7 @@ def _witnessed(items: DataFrame, above: DataFrame | None) -> DataFrame:
         n = table.num_rows
         lists = []
         if n:
-            made, _ = _append_all(table.column("node").to_pylist(), np.argsort(table.column("pos").to_numpy()), table.column("total")[0].as_py())
+            made, _ = _append_all(table.column("node").to_pylist(), np.argsort(table.column("pos").to_numpy()), table.column("total")[0].as_py(), BLOCK, BLOCK_LEVELS)
             lists = [[{"left": a, "right": b} for a, b in Appender.steps(x)] + upper for x in made]
         return pa.table({f.name: table.column(f.name) for f in kept} | {"witness": pa.array(lists, step), "top": pa.array([top] * n, pa.string())})
 
