@@ -27,26 +27,32 @@ LIVE_ROLLING, LIVE_K_SIGMA, LIVE_CONFIRM = 20, 2.0, 5
 
 def build_windows(segments: DataFrame, keys: list[str] | None = None, size: int = WINDOW_SIZE, index: str = "seg_idx") -> DataFrame:
     """Windows of ``size`` consecutive segments, one per position; windows without text are left out and the rest
-    renumbered. ``first_seg`` is the position of the window's first segment."""
+    renumbered. ``first_seg`` is the position of the window's first segment. Of measured segments (``_len`` instead of the
+    text) the windows have no text. Which windows count is told by the lengths, so the text is shuffled only where it is
+    asked for."""
     keys = keys or ["meeting_id"]
-    lined = segments.withColumn("_line", text.segment_line(F.col("speaker"), F.col("text")))
+    lined = _measured(segments)
+    with_text = "text" in lined.columns
+    if with_text:
+        lined = lined.withColumn("_line", text.segment_line(F.col("speaker"), F.col("text")))
 
     def columns(win: Window) -> dict[str, Column]:
         span = win.rowsBetween(0, size - 1)
-        return {
-            "_lines": F.collect_list("_line").over(span),
+        lines = {"_lines": F.collect_list("_line").over(span)} if with_text else {}
+        return lines | {
+            "_spoken": F.count("_len").over(span),
             "_n": F.count("*").over(span),
             "_last_end": F.last("end").over(span),
         }
 
-    full = frames(lined, keys, index, 0, size - 1, columns).filter((F.col("_n") == size) & (F.size("_lines") > 0))
+    full = frames(lined, keys, index, 0, size - 1, columns).filter((F.col("_n") == size) & (F.col("_spoken") > 0))
     numbered = running_number(full, keys, [index], by_index(index), "n")
     return numbered.select(
         *keys,
         (F.col("n") - 1).cast("int").alias("win_idx"),
         F.col("start").alias("start_time"),
         F.col("_last_end").alias("end_time"),
-        F.array_join("_lines", "\n").alias("text"),
+        *([F.array_join("_lines", "\n").alias("text")] if with_text else []),
         F.col(index).alias("first_seg"),
     )
 
@@ -192,10 +198,9 @@ def assign_chunks(segments: DataFrame, boundaries: DataFrame) -> DataFrame:
     return number_chunks(part_sizes(placed, ["meeting_id", "part"]).drop("part"))
 
 
-def _similarity_links(segments: DataFrame, size: int) -> DataFrame:
+def _similarity_links(segments: DataFrame, size: int, vec: DataFrame) -> DataFrame:
     """Per window start: the next window's start and the similarity of the two (meeting_id, seg_idx, nxt, raw)."""
     starts = build_windows(segments, size=size).select("meeting_id", "win_idx", "first_seg")
-    vec = segments.select("meeting_id", F.col("seg_idx").alias("first_seg"), "embedding")
     windows = starts.join(vec, ["meeting_id", "first_seg"])
 
     def columns(win: Window) -> dict[str, Column]:
@@ -239,17 +244,19 @@ def split_part(lengths: list, nxt: list, raw: list, max_chars: int, size: int, s
 
 def resplit_oversize(
     segments: DataFrame, max_chars: int = MAX_CHUNK_CHARS, size: int = WINDOW_SIZE, sigma: float = SIGMA,
-    rows_in_task: int = 65536,
+    rows_in_task: int = 65536, vec: DataFrame | None = None,
 ) -> DataFrame:
     """Split parts over ``max_chars`` at their deepest similarity valley until none can be split.
 
-    ``segments`` carries ``part`` and the ``embedding`` of the window that starts at each segment; the result is the
-    new part of every segment. Similarities are computed once, and from then on a segment is three numbers. A part of up
+    ``segments`` carries ``part`` and the ``embedding`` of the window that starts at each segment, unless ``vec``
+    (meeting_id, first_seg, embedding) has them; the result is the new part of every segment. Similarities are computed once, and from then on a segment is three numbers. A part of up
     to ``rows_in_task`` segments is split to the end by one task; a larger one is halved by whole-table rounds until its
     pieces are small enough.
     """
     key = ["meeting_id", "part"]
-    links = _similarity_links(segments, size)
+    if vec is None:
+        vec = segments.select("meeting_id", F.col("seg_idx").alias("first_seg"), "embedding")
+    links = _similarity_links(segments, size, vec)
     work = cut_lineage(
         _measured(segments).select(*key, "seg_idx", "_len").join(links, ["meeting_id", "seg_idx"], "left")
         .withColumn("_floor", F.lit(4))
@@ -320,21 +327,29 @@ def topic_chunks(
     size: int = WINDOW_SIZE,
     with_text: bool = True,
 ) -> DataFrame:
-    """The whole chain on segments whose ``embedding`` is the vector of the window starting there."""
-    slim = segments.select("meeting_id", F.col("seg_idx").alias("first_seg"), "embedding")
-    windows = build_windows(segments, size=size).join(slim, ["meeting_id", "first_seg"])
+    """The whole chain on segments whose ``embedding`` is the vector of the window starting there.
+
+    The chain runs on the lengths of the lines and on the vectors, each written down once; the text is read again at the
+    end, when the chunk of each segment is known, and shuffled to its segment's chunk and to the other lines of the chunk.
+    """
+    measured = cut_lineage(_measured(segments).select("meeting_id", "seg_idx", "start", "end", "_len"))
+    vec = cut_lineage(segments.select("meeting_id", F.col("seg_idx").alias("first_seg"), "embedding"))
+    windows = build_windows(measured, size=size).join(vec, ["meeting_id", "first_seg"])
     curve = cut_lineage(gaussian_smooth(adjacent_similarity(windows)))
     bounds = cut_lineage(min_distance_pick(cut_lineage(percentile_candidates(curve))))
     if target:
         bounds = coarse_boundaries(bounds, target)
-    placed = named_by_first(segment_parts(segments, bounds))
-    parts = cut_lineage(resplit_oversize(cut_lineage(placed), max_chars, size))
-    final = placed.drop("part", "embedding").join(parts, ["meeting_id", "seg_idx"])
+    placed = cut_lineage(named_by_first(segment_parts(measured, bounds)))
+    parts = cut_lineage(resplit_oversize(placed, max_chars, size, vec=vec))
+    final = placed.drop("part").join(parts, ["meeting_id", "seg_idx"])
     chunks = number_chunks(part_sizes(final, ["meeting_id", "part"]))
     if not with_text:
         return chunks.drop("part")
-    lines = final.withColumn("line", text.segment_line(F.col("speaker"), F.col("text"))).filter("line IS NOT NULL")
-    bodies = lines.groupBy("meeting_id", "part").agg(ordered_text("line", "seg_idx").alias("text"))
+    line = text.segment_line(F.col("speaker"), F.col("text"))
+    lines = segments.select("meeting_id", "seg_idx", line.alias("line")).filter("line IS NOT NULL")
+    bodies = lines.join(parts, ["meeting_id", "seg_idx"]).groupBy("meeting_id", "part").agg(
+        ordered_text("line", "seg_idx").alias("text")
+    )
     return chunks.join(bodies, ["meeting_id", "part"]).drop("part")
 
 
