@@ -26,13 +26,12 @@ def neighbours(
     """Each left row with ``before`` (latest right row at or before it) and ``after`` (first right row past it)."""
     value = F.struct(F.col(right_at).alias("at"), *[F.col(c) for c in payload])
     points = right.select(*keys, F.col(right_at).alias("_t"), F.lit(0).alias("_k"), value.alias("_v"), F.lit(None).alias("_row"))
-    rows = F.struct(*[F.col(c) for c in left.columns])
+    rows = F.struct(*[F.col(c) for c in left.columns if c not in keys])
     probes = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(None).alias("_v"), rows.alias("_row"))
     both = points.unionByName(probes)
-    seen = scan(
-        both, keys, ["_t", "_k"], by_time("_t", bucket_s), {"before": ("last", F.col("_v")), "after": ("next", F.col("_v"))}
-    )
-    return seen.filter("_k = 1").select("_row.*", "before", "after")
+    seen = scan(both, keys, ["_t", "_k"], by_time("_t", bucket_s), {"before": ("last", "_v"), "after": ("next", "_v")})
+    own = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in left.columns]
+    return seen.filter("_k = 1").select(*own, "before", "after")
 
 
 NEVER = 1e15  # past the end of every meeting, in seconds
@@ -128,13 +127,18 @@ def boundary_snap(numbered: DataFrame, changes: DataFrame, hop_s: float = SNAP_H
     for p in PUNCTUATION:
         marks = marks | F.col("word").contains(p)
     here = F.struct("i", "start")
-    punct = scan(
-        numbered.withColumn("_p", F.when(marks, here)), ["meeting_id"], ["i"], by_index("i"),
-        {"fwd": ("next", F.col("_p")), "bwd": ("last_before", F.col("_p"))},
-    ).select("meeting_id", "start", "i", "fwd", "bwd")
-    first_at = punct.groupBy("meeting_id", "start").agg(F.min_by(F.struct("i", "fwd", "bwd"), "i").alias("w"))
-    refs = first_at.select("meeting_id", "start", "w.i", "w.fwd", "w.bwd")
-    near = neighbours(changes, refs, ["meeting_id"], "at", "start", ["i", "fwd", "bwd"]).filter("after IS NOT NULL")
+    key, none = ["meeting_id"], F.lit(None)
+    # the reference word: of the words past the change the first one, so words go before a change at their time
+    change = F.struct(F.col("at"), F.col("speaker"))
+    words = numbered.select(*key, F.col("start").alias("_t"), F.lit(0).alias("_k"), "i", F.struct("i", F.col("start").alias("at")).alias("_v"), none.alias("_row"))
+    probes = changes.select(*key, F.col("at").alias("_t"), F.lit(1).alias("_k"), none.alias("i"), none.alias("_v"), change.alias("_row"))
+    seen = scan(words.unionByName(probes), key, ["_t", "_k", "i"], by_time("_t", 600.0), {"after": ("next", "_v")})
+    found = cut_lineage(seen.filter("_k = 1 AND after IS NOT NULL").select(*key, "_row", "after"))
+    # the punctuated words around it, on those words alone; a reference word may be one itself
+    points = numbered.filter(marks).select(*key, "i", F.lit(1).alias("_k"), here.alias("_p"), none.alias("_row"), none.alias("after"))
+    refs = found.select(*key, F.col("after")["i"].alias("i"), F.lit(0).alias("_k"), none.alias("_p"), "_row", "after")
+    punct = scan(points.unionByName(refs), key, ["i", "_k"], by_index("i"), {"fwd": ("next", "_p"), "bwd": ("last", "_p")})
+    near = punct.filter("_k = 0").select(*key, "_row.*", F.struct("after.*", "fwd", "bwd").alias("after"))
     r, f, b = F.col("after"), F.col("after")["fwd"], F.col("after")["bwd"]
     f_ok = F.coalesce(f["start"] <= r["at"] + hop_s, F.lit(False))
     b_ok = F.coalesce(b["start"] >= r["at"] - hop_s, F.lit(False))
@@ -146,9 +150,10 @@ def boundary_snap(numbered: DataFrame, changes: DataFrame, hop_s: float = SNAP_H
 
 def forward_fill(numbered: DataFrame, points: DataFrame, first_speakers: DataFrame) -> DataFrame:
     """Speaker of each word: that of the latest point at or before it; of points on one word the last counts."""
-    at = points.groupBy("meeting_id", "i").agg(F.max_by("speaker", "at").alias("_change"))
-    marked = numbered.drop("speaker").join(at, ["meeting_id", "i"], "left")
-    filled = scan(marked, ["meeting_id"], ["i"], by_index("i"), {"_spk": ("last", F.col("_change"))})
+    at = points.filter("meeting_id IS NOT NULL").groupBy("meeting_id", "i").agg(F.max_by("speaker", "at").alias("_change"))
+    words = numbered.drop("speaker").withColumns({"_k": F.lit(1), "_change": F.lit(None).cast("string")})
+    marked = words.unionByName(at.withColumn("_k", F.lit(0)), allowMissingColumns=True)
+    filled = scan(marked, ["meeting_id"], ["i", "_k"], by_index("i"), {"_spk": ("last", "_change")}).filter("_k = 1").drop("_k")
     named = filled.join(first_speakers, "meeting_id", "left")
     return named.withColumn(
         "speaker", F.coalesce("_spk", "first_speaker", F.lit(DEFAULT_SPEAKER))
@@ -157,7 +162,7 @@ def forward_fill(numbered: DataFrame, points: DataFrame, first_speakers: DataFra
 
 def align_words_boundary(words: DataFrame, segments: DataFrame, hop_s: float = SNAP_HOP_S) -> DataFrame:
     """Speaker of each word with changes moved to punctuation."""
-    numbered = cut_lineage(number_words(words))
+    numbered = cut_lineage(number_words(words.drop("speaker")))
     points = cut_lineage(boundary_snap(numbered, change_points(segments), hop_s))
     first = segments.groupBy("meeting_id").agg(F.min_by("speaker", F.struct("start", "end")).alias("first_speaker"))
     return forward_fill(numbered, points, first)

@@ -43,17 +43,17 @@ def scan(
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column | None,
-    specs: dict[str, tuple[str, Column]],
+    specs: dict[str, tuple[str, Column | str]],
     keep: bool = False,
 ) -> DataFrame:
     """Add running columns. ``keep`` leaves the slice column in place, and ``bucket=None`` then takes it up again, so
     that a chain of scans shuffles the rows once. ``bucket`` must not decrease along ``order``; ``order`` must be total within ``keys``.
 
     Kinds: ``sum``, ``max``, ``last`` (latest non-null up to the row), ``next`` (first non-null from the row on),
-    the same three with ``_before`` / ``_after`` to leave the row out, ``lag`` and ``lead``.
+    the same three with ``_before`` / ``_after`` to leave the row out, ``lag`` and ``lead``. A column given by its name is shuffled once, whatever the number of kinds that read it.
     """
     keys, order = list(keys), list(order)
-    inputs = {f"_in_{name}": expr for name, (_, expr) in specs.items()}
+    inputs = {f"_in_{name}": expr for name, (_, expr) in specs.items() if not isinstance(expr, str)}
     rows = (df if bucket is None else df.withColumn(BUCKET, bucket)).withColumns(inputs)
     up = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     down = Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c).desc() for c in order])
@@ -62,8 +62,8 @@ def scan(
     local, summary, carry, result = {}, [], {}, {}
     across = Window.partitionBy(*keys).orderBy(BUCKET)
     back = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
-    for name, (kind, _) in specs.items():
-        src, own, tot, car = F.col(f"_in_{name}"), f"_own_{name}", f"_tot_{name}", f"_car_{name}"
+    for name, (kind, expr) in specs.items():
+        src, own, tot, car = F.col(expr if isinstance(expr, str) else f"_in_{name}"), f"_own_{name}", f"_tot_{name}", f"_car_{name}"
         at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], src.alias("v"))
         base, _, side = kind.partition("_")
         end = -1 if side else cur

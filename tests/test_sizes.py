@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from palaver.operators import topics
+from palaver.operators import alignment, topics
 from palaver.queries import tables
 
 
@@ -36,3 +36,29 @@ def test_text_is_shuffled_at_the_end_only(spark, tmp_path):
 def test_vectors_with_the_same_number_all_count(spark, tmp_path):
     segments = topic_rows(spark, str(tmp_path), [0, 0, 1, 2, 3])
     assert segments.count() == segments.select("text").count() == 120 + 24
+
+
+def test_words_are_shuffled_by_slices_only(spark):
+    words = spark.createDataFrame(
+        [("m", i, "end." if i % 5 == 4 else "word", 0.5 * (i // 2), 0.5 * (i // 2) + 0.5, "x") for i in range(60)],
+        "meeting_id string, word_idx long, word string, start double, end double, speaker string",
+    )
+    segs = spark.createDataFrame(
+        [("m", i, 3.0 * i, 3.0 * i + 3.0, f"s{i % 2}") for i in range(6)],
+        "meeting_id string, idx int, start double, end double, speaker string",
+    )
+    numbered = alignment.number_words(words)
+    snapped = alignment.boundary_snap(numbered, alignment.change_points(segs))
+    dealt = [how for _, how in exchanges(snapped)]
+    assert dealt and not [how for how in dealt if not re.match(r"hashpartitioning\(meeting_id#\d+, (_slice#\d+L, )?\d+\)", how)]
+    # each change goes behind the nearest closed word within five seconds, counted in words, the later one on a tie
+    ref = {0.0: 2, 3.0: 14, 6.0: 26, 9.0: 38, 12.0: 50, 15.0: None}
+    expected = {}
+    for at, r in ref.items():
+        if r is not None:
+            ahead, behind = r + (4 - r) % 5, r - 1 - (r - 5) % 5
+            expected[at] = (ahead if behind < 0 or ahead - r <= r - behind else behind) + 1
+    assert {r["at"]: r["i"] for r in snapped.collect()} == expected
+    out = alignment.align_words_boundary(words, segs).orderBy("word_idx").collect()
+    turns = sorted((i, f"s{int(at / 3) % 2}") for at, i in expected.items())
+    assert [r.speaker for r in out] == [([s for i, s in turns if i <= k] or ["s0"])[-1] for k in range(60)]
