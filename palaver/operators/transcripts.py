@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import text
-from palaver.plans.rows import ordered_text
-from palaver.plans.scans import block_pass, by_index, by_time, islands, running_number, scan
+from palaver.plans.rows import ordered_text, tasks_for
+from palaver.plans.scans import BUCKET, block_pass, by_index, by_time, islands, running_number, scan
 from palaver.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -20,6 +20,7 @@ SENTENCE_ENDERS = (".", "!", "?", "…")
 PUNCTUATION_TOKENS = (".", ",", "!", "?", ":", ";", "...")
 TOKEN_TAIL_S = 0.08
 WORD_MARKS = " ▁"
+PAST_WORDS = 1 << 48
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -116,30 +117,34 @@ def tokens_to_words(tokens: DataFrame) -> DataFrame:
     and sets that word's end; punctuation before any completed word is lost.
     """
     punct = F.col("tok").isin(*PUNCTUATION_TOKENS)
-    blank = F.col("tok").isin(" ", "▁")
-    spoken = ~punct & ~blank
+    spoken = ~punct & ~F.col("tok").isin(" ", "▁")
     marked = spoken & (F.col("tok").startswith(" ") | F.col("tok").startswith("▁"))
     key, order = ["meeting_id"], ["tok_idx"]
-    flags = tokens.withColumns({"_p": punct, "_b": blank, "_spoken": spoken.cast("int")})
-    seen = scan(flags, key, order, by_index("tok_idx"), {"_before": ("sum_before", F.col("_spoken"))}, keep=True)
-    opens = F.when(marked | (spoken & (F.col("_before") == 0)), 1).otherwise(0)
-    placed = cut_lineage(scan(seen.withColumn("_open", opens), key, order, None, {"w": ("sum", F.col("_open"))}))
-    body = placed.filter(~F.col("_p") & ~F.col("_b")).withColumn(
-        "piece", F.when(F.col("_open") == 1, F.ltrim(F.col("tok"), F.lit(WORD_MARKS))).otherwise(F.col("tok"))
-    )
+    given = cut_lineage(tokens.select("meeting_id", "tok_idx", "tok", "ts").filter("meeting_id IS NOT NULL"))
+    tasks = tasks_for(given)
+    # a marked token opens a word, and so does the first spoken token of the meeting, marked or not
+    specs = {"_marks": ("sum", marked.cast("int")), "_bare": ("first", F.when(spoken, (~marked).cast("int")))}
+    placed = cut_lineage(scan(given, key, order, by_index("tok_idx"), specs, tasks=tasks))
     # a word is completed by the next opener, so punctuation seen while word w is open belongs to word w - 1
-    tail = placed.filter("_p").withColumn("w", F.col("w") - 1).filter("w > 0")
-    base = body.groupBy("meeting_id", "w").agg(
-        ordered_text("piece", "tok_idx", "").alias("word"), F.min_by("ts", "tok_idx").alias("start")
-    )
-    marks = tail.groupBy("meeting_id", "w").agg(
-        ordered_text("tok", "tok_idx", "").alias("marks"), F.max_by("ts", "tok_idx").alias("mark_ts")
+    w = F.col("_marks") + F.coalesce("_bare", F.lit(0))
+    piece = F.when(marked, F.ltrim(F.col("tok"), F.lit(WORD_MARKS))).when(spoken, F.col("tok"))
+    parts = placed.select(
+        "meeting_id", "tok_idx", "ts", F.when(punct, w - 1).otherwise(w).alias("w"), piece.alias("piece"),
+        F.when(punct, F.col("tok")).alias("mark"), F.lit(None).cast("double").alias("final_ts"),
+    ).filter("w > 0 AND (piece IS NOT NULL OR mark IS NOT NULL)")
+    # a row past the last word tells all words of the meeting when its last token was
+    final = placed.groupBy("meeting_id").agg(F.max_by("ts", "tok_idx").alias("final_ts")).withColumn("w", F.lit(PAST_WORDS))
+    dealt = parts.unionByName(final, allowMissingColumns=True).withColumn(BUCKET, by_index("w")).repartition(tasks, *key, BUCKET)
+    at_piece, at_mark = (F.when(F.col(c).isNotNull(), F.col("tok_idx")) for c in ("piece", "mark"))
+    words = dealt.groupBy(*key, BUCKET, "w").agg(
+        ordered_text("piece", "tok_idx", "").alias("word"), F.min_by("ts", at_piece).alias("start"),
+        ordered_text("mark", "tok_idx", "").alias("marks"), F.max_by("ts", at_mark).alias("mark_ts"),
+        F.max("final_ts").alias("final_ts"),
     )
-    final_ts = placed.groupBy("meeting_id").agg(F.max_by("ts", "tok_idx").alias("final_ts"))
-    nxt = scan(base, key, ["w"], by_index("w"), {"next_start": ("lead", F.col("start"))})
-    joined = nxt.join(marks, ["meeting_id", "w"], "left").join(final_ts, "meeting_id")
-    end = F.coalesce(F.col("mark_ts") + F.lit(TOKEN_TAIL_S), F.col("next_start"), F.col("final_ts") + F.lit(TOKEN_TAIL_S))
-    return joined.select(
+    seen = scan(words, key, ["w"], None, {"next_start": ("lead", "start"), "end_ts": ("next", "final_ts")}, keep=True)
+    tail = F.lit(TOKEN_TAIL_S)
+    end = F.coalesce(F.col("mark_ts") + tail, F.col("next_start"), F.col("end_ts") + tail)
+    return seen.filter(F.col("w") < PAST_WORDS).select(
         "meeting_id",
         (F.col("w") - 1).cast("int").alias("word_idx"),
         F.concat("word", F.coalesce("marks", F.lit(""))).alias("word"),

@@ -45,12 +45,15 @@ def scan(
     bucket: Column | None,
     specs: dict[str, tuple[str, Column | str]],
     keep: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add running columns. ``keep`` leaves the slice column in place, and ``bucket=None`` then takes it up again, so
     that a chain of scans shuffles the rows once. ``bucket`` must not decrease along ``order``; ``order`` must be total within ``keys``.
+    ``tasks`` deals the rows to that many tasks, so that a task's share does not depend on the session.
 
     Kinds: ``sum``, ``max``, ``last`` (latest non-null up to the row), ``next`` (first non-null from the row on),
-    the same three with ``_before`` / ``_after`` to leave the row out, ``lag`` and ``lead``. A column given by its name is shuffled once, whatever the number of kinds that read it.
+    the same with ``_before`` / ``_after`` to leave the row out, ``first`` (earliest non-null up to the row), ``lag`` and
+    ``lead``. A column given by its name is shuffled once, whatever the number of kinds that read it.
     """
     keys, order = list(keys), list(order)
     inputs = {f"_in_{name}": expr for name, (_, expr) in specs.items() if not isinstance(expr, str)}
@@ -88,6 +91,11 @@ def scan(
             summary.append(F.min(F.when(src.isNotNull(), at)).alias(tot))
             carry[car] = F.last(tot, ignorenulls=True).over(back.rowsBetween(first, -1))
             result[name] = F.coalesce(F.col(own), F.col(car)["v"])
+        elif base == "first":
+            local[own] = F.first(src, ignorenulls=True).over(up.rowsBetween(first, end))
+            summary.append(F.min(F.when(src.isNotNull(), at)).alias(tot))
+            carry[car] = F.first(tot, ignorenulls=True).over(across.rowsBetween(first, -1))
+            result[name] = F.coalesce(F.col(car)["v"], F.col(own))
         elif base in ("lag", "lead"):
             move = F.lag if base == "lag" else F.lead
             local[own] = move(F.struct(src.alias("v"))).over(up)
@@ -99,7 +107,8 @@ def scan(
 
     totals = rows.groupBy(*keys, BUCKET).agg(*summary)
     carried = totals.withColumns(carry).select(*keys, BUCKET, *carry)
-    joined = rows.withColumns(local).join(carried, [*keys, BUCKET], "left")
+    dealt = rows if tasks is None else rows.repartition(tasks, *keys, BUCKET)
+    joined = dealt.withColumns(local).join(carried, [*keys, BUCKET], "left")
     kept = [c for c in rows.columns if c not in result and c not in inputs and (keep or c != BUCKET)]
     return joined.select(*kept, *[expr.alias(name) for name, expr in result.items()])
 

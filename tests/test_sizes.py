@@ -3,8 +3,11 @@
 import re
 
 import numpy as np
+import pytest
 
-from palaver.operators import alignment, topics
+from palaver.operators import alignment, topics, transcripts
+from palaver.plans import rows
+from palaver.plans.scans import by_index, scan
 from palaver.queries import tables
 
 
@@ -62,3 +65,43 @@ def test_words_are_shuffled_by_slices_only(spark):
     out = alignment.align_words_boundary(words, segs).orderBy("word_idx").collect()
     turns = sorted((i, f"s{int(at / 3) % 2}") for at, i in expected.items())
     assert [r.speaker for r in out] == [([s for i, s in turns if i <= k] or ["s0"])[-1] for k in range(60)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tokens_are_dealt_by_their_number(spark, monkeypatch, seed):
+    monkeypatch.setattr(rows, "ROWS_IN_TASK", 20, raising=False)
+    rng = np.random.default_rng(seed)
+    toks = ["▁he", "llo", ".", " you", "▁", "...", "a", " "]
+    given = [(m, 3 * i, toks[rng.integers(len(toks))], float(i)) for m in ("a", "b") for i in range(200)]
+    given += [("c", 0, ".", 0.0), ("c", 1, "▁", 1.0), (None, 0, "▁he", 0.0), ("d", 9000, "llo", 1.0), ("d", 1, "!", 0.0)]
+    df = spark.createDataFrame(given, "meeting_id string, tok_idx long, tok string, ts double")
+    out = transcripts.tokens_to_words(df)
+    assert out.rdd.getNumPartitions() >= 20
+
+    expected = []
+    for m in ("a", "b", "c", "d"):
+        mine = sorted(x[1:] for x in given if x[0] == m)
+        words = []  # text, start, marks, end
+        for _, tok, ts in mine:
+            if tok in transcripts.PUNCTUATION_TOKENS:
+                if len(words) > 1:
+                    words[-2][2] += tok
+                    words[-2][3] = ts + transcripts.TOKEN_TAIL_S
+            elif tok not in (" ", "▁"):
+                if tok[0] in " ▁" or not words:
+                    words.append([tok.lstrip(" ▁"), ts, "", None])
+                else:
+                    words[-1][0] += tok
+        for k, (word, start, marks, end) in enumerate(words):
+            later = words[k + 1][1] if k + 1 < len(words) else mine[-1][2] + transcripts.TOKEN_TAIL_S
+            expected.append((m, k, word + marks, start, later if end is None else end))
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
+
+
+def test_scan_of_the_earliest_value(spark):
+    rng = np.random.default_rng(3)
+    values = [None if rng.random() < 0.7 else int(rng.integers(9)) for _ in range(50)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k int, i int, v int")
+    out = scan(df, ["k"], ["i"], by_index("i", 7), {"f": ("first", "v"), "l": ("last", "v")}, tasks=3).orderBy("i").collect()
+    seen = [[v for v in values[: i + 1] if v is not None] for i in range(50)]
+    assert [(r.f, r.l) for r in out] == [(x[0], x[-1]) if x else (None, None) for x in seen]
